@@ -43,52 +43,55 @@ def prefix(
     sums: dict[str, Column] | None = None,
     fills: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
-    reverse: bool = False,
+    back_sums: dict[str, Column] | None = None,
+    back_fills: dict[str, Column] | None = None,
+    back_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add running values along ``order`` within ``keys``.
 
     ``sums``: running total up to and including the row. ``fills``: last non-null value up to and including the row.
-    ``lags``: the previous row's value. ``reverse`` runs from the end, so ``lags`` become leads and ``fills`` the next
-    known value. ``order[0]`` is numeric and decides the block of ``size`` positions.
+    ``lags``: the previous row's value. ``back_sums`` and ``back_fills`` run from the end (over ``back_order``, which
+    may break ties differently), so a fill is the next known value. ``order[0]`` is numeric and decides the block of
+    ``size`` positions. The input is read twice (rows and block summaries), so keep expensive inputs materialized.
     """
-    sums, fills, lags = sums or {}, fills or {}, lags or {}
+    forward = [("sum", o, c) for o, c in (sums or {}).items()] + [("fill", o, c) for o, c in (fills or {}).items()] \
+        + [("lag", o, c) for o, c in (lags or {}).items()]
+    backward = [("sum", o, c) for o, c in (back_sums or {}).items()] \
+        + [("fill", o, c) for o, c in (back_fills or {}).items()]
     keys, order = list(keys), list(order)
     rows = df.withColumn("_blk", block_of(order[0], size))
-    ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*ordering)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    at = F.struct(*order)
-    pick = F.min_by if reverse else F.max_by
-
-    summary = rows.groupBy(*keys, "_blk").agg(
-        *[F.sum(c).alias(f"_c_{o}") for o, c in sums.items()],
-        *[pick(c, F.when(c.isNotNull(), at)).alias(f"_c_{o}") for o, c in fills.items()],
-        *[pick(F.struct(c.alias("v")), at).alias(f"_c_{o}") for o, c in lags.items()],
-    )
-    block_order = F.col("_blk").desc() if reverse else F.col("_blk").asc()
-    earlier = Window.partitionBy(*keys).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        *keys, "_blk",
-        *[F.sum(f"_c_{o}").over(earlier).alias(f"_c_{o}") for o in sums],
-        *[F.last(f"_c_{o}", ignorenulls=True).over(earlier).alias(f"_c_{o}") for o in [*fills, *lags]],
-    )
-    local = rows.select(
-        "*",
-        *[F.sum(c).over(upto).alias(f"_l_{o}") for o, c in sums.items()],
-        *[F.last(c, ignorenulls=True).over(upto).alias(f"_l_{o}") for o, c in fills.items()],
-        *[F.lag(F.struct(c.alias("v"))).over(inside).alias(f"_l_{o}") for o, c in lags.items()],
-    )
-    joined = local.join(carried, [*keys, "_blk"], "left")
-    out = joined
-    for o in sums:
-        both = F.coalesce(F.col(f"_l_{o}"), F.lit(0)) + F.coalesce(F.col(f"_c_{o}"), F.lit(0))
-        out = out.withColumn(o, both)
-    for o in fills:
-        out = out.withColumn(o, F.coalesce(f"_l_{o}", f"_c_{o}"))
-    for o in lags:
-        out = out.withColumn(o, F.coalesce(f"_l_{o}", f"_c_{o}")["v"])
-    made = [*sums, *fills, *lags]
-    return out.drop("_blk", *[f"_l_{o}" for o in made], *[f"_c_{o}" for o in made])
+    summary_aggs, carries, locals_ = [], [], []
+    for work, cols, down in ((forward, order, False), (backward, list(back_order or order), True)):
+        inside = Window.partitionBy(*keys, "_blk").orderBy(*[F.col(c).desc() if down else F.col(c) for c in cols])
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        outside = Window.partitionBy(*keys).orderBy(F.col("_blk").desc() if down else F.col("_blk"))
+        earlier = outside.rowsBetween(Window.unboundedPreceding, -1)
+        at = F.struct(*cols)
+        pick = F.min_by if down else F.max_by
+        for kind, name, c in work:
+            carry, local = f"_c_{name}", f"_l_{name}"
+            if kind == "sum":
+                summary_aggs.append(F.sum(c).alias(carry))
+                carries.append(F.sum(carry).over(earlier).alias(carry))
+                locals_.append(F.sum(c).over(upto).alias(local))
+                continue
+            value = F.struct(c.alias("v")) if kind == "lag" else c
+            summary_aggs.append(pick(value, F.when(value.isNotNull(), at)).alias(carry))
+            carries.append(F.last(carry, ignorenulls=True).over(earlier).alias(carry))
+            locals_.append((F.lag(value).over(inside) if kind == "lag"
+                            else F.last(value, ignorenulls=True).over(upto)).alias(local))
+    carried = rows.groupBy(*keys, "_blk").agg(*summary_aggs).select(*keys, "_blk", *carries)
+    joined = rows.select("*", *locals_).join(carried, [*keys, "_blk"], "left")
+    made = []
+    for kind, name, _ in forward + backward:
+        carry, local = F.col(f"_c_{name}"), F.col(f"_l_{name}")
+        if kind == "sum":
+            made.append((F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))).alias(name))
+        elif kind == "lag":
+            made.append(F.coalesce(local, carry)["v"].alias(name))
+        else:
+            made.append(F.coalesce(local, carry).alias(name))
+    return joined.select(*df.columns, *made)
 
 
 def halo(df: DataFrame, pos: str, size: float, back: float, ahead: float) -> DataFrame:
@@ -102,41 +105,31 @@ def halo(df: DataFrame, pos: str, size: float, back: float, ahead: float) -> Dat
     return df.withColumn("_blk", F.explode(blocks)).withColumn("_own", F.col("_blk") == block_of(pos, size))
 
 
-def runs(
-    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, size: float = BLOCK, *, brk: Column | None = None
-) -> DataFrame:
-    """Rows where ``flag`` holds, labeled ``run`` = position of the first row of their unbroken run.
-
-    ``brk`` (may use ``_prev_pos``) also ends a run, e.g. at a hole in the positions.
-    """
-    rows = prefix(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), keys, [pos], size,
-                  lags={"_prev_flag": F.col("_flag"), "_prev_pos": F.col(pos)})
-    start = F.col("_flag") & ~F.coalesce(F.col("_prev_flag"), F.lit(False))
-    if brk is not None:
-        start = start | (F.col("_flag") & F.coalesce(brk, F.lit(False)))
-    rows = prefix(rows.withColumn("_start", F.when(start, F.col(pos))), keys, [pos], size,
-                  fills={"run": F.col("_start")})
-    return rows.where("_flag").drop("_flag", "_prev_flag", "_prev_pos", "_start")
+def runs(df: DataFrame, keys: Sequence[str], pos: str, flag: Column, size: float = BLOCK) -> DataFrame:
+    """Rows where ``flag`` holds, labeled ``run``: the position of the last row before their run that broke it."""
+    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    rows = prefix(rows, keys, [pos], size, fills={"_broke": F.when(~F.col("_flag"), F.col(pos))})
+    return rows.where("_flag").withColumn("run", F.coalesce("_broke", F.lit(-1))).drop("_flag", "_broke")
 
 
 def gap_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, size: float = BLOCK,
-               *, strict: bool = False, reach: Column | None = None) -> DataFrame:
+               *, strict: bool = False) -> DataFrame:
     """Label ``piece`` = position of the first row after a silence of ``gap`` (``>=``; ``>`` when ``strict``).
 
-    Rules that only look ``gap`` back restart there, so pieces can be worked on apart and stay exact.
+    Rules that only look ``gap`` back restart there, so pieces can be worked on apart and stay exact. Whether a row
+    starts a piece only asks for the row before it within ``gap``.
     """
     pos = F.col(order[0])
-    reach = pos if reach is None else reach
-    rows = prefix(df, keys, order, size, lags={"_prev_reach": reach})
-    silent = (pos - F.col("_prev_reach")) > gap if strict else (pos - F.col("_prev_reach")) >= gap
-    first = F.col("_prev_reach").isNull() | silent
-    rows = rows.withColumn("_first", F.when(first, pos))
-    return prefix(rows, keys, order, size, fills={"piece": F.col("_first")}).drop("_prev_reach", "_first")
+    rows = halo(df, order[0], size, back=gap, ahead=0.0)
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    before = F.lag(pos).over(w)
+    near = (pos - before <= gap) if strict else (pos - before < gap)
+    rows = rows.withColumn("_first", F.when(~F.coalesce(near, F.lit(False)), pos)).where("_own")
+    rows = rows.select(*df.columns, "_first")
+    return prefix(rows, keys, order, size, fills={"piece": F.col("_first")}).drop("_first")
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float], cells: int = 2048
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles per key, one row per key.
 
     Equal values are counted first (map-side combined), the distinct values are cut into ordered cells, and ranks
@@ -145,13 +138,11 @@ def exact_percentiles(
     keys = list(keys)
     counts = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = counts.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    # asinh keeps order and spreads a heavy tail over the cells
-    width = F.asinh("_hi") - F.asinh("_lo")
-    cell = F.when(width > 0, F.floor((F.asinh("_v") - F.asinh("_lo")) / width * F.lit(cells - 1))).otherwise(F.lit(0))
-    placed = counts.join(span, keys).withColumn("_cell", cell.cast("long"))
-    ranked = prefix(placed, keys, ["_cell", "_v"], 1, sums={"_to": F.col("_n")})
-    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_n"))
+    # asinh keeps the order and gives a heavy tail few cells: at most some ten thousand over all doubles
+    counts = counts.withColumn("_cell", F.floor(F.asinh("_v") * 64.0).cast("long"))
+    ranked = prefix(counts, keys, ["_cell", "_v"], 1, sums={"_to": F.col("_n")}, back_sums={"_rest": F.col("_n")})
+    ranked = ranked.withColumns({"_from": F.col("_to") - F.col("_n"),
+                                 "_total": F.col("_to") + F.col("_rest") - F.col("_n")})
     aggs = []
     for name, p in probs.items():
         target = F.lit(float(p)) * (F.col("_total") - 1)
@@ -160,8 +151,7 @@ def exact_percentiles(
         def at(rank):
             return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
 
-        part = F.max(target - low)
-        aggs.append((at(low) + (at(high) - at(low)) * part).alias(name))
+        aggs.append((at(low) + (at(high) - at(low)) * F.max(target - low)).alias(name))
     return ranked.groupBy(*keys).agg(*aggs)
 
 

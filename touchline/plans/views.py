@@ -13,41 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 MATCH_FRAMES = 5000
 PITCH = (100.0, 64.0)
 
+# where the ball rests before play c: own third, penalty spot, center, corners, shooting range
+PLAY_X = ("CASE WHEN c IN (0, 5, 8) THEN 20e0 WHEN c = 1 THEN 89e0 WHEN c = 2 THEN 50e0 WHEN c = 7 THEN 99e0 "
+          "WHEN c IN (4, 9) THEN 78e0 ELSE 1e0 END")
+PLAY_Y = ("CASE WHEN c IN (0, 5, 8) THEN 20e0 WHEN c IN (1, 2) THEN 32e0 WHEN c IN (4, 9) THEN 30e0 ELSE 1e0 END")
+
 # name -> (tables or views read, SQL). {braces} mark the inputs.
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    # ball per frame: four 12 s plays in turn (own third, penalty spot, center, corner), lost and forecast frames
-    "ball": (("orders",), """
+    # ball per frame: ten 12 s plays in turn, each resting, struck, then resting; lost and forecast frames
+    "ball": (("orders",), f"""
 SELECT match_id, frame, frame / 5e0 AS t,
   CASE WHEN frame % 97 = 0 THEN 'lost' WHEN frame % 23 = 0 THEN 'coasting' ELSE 'tracking' END AS status,
   CASE WHEN frame % 97 = 0 THEN 0e0 WHEN frame % 23 = 0 THEN 0e0 ELSE 1e0 END AS measured,
   CASE WHEN frame % 97 = 0 THEN NULL ELSE greatest(0e0, least(100e0, x0 + k * dx)) END AS x,
   CASE WHEN frame % 97 = 0 THEN NULL ELSE greatest(0e0, least(64e0, y0 + k * dy)) END AS y
 FROM (
-  SELECT match_id, frame,
-    CAST(greatest(0, least(10, frame % 60 - 20)) AS DOUBLE) AS k,
-    CASE c WHEN 0 THEN 20e0 WHEN 1 THEN 89e0 WHEN 2 THEN 50e0 ELSE 1e0 END AS x0,
-    CASE c WHEN 0 THEN 20e0 WHEN 1 THEN 32e0 WHEN 2 THEN 32e0 ELSE 1e0 END AS y0,
-    CASE c WHEN 0 THEN 4.4e0 WHEN 1 THEN 3.6e0 WHEN 2 THEN -3.2e0 ELSE 2e0 END AS dx,
-    CASE c WHEN 0 THEN 0.4e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0.5e0 ELSE 2.5e0 END AS dy
+  SELECT match_id, frame, CAST(greatest(0, least(10, frame % 60 - 20)) AS DOUBLE) AS k,
+    {PLAY_X} AS x0, {PLAY_Y} AS y0,
+    CASE WHEN c IN (0, 5, 8) THEN 4.4e0 WHEN c IN (1, 4, 9) THEN 3.8e0 WHEN c = 2 THEN -3.2e0
+      WHEN c = 7 THEN -2e0 ELSE 2e0 END AS dx,
+    CASE WHEN c IN (0, 5, 8) THEN 0.4e0 WHEN c = 2 THEN 0.5e0 WHEN c IN (1, 4, 9) THEN 0e0 ELSE 2.5e0 END AS dy
   FROM (
     SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(o_orderkey % 5000 AS BIGINT) AS frame,
-      CAST(floor((o_orderkey % 5000) / 60e0) AS BIGINT) % 4 AS c
-    FROM {orders}) a) b"""),
-    # one detection per (order, line number); a track lasts 500 frames
-    "obs": (("lineitem",), """
+      CAST(floor((o_orderkey % 5000) / 60e0) AS BIGINT) % 10 AS c
+    FROM {{orders}}) a) b"""),
+    # one detection per (order, line number); a track lasts 500 frames. Line 1 keeps goal, 3 runs to the ball, 6 stands
+    "obs": (("lineitem",), f"""
 SELECT match_id, frame, frame / 5e0 AS t, track_id,
   CASE WHEN track_id % 5 = 0 THEN -1 ELSE track_id % 2 END AS team,
-  abs((frame * (1 + track_id % 2) + track_id * 131) % 400 - 200) * 0.5e0 AS x,
-  abs((frame + track_id * 37) % 256 - 128) * 0.5e0 AS y,
+  CASE WHEN det_id = 1 THEN (frame % 20) * 0.5e0
+    WHEN det_id = 3 THEN greatest(0e0, {PLAY_X} - greatest(0, 18 - frame % 60) * 1e0)
+    WHEN det_id = 6 THEN 50e0 + (frame % 5) * 0.1e0
+    ELSE abs((frame * (1 + track_id % 2) + track_id * 131) % 400 - 200) * 0.5e0 END AS x,
+  CASE WHEN det_id = 1 THEN 32e0 WHEN det_id = 3 THEN {PLAY_Y} WHEN det_id = 6 THEN 2e0
+    ELSE abs((frame + track_id * 37) % 256 - 128) * 0.5e0 END AS y,
   0.3e0 + (track_id % 4) * 0.1e0 AS sigma_m,
   60e0 + (partkey % 130) AS height_px,
   (partkey % 100) / 100e0 AS conf,
   det_id
 FROM (
-  SELECT CAST(floor(l_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(l_orderkey % 5000 AS BIGINT) AS frame,
-    CAST(l_linenumber AS BIGINT) + 7 * CAST(floor((l_orderkey % 5000) / 500e0) AS BIGINT) AS track_id,
-    CAST(l_linenumber AS BIGINT) AS det_id, min(l_partkey) AS partkey
-  FROM {lineitem} GROUP BY 1, 2, 3, 4) a"""),
+  SELECT match_id, frame, det_id, partkey, det_id + 7 * CAST(floor(frame / 500e0) AS BIGINT) AS track_id,
+    CAST(floor(frame / 60e0) AS BIGINT) % 10 AS c
+  FROM (
+    SELECT CAST(floor(l_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(l_orderkey % 5000 AS BIGINT) AS frame,
+      CAST(l_linenumber AS BIGINT) AS det_id, min(l_partkey) AS partkey
+    FROM {{lineitem}} GROUP BY 1, 2, 3) a) b"""),
     "aim": (("orders",), """
 SELECT match_id, frame,
   CASE WHEN frame % 11 = 0 THEN NULL ELSE abs((frame * 3 + match_id * 50) % 400 - 200) * 0.5e0 END AS aim_x,
@@ -96,6 +106,11 @@ FROM (SELECT CAST(floor(event_id / 2000e0) AS BIGINT) AS match_id, CAST(event_id
     "fresh": (("event_log",), """
 SELECT match_id, event_id, time_s + (event_id % 7) * 0.3e0 AS time_s, type, team, 'ball' AS source, confidence,
   '' AS verdict, video, 'fresh' AS note FROM {event_log} WHERE event_id % 3 <> 0"""),
+    "whistles": (("events",), """
+SELECT match_id, n * 1.7e0 AS time_s, (event_id % 40) * 10e0 AS prominence, 2500e0 + event_id % 1500 AS frequency_hz,
+  0.2e0 + (event_id % 9) * 0.1e0 AS duration_s, (event_id % 10) / 10e0 AS voice_share, (event_id % 50) / 10e0 AS low_gain
+FROM (SELECT CAST(floor(event_id / 600e0) AS BIGINT) AS match_id, CAST(event_id % 600 AS BIGINT) AS n, event_id,
+  event_type FROM {events}) a WHERE event_type = 'error'"""),
     "readings": (("events",), """
 SELECT CAST(floor(event_id / 2000e0) AS BIGINT) AS match_id, user_id AS track_id,
   CAST(event_id % 2000 AS BIGINT) AS frame, event_id AS det_id,
