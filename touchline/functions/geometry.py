@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -79,36 +79,48 @@ def step_ok(h: Column) -> Column:
     return finite & ok & (F.abs(h[6]) < MAX_STEP_PERSPECTIVE) & (F.abs(h[7]) < MAX_STEP_PERSPECTIVE)
 
 
-def rotation_vector(r: Column) -> Vec:
-    """Axis times angle of a rotation matrix (angles up to just below half a turn)."""
-    cos = F.least(F.greatest((m(r, 0, 0) + m(r, 1, 1) + m(r, 2, 2) - 1.0) / 2.0, F.lit(-1.0)), F.lit(1.0))
-    ax, ay, az = m(r, 2, 1) - m(r, 1, 2), m(r, 0, 2) - m(r, 2, 0), m(r, 1, 0) - m(r, 0, 1)
-    sin = F.sqrt(ax * ax + ay * ay + az * az) / 2.0
-    angle = F.atan2(sin, cos)
-    k = F.when(sin > 1e-9, angle / (sin * 2.0)).otherwise(F.lit(0.5))
-    return ax * k, ay * k, az * k
+def identity() -> Column:
+    return F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
 
 
-def rotation_of(x: Column, y: Column, z: Column) -> Column:
-    """Rotation matrix of an axis-times-angle vector."""
-    angle = F.sqrt(x * x + y * y + z * z)
-    tiny = angle < 1e-12
-    safe = F.when(tiny, F.lit(1.0)).otherwise(angle)
-    ux, uy, uz = x / safe, y / safe, z / safe
-    c, s = F.cos(angle), F.sin(angle)
+def with_rotation_vector(df: DataFrame, matrix: str, out: tuple[str, str, str]) -> DataFrame:
+    """Add axis times angle of the rotation matrix column ``matrix``.
+
+    Staged in columns: as one expression the shared parts would be written out again for every use.
+    """
+    r = F.col(matrix)
+    df = df.withColumns({
+        "_rc": F.least(F.greatest((m(r, 0, 0) + m(r, 1, 1) + m(r, 2, 2) - 1.0) / 2.0, F.lit(-1.0)), F.lit(1.0)),
+        "_rx": m(r, 2, 1) - m(r, 1, 2), "_ry": m(r, 0, 2) - m(r, 2, 0), "_rz": m(r, 1, 0) - m(r, 0, 1)})
+    df = df.withColumn("_rs", F.sqrt(F.col("_rx") ** 2 + F.col("_ry") ** 2 + F.col("_rz") ** 2) / 2.0)
+    angle = F.atan2(F.col("_rs"), F.col("_rc"))
+    df = df.withColumn("_rk", F.when(F.col("_rs") > 1e-9, angle / F.nullif(F.col("_rs") * 2.0, F.lit(0.0)))
+                       .otherwise(F.lit(0.5)))
+    df = df.withColumns({name: F.col(c) * F.col("_rk") for name, c in zip(out, ("_rx", "_ry", "_rz"))})
+    return df.drop("_rc", "_rx", "_ry", "_rz", "_rs", "_rk")
+
+
+def with_rotation(df: DataFrame, vector: tuple[Column, Column, Column], out: str) -> DataFrame:
+    """Add the rotation matrix of an axis-times-angle vector (NULL stays NULL)."""
+    df = df.withColumns(dict(zip(("_vx", "_vy", "_vz"), vector)))
+    df = df.withColumn("_va", F.sqrt(F.col("_vx") ** 2 + F.col("_vy") ** 2 + F.col("_vz") ** 2))
+    safe = F.when(F.col("_va") < 1e-12, F.lit(1.0)).otherwise(F.col("_va"))
+    df = df.withColumns({"_ux": F.col("_vx") / safe, "_uy": F.col("_vy") / safe, "_uz": F.col("_vz") / safe,
+                         "_uc": F.cos("_va"), "_us": F.sin("_va")})
+    ux, uy, uz, c, s = (F.col(n) for n in ("_ux", "_uy", "_uz", "_uc", "_us"))
     t = F.lit(1.0) - c
     turned = F.array(
         c + ux * ux * t, ux * uy * t - uz * s, ux * uz * t + uy * s,
         uy * ux * t + uz * s, c + uy * uy * t, uy * uz * t - ux * s,
         uz * ux * t - uy * s, uz * uy * t + ux * s, c + uz * uz * t)
-    return F.when(tiny, identity()).otherwise(turned)
-
-
-def identity() -> Column:
-    return F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
+    made = F.when(F.col("_va").isNull(), F.lit(None)).when(F.col("_va") < 1e-12, identity()).otherwise(turned)
+    return df.withColumn(out, made).drop("_vx", "_vy", "_vz", "_va", "_ux", "_uy", "_uz", "_uc", "_us")
 
 
-def between_rotations(first: Column, second: Column, share: Column) -> Column:
-    """The rotation ``share`` of the shortest arc from ``first`` to ``second``."""
-    x, y, z = rotation_vector(product(first, second, transpose_a=True))
-    return product(first, rotation_of(x * share, y * share, z * share))
+def with_between_rotations(df: DataFrame, first: str, second: str, share: Column, out: str) -> DataFrame:
+    """Add the rotation ``share`` of the shortest arc from ``first`` to ``second``."""
+    df = df.withColumn("_turn", product(F.col(first), F.col(second), transpose_a=True)).withColumn("_share", share)
+    df = with_rotation_vector(df, "_turn", ("_tx", "_ty", "_tz"))
+    df = with_rotation(df, tuple(F.col(c) * F.col("_share") for c in ("_tx", "_ty", "_tz")), "_part")
+    return df.withColumn(out, product(F.col(first), F.col("_part"))).drop(
+        "_turn", "_share", "_tx", "_ty", "_tz", "_part")

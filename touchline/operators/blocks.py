@@ -16,12 +16,12 @@ batch at a time with a small carried state, so no group is ever held in memory.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK = 4096
 
@@ -156,39 +156,43 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs:
 
 
 class Fold:
-    """One key's sequential walk. ``take`` gets the key's next rows in order, ``close`` ends the key."""
+    """One key's sequential walk: ``step`` gets its rows in order, ``close`` ends it; both give output tuples."""
 
-    def take(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def step(self, row):
         raise NotImplementedError
 
-    def close(self) -> Iterator[pd.DataFrame]:
-        return iter(())
+    def close(self):
+        return ()
 
 
 def fold_sorted(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[tuple], Fold], schema
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[tuple], Fold], schema: StructType
 ) -> DataFrame:
-    """Walk each key's rows in order, batch by batch, with carried state; keys are spread over the cluster."""
+    """Walk each key's rows in order with a small carried state; keys are spread over the cluster.
+
+    Rows stream through in Arrow batches, so neither a key nor a partition is ever held in memory.
+    """
     keys = list(keys)
     arranged = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    names = schema.names
 
     def walk(batches):
         current, state = None, None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf[keys]
-            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
-            for s, e in zip(starts, [*starts[1:], len(pdf)]):
-                part = pdf.iloc[s:e]
-                key = tuple(part[keys].iloc[0])
+            out = []
+            row_keys = zip(*[pdf[k].tolist() for k in keys])
+            for key, row in zip(row_keys, pdf.itertuples(index=False)):
                 if key != current:
                     if state is not None:
-                        yield from state.close()
+                        out.extend(state.close())
                     current, state = key, make(key)
-                yield from state.take(part)
+                out.extend(state.step(row))
+            if out:
+                yield pd.DataFrame(out, columns=names)
         if state is not None:
-            yield from state.close()
+            out = list(state.close())
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return arranged.mapInPandas(walk, schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..session import cut
 from . import ball as B
 from .blocks import BLOCK, Fold, exact_percentiles, fold_sorted, gap_pieces, halo
 from .joins import first_in_window, nearest_player, neighbors, within
@@ -205,33 +206,20 @@ class _KeepBest(Fold):
     def __init__(self, gap: float):
         self.gap, self.open = gap, []
 
-    def take(self, rows):
-        done = []
-        for row in rows.itertuples(index=False):
-            clash = None
-            for i, other in enumerate(self.open):
-                if abs(other.time_s - row.time_s) < self.gap:
-                    clash = i
-                    break
-            if clash is None:
-                self.open.append(row)
-            elif row.confidence > self.open[clash].confidence:
-                self.open[clash] = row
-            late = [o for o in self.open if row.time_s - o.time_s >= self.gap]
-            if late:
-                done += late
-                self.open = [o for o in self.open if row.time_s - o.time_s < self.gap]
-        if done:
-            yield _frame(done, rows.columns)
+    def step(self, row):
+        done = [o for o in self.open if row.time_s - o.time_s >= self.gap]
+        self.open = [o for o in self.open if row.time_s - o.time_s < self.gap]
+        for i, other in enumerate(self.open):
+            if abs(other.time_s - row.time_s) < self.gap:
+                if row.confidence > other.confidence:
+                    self.open[i] = row
+                break
+        else:
+            self.open.append(row)
+        return done
 
     def close(self):
-        if self.open:
-            yield _frame(self.open, self.open[0]._fields)
-
-
-def _frame(rows, columns):
-    import pandas as pd
-    return pd.DataFrame(rows, columns=list(columns))
+        return self.open
 
 
 def dedupe_events(events: DataFrame, gap: float = EVENT_GAP_S) -> DataFrame:
@@ -244,17 +232,17 @@ def dedupe_events(events: DataFrame, gap: float = EVENT_GAP_S) -> DataFrame:
 
 def detect_events(facts: DataFrame, fast: DataFrame, sides: DataFrame, whistles: DataFrame, length: float,
                   width: float, marks: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
-    """All six detectors, deduplicated, with shirt numbers. ``facts`` should be persisted or checkpointed."""
-    lags = lag_frames(facts)
-    spells = B.static_runs(facts)
+    """All six detectors, deduplicated, with shirt numbers. ``facts`` and ``fast`` are read by several of them."""
+    facts, fast = cut(facts), cut(fast)
+    lags, spells = cut(lag_frames(facts)), cut(B.static_runs(facts))
     goals = detect_goals(facts, fast, lags, length, width)
     penalties = detect_penalties(spells, whistles, fast, lags, length, width)
-    first = goals.unionByName(penalties)
+    first = cut(goals.unionByName(penalties))
     found = first.unionByName(detect_shots(facts, first, fast, lags, length, width)) \
         .unionByName(detect_corners(spells, fast, lags, length, width)) \
         .unionByName(detect_clearances(facts, fast, sides, lags, length, marks)) \
         .unionByName(detect_tackles(facts, fast, lags))
-    out = dedupe_events(found)
+    out = dedupe_events(cut(found))
     if numbers is not None:
         n = numbers.select("match_id", F.col("track_id").alias("player_track"), F.col("number").alias("player_number"))
         out = out.join(n, ["match_id", "player_track"], "left")
@@ -267,14 +255,11 @@ class _Spaced(Fold):
     def __init__(self, gap: float):
         self.gap, self.kept = gap, None
 
-    def take(self, rows):
-        keep = []
-        for t in rows["time_s"]:
-            free = self.kept is None or not abs(t - self.kept) < self.gap
-            if free:
-                self.kept = t
-            keep.append(free)
-        yield rows[keep]
+    def step(self, row):
+        if self.kept is not None and abs(row.time_s - self.kept) < self.gap:
+            return ()
+        self.kept = row.time_s
+        return (row,)
 
 
 def add_detected(log: DataFrame, fresh: DataFrame, gap: float = DUPLICATE_S) -> DataFrame:

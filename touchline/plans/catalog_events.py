@@ -237,9 +237,8 @@ def q_tackles(T):
 
 @query("detect_events")
 def q_events(T):
-    f = _facts(T)
     fast = M.speeds(T["obs"])
-    return E.detect_events(f, fast, M.orientations(T["obs"]), T["whistles"], L, W)
+    return E.detect_events(B.frame_facts(_motion(T), L, W), fast, M.orientations(T["obs"]), T["whistles"], L, W)
 
 
 @query("nearest_player", f"""WITH pts AS (SELECT match_id, frame AS ef, frame AS af, x AS px, y AS py FROM ball
@@ -261,19 +260,19 @@ def q_first_whistle(T):
                              right_t="time_s").select("match_id", "frame", "whistle_s")
 
 
-@query("asof_telemetry", """WITH tl AS (SELECT match_id, time_s, yaw, ball_x, locked,
-    row_number() OVER (PARTITION BY match_id ORDER BY time_s) AS k FROM telemetry WHERE clip = 0),
-p AS (SELECT b.match_id, b.frame, b.t, max(CASE WHEN l.time_s < b.t THEN l.k END) AS kp,
-    min(CASE WHEN l.time_s >= b.t THEN l.k END) AS kn
-  FROM (SELECT match_id, frame, t FROM ball WHERE t < 900e0) b JOIN tl l ON l.match_id = b.match_id
-    AND l.time_s BETWEEN b.t - 500e0 AND b.t + 500e0 GROUP BY 1, 2, 3)
-SELECT p.match_id, p.frame, n.yaw, n.ball_x, n.locked FROM p
-  LEFT JOIN tl a ON a.match_id = p.match_id AND a.k = p.kp LEFT JOIN tl z ON z.match_id = p.match_id AND z.k = p.kn
-  JOIN tl n ON n.match_id = p.match_id AND n.k = CASE WHEN z.k IS NULL OR (a.k IS NOT NULL AND p.t - a.time_s < z.time_s - p.t)
-    THEN a.k ELSE z.k END""")
+@query("asof_telemetry", """WITH tl AS (SELECT match_id, time_s, yaw, ball_x, locked FROM telemetry WHERE clip = 0),
+b AS (SELECT match_id, frame, t FROM ball WHERE match_id IN (SELECT match_id FROM tl)),
+p AS (SELECT b.match_id, b.frame, b.t, l.time_s AS bt, l.yaw AS by_, l.ball_x AS bb, l.locked AS bl
+  FROM b ASOF LEFT JOIN tl l ON l.match_id = b.match_id AND l.time_s < b.t),
+n AS (SELECT b.match_id, b.frame, l.time_s AS nt, l.yaw AS ny, l.ball_x AS nb, l.locked AS nl
+  FROM b ASOF LEFT JOIN tl l ON l.match_id = b.match_id AND l.time_s >= b.t)
+SELECT p.match_id, p.frame, CASE WHEN e THEN by_ ELSE ny END AS yaw, CASE WHEN e THEN bb ELSE nb END AS ball_x,
+  CASE WHEN e THEN bl ELSE nl END AS locked
+FROM (SELECT p.*, n.ny, n.nb, n.nl, bt IS NOT NULL AND (nt IS NULL OR t - bt < nt - t) AS e
+  FROM p JOIN n ON n.match_id = p.match_id AND n.frame = p.frame) p""")
 def q_asof(T):
     tl = T["telemetry"].where("clip = 0")
-    left = T["ball"].where("t < 900e0").join(tl.select("match_id").distinct(), "match_id").select("match_id", "frame", "t")
+    left = T["ball"].join(tl.select("match_id").distinct(), "match_id", "left_semi").select("match_id", "frame", "t")
     out = J.asof_nearest(left, tl, ["match_id"], "t", "time_s", ["yaw", "ball_x", "locked"])
     return out.select("match_id", "frame", "near.yaw", "near.ball_x", "near.locked")
 

@@ -64,6 +64,35 @@ SELECT match_id, frame,
   CASE WHEN frame % 11 = 0 THEN NULL ELSE 32e0 END AS aim_y
 FROM (SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(o_orderkey % 5000 AS BIGINT) AS frame
   FROM {orders}) a"""),
+    # camera pose per frame: a pan angle (radians), a focal length, whether the pose is known, logged yaw (degrees)
+    "poses": (("orders",), """
+SELECT match_id, frame, frame / 5e0 AS t, (frame % 61 - 30) / 60e0 AS pan, 0.8e0 + (frame % 10) * 0.001e0 AS focal,
+  frame % 50 <> 0 AS ok, CASE WHEN frame % 13 = 0 THEN NULL ELSE (frame % 61 - 30) * 1.2e0 END AS yaw
+FROM (SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(o_orderkey % 5000 AS BIGINT) AS frame
+  FROM {orders}) a"""),
+    # drift anchors every 400 frames: a turn about the vertical and a focal factor
+    "anchors": (("poses",), """
+SELECT match_id, frame, (frame * 37 % 11) * 0.01e0 AS turn, 1e0 + (frame % 7) * 0.01e0 AS scale
+FROM {poses} WHERE frame % 400 = 100"""),
+    # frame-to-frame homographies
+    "steps": (("orders",), """
+SELECT match_id, frame, 1e0 + (frame % 40) * 0.05e0 AS h0, 0.01e0 * (frame % 5) AS h1, 0.02e0 AS h2, 0.01e0 AS h3,
+  1e0 - (frame % 30) * 0.03e0 AS h4, -0.01e0 AS h5, (frame % 25) * 0.03e0 AS h6, 0.1e0 AS h7,
+  CASE WHEN frame % 77 = 0 THEN -0.15e0 ELSE 1e0 END AS h8
+FROM (SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(o_orderkey % 5000 AS BIGINT) AS frame
+  FROM {orders}) a"""),
+    # landmark clicks, with repeats
+    "clicks": (("events",), """
+SELECT CAST(floor(event_id / 2000e0) AS BIGINT) AS match_id, event_id AS pid, CAST(event_id % 2000 % 90 AS BIGINT) AS frame,
+  (event_id % 100) / 100e0 AS u, (event_id % 50) / 100e0 AS v,
+  CASE event_id % 5 WHEN 0 THEN 'center spot' WHEN 1 THEN 'halfway far' WHEN 2 THEN 'corner far-left'
+    WHEN 3 THEN 'centre circle near' ELSE 'unknown' END AS label
+FROM {events}"""),
+    "calibs": (("supplier",), """
+SELECT s_suppkey AS match_id, 0.6e0 + (s_suppkey % 61) * 0.02e0 AS focal_scale, 0.8e0 + (s_suppkey % 57) * 0.2e0 AS height,
+  s_suppkey % 19 = 3 AS ill, s_suppkey % 23 = 4 AS ambiguous, 0.5e0 + (s_suppkey % 5) * 0.7e0 AS r0,
+  1e0 + (s_suppkey % 3) * 4e0 AS r1, 3e0 AS r2
+FROM {supplier}"""),
     # detections as the segment reader yields them: boxes over frame width, kit descriptor
     "dets": (("lineitem",), """
 SELECT match_id, frame, det_id, CAST(partkey % 9 AS BIGINT) AS hint, u - 0.01e0 AS x1, v - 0.05e0 AS y1,
