@@ -1,0 +1,72 @@
+"""Exact assignment of components too large for one task, as rounds of bids.
+
+Every fragment may also stay unjoined at a high price. To make the problem square, each side gets stand-ins: a left
+fragment can take its own stand-in place, a right fragment can be taken by its own stand-in bidder, and stand-ins pair
+up freely along the candidate edges. With integer costs multiplied by (number of bidders + 1) and a final bid step of
+one, the result is the cheapest assignment (Bertsekas' auction with step scaling). A round is joins and aggregates over
+the candidate edges; no neighborhood is collected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+
+UNITS = 1_000_000  # costs are compared in millionths
+UNJOINED = 1_000_000
+
+
+def auction_match(edges: DataFrame, units: int = UNITS, unjoined: int = UNJOINED, factor: int = 8,
+                  max_rounds: int = 1_000_000) -> DataFrame:
+    """Pairs ``match_id, before, after`` of the cheapest assignment with the most joins."""
+    e = cut(edges.select("match_id", "before", "after", F.round((F.col("cost") + 1.0) * units).cast("long").alias("c")))
+    lefts, rights = e.select("match_id", "before").distinct(), e.select("match_id", "after").distinct()
+    sizes = lefts.groupBy("match_id").count().unionByName(rights.groupBy("match_id").count())
+    bidders = sizes.groupBy("match_id").agg(F.sum("count").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    scale = int(bidders) + 1
+
+    def node(kind, c):
+        return F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+
+    offers = e.select("match_id", node("left", "before").alias("p"), node("right", "after").alias("o"),
+                      (F.col("c") * scale).alias("c"))
+    offers = offers.unionByName(lefts.select("match_id", node("left", "before").alias("p"), node("place", "before").alias("o"),
+                                             F.lit(unjoined * units * scale).alias("c")))
+    offers = offers.unionByName(rights.select("match_id", node("bidder", "after").alias("p"), node("right", "after").alias("o"),
+                                              F.lit(0).cast("long").alias("c")))
+    offers = cut(offers.unionByName(e.select("match_id", node("bidder", "after").alias("p"), node("place", "before").alias("o"),
+                                             F.lit(0).cast("long").alias("c"))))
+    people = cut(offers.select("match_id", "p").distinct())
+    state = offers.select("match_id", "o").distinct().select(
+        "match_id", "o", F.lit(0).cast("long").alias("price"), F.lit(None).cast(people.schema["p"].dataType).alias("owner"))
+    state = cut(state)
+    step = max(1, unjoined * units * scale // factor)
+    rounds = 0
+    while True:
+        owned = state.where(F.col("owner").isNotNull()).select("match_id", F.col("owner").alias("p"))
+        free = people.join(owned, ["match_id", "p"], "left_anti")
+        worth = free.join(offers, ["match_id", "p"]).join(state, ["match_id", "o"]).select(
+            "match_id", "p", "o", "price", (-F.col("c") - F.col("price")).alias("v"))
+        best = worth.groupBy("match_id", "p").agg(F.max_by(F.struct("v", "o", "price"), F.struct("v", "o")).alias("b"))
+        other = worth.join(best, ["match_id", "p"]).groupBy("match_id", "p").agg(
+            F.first("b").alias("b"), F.max(F.when(F.col("o") != F.col("b.o"), F.col("v"))).alias("second"))
+        raise_by = F.coalesce(F.col("b.v") - F.col("second"), F.lit(unjoined * units * scale)) + step
+        bids = other.select("match_id", "p", F.col("b.o").alias("o"), (F.col("b.price") + raise_by).alias("bid"))
+        won = bids.groupBy("match_id", "o").agg(F.max(F.struct("bid", "p")).alias("w"))
+        after = cut(state.join(won, ["match_id", "o"], "left").select(
+            "match_id", "o", F.coalesce("w.bid", "price").alias("price"), F.coalesce("w.p", "owner").alias("owner"),
+            F.col("w").isNotNull().alias("_moved")))
+        moved = after.where("_moved").limit(1).count()
+        state = after.drop("_moved")
+        rounds += 1
+        if not moved:
+            if step == 1:
+                break
+            step = max(1, step // factor)
+            state = state.withColumn("owner", F.lit(None).cast(people.schema["p"].dataType))
+        if rounds > max_rounds:
+            raise RuntimeError("the auction did not settle")
+    joined = state.where((F.col("owner.kind") == "left") & (F.col("o.kind") == "right"))
+    return joined.select("match_id", F.col("owner.id").alias("before"), F.col("o.id").alias("after"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import labels
+from ..session import cut
 from .blocks import BLOCK, exact_percentiles, halo, prefix
 from .joins import neighbors
 
@@ -161,7 +162,7 @@ def pan_scale(frames: DataFrame, tilt_deg: float = 0.0) -> DataFrame:
         signed = F.col("_vx") * axis[0] + F.col("_vy") * axis[1] + F.col("_vz") * axis[2]
         ok = (F.abs("dyaw") >= PAN_MIN_DEG) & (size_of >= 1e-9) & (F.abs(signed) >= size_of * PAN_ALIGNED)
         parts.append(rows.where(ok).select("match_id", F.lit(size).alias("window"), signed.alias("signed"), "dyaw"))
-    samples = reduce(DataFrame.unionByName, parts)
+    samples = cut(reduce(DataFrame.unionByName, parts))
     counts = samples.groupBy("match_id", "window").agg(F.count(F.lit(1)).alias("samples"))
     chosen = counts.where(F.col("samples") >= PAN_MIN_SAMPLES).groupBy("match_id").agg(
         F.max_by(F.struct("window", "samples"), "window").alias("w")).select("match_id", "w.window", "w.samples")
