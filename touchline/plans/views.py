@@ -154,6 +154,25 @@ SELECT match_id, clip, n, n * 0.21e0 AS time_s,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id * 7 % 900 - 450e0 END AS ball_ym
 FROM (SELECT CAST(floor(event_id / 4000e0) AS BIGINT) AS match_id, event_id % 2 AS clip,
   CAST(floor((event_id % 4000) / 2e0) AS BIGINT) AS n, event_id FROM {events}) a"""),
+    # per audio window: band peak, median, level and energies; a strong tone every 600 windows, weaker ones between
+    "windows": (("orders",), """
+SELECT match_id, w, CASE WHEN burst THEN 400e0 + (w % 7) ELSE 3e0 + (w % 5) * 0.1e0 END AS peak, 1e0 AS local,
+  CASE WHEN burst THEN 900e0 + (w % 11) ELSE 5e0 + (w % 9) * 0.1e0 END AS level, 2500e0 + (w % 13) * 10e0 AS freq,
+  CASE WHEN c % 3 = 1 AND burst THEN 800e0 ELSE 2e0 + (w % 4) END AS voice,
+  CASE WHEN c % 4 = 2 AND burst THEN 50e0 ELSE 2e0 + (w % 6) * 0.2e0 END AS low,
+  CASE WHEN burst THEN 1000e0 ELSE 12e0 END AS total
+FROM (SELECT *, w % 600 BETWEEN 100 AND 130 + c % 5 OR w % 600 BETWEEN 180 AND 210 OR w % 600 BETWEEN 420 AND 420 + c * 5 AS burst
+  FROM (SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(o_orderkey % 5000 AS BIGINT) AS w,
+    CAST(floor((o_orderkey % 5000) / 600e0) AS BIGINT) AS c FROM {orders}) a) b"""),
+    # boxes of one track with pauses, and clips cut around it
+    "track_boxes": (("orders",), """
+SELECT match_id, track_id, f / 5e0 AS t, f AS frame, ((f * 3) % 700) / 1000e0 AS x1, 0.1e0 + (f % 40) / 200e0 AS y1,
+  ((f * 3) % 700) / 1000e0 + 0.02e0 AS x2, 0.16e0 + (f % 40) / 200e0 + (f % 9) * 0.001e0 AS y2
+FROM (SELECT CAST(floor(o_orderkey / 5000e0) AS BIGINT) AS match_id, CAST(floor((o_orderkey % 5000) / 500e0) AS BIGINT)
+    AS track_id, CAST(o_orderkey % 500 AS BIGINT) AS f FROM {orders}) a WHERE f % 130 NOT BETWEEN 100 AND 115 AND f % 17 <> 3"""),
+    "crops": (("supplier",), """
+SELECT CAST(floor(s_suppkey / 10e0) AS BIGINT) % 3 AS match_id, s_suppkey % 10 AS track_id, s_suppkey AS clip_id,
+  (s_suppkey * 7 % 90) * 1e0 + 0.3e0 AS start_s, 4e0 + s_suppkey % 9 AS duration_s FROM {supplier}"""),
     # clips of a recording; ten per match
     "clips": (("supplier",), """
 SELECT CAST(floor(s_suppkey / 10e0) AS BIGINT) AS match_id, 'clip-' || CAST(100 + s_suppkey % 10 AS VARCHAR) AS path,
