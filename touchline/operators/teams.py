@@ -154,8 +154,8 @@ def team_colors(labeled: DataFrame, evidence: DataFrame) -> DataFrame:
     parts = rows.select("match_id", "team", F.posexplode(F.slice("descriptor", 1, 5)).alias("c", "v"))
     med = exact_percentiles(parts, ["match_id", "team", "c"], F.col("v"), {"m": 0.5})
     wide = med.groupBy("match_id", "team").agg(*[F.max(F.when(F.col("c") == i, F.col("m"))).alias(n)
-                                                 for i, n in enumerate(("l", "a", "b"))])
-    return wide.withColumn("kit_rgb", labels.kit_rgb(F.col("l"), F.col("a"), F.col("b")))
+                                                 for i, n in enumerate(("kit_l", "kit_a", "kit_b"))])
+    return labels.with_kit_rgb(wide, F.col("kit_l"), F.col("kit_a"), F.col("kit_b"))
 
 
 def weak_labels(labeled: DataFrame) -> DataFrame:

@@ -207,7 +207,8 @@ def components(edges: DataFrame, keys: str = "match_id", limit: int = 60) -> Dat
     u = edges.select(keys, (F.col("before") * 2).alias("u"), (F.col("after") * 2 + 1).alias("v"))
     links = cut(u.distinct())
     for _ in range(limit):
-        both = links.unionByName(links.select(keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.select(keys, F.explode(ends).alias("e")).select(keys, "e.u", "e.v")
         low = both.groupBy(keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, [keys, "u"]).where(F.col("v") > F.col("u")).select(keys, F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

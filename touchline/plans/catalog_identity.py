@@ -415,8 +415,8 @@ def q_teams(T):
 def q_colors(T):
     labeled, near = _labels(T)
     out = TM.team_colors(labeled, near)
-    return out.select("match_id", "team", N.color_hex(F.col("kit_rgb.r"), F.col("kit_rgb.g"), F.col("kit_rgb.b")).alias("hex"),
-                      N.color_name(F.col("kit_rgb.r"), F.col("kit_rgb.g"), F.col("kit_rgb.b")).alias("name"))
+    return out.select("match_id", "team", N.color_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"),
+                      N.color_name(F.col("r"), F.col("g"), F.col("b")).alias("name"))
 
 
 @query("weak_labels")
