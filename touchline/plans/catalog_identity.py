@@ -414,9 +414,9 @@ def q_teams(T):
 @query("team_colors")
 def q_colors(T):
     labeled, near = _labels(T)
-    out = TM.team_colors(labeled, near)
-    return out.select("match_id", "team", N.color_hex(F.col("r"), F.col("g"), F.col("b")).alias("hex"),
-                      N.color_name(F.col("r"), F.col("g"), F.col("b")).alias("name"))
+    rgb = [F.col(c) for c in ("r", "g", "b")]
+    out = N.with_color_name(TM.team_colors(labeled, near), *rgb, out="name")
+    return out.select("match_id", "team", N.color_hex(*rgb).alias("hex"), "name")
 
 
 @query("weak_labels")

@@ -36,7 +36,7 @@ def q_plan(T):
     CASE WHEN p.codec <> f.codec THEN 'codec ' || p.codec || ' vs ' || f.codec END,
     CASE WHEN p.width <> f.width OR p.height <> f.height THEN 'frame ' || p.width || 'x' || p.height || ' vs ' || f.width || 'x' || f.height END,
     CASE WHEN abs(p.fps - f.fps) > 0.01e0 THEN printf('%.2f', p.fps) || ' fps vs ' || printf('%.2f', f.fps) || ' fps' END,
-    CASE WHEN p.has_audio <> f.has_audio THEN 'one has audio and the other does not' END], z -> z IS NOT NULL) AS why
+    CASE WHEN p.has_audio <> f.has_audio THEN 'one has audio and the other does not' END], lambda z: z IS NOT NULL) AS why
   FROM pc p JOIN pc f ON f.match_id = p.match_id AND f.clip_no = 1 WHERE p.clip_no > 1)
 SELECT match_id, 'clip ' || arg_min(clip_no, clip_no) || ' does not match clip 1 (' || arg_min(array_to_string(why, ', '), clip_no)
   || ')' AS problem FROM j WHERE len(why) > 0 GROUP BY 1""")
@@ -96,9 +96,9 @@ def q_pieces(T):
 
 
 @query("clip_at", f"""WITH {PLAN}, tt AS (SELECT match_id, sum(duration_s) AS total FROM clips GROUP BY 1),
-p AS (SELECT e.match_id, e.event_id, greatest(0e0, least(time_s - 5e0, total)) AS at FROM event_log e JOIN tt ON tt.match_id = e.match_id)
-SELECT match_id, event_id, path AS clip, round_even(at - start_s, 6) AS clip_t FROM (SELECT p.*, c.path, c.start_s, row_number() OVER
-  (PARTITION BY p.match_id, event_id ORDER BY c.start_s DESC) AS k FROM p JOIN pc c ON c.match_id = p.match_id AND c.start_s <= at) z WHERE k = 1""")
+p AS (SELECT e.match_id, e.event_id, greatest(0e0, least(time_s - 5e0, total)) AS a FROM event_log e JOIN tt ON tt.match_id = e.match_id)
+SELECT match_id, event_id, path AS clip, round_even(a - start_s, 6) AS clip_t FROM (SELECT p.*, c.path, c.start_s, row_number() OVER
+  (PARTITION BY p.match_id, event_id ORDER BY c.start_s DESC) AS k FROM p JOIN pc c ON c.match_id = p.match_id AND c.start_s <= p.a) z WHERE k = 1""")
 def q_clip_at(T):
     pts = T["event_log"].select("match_id", "event_id", (F.col("time_s") - 5.0).alias("time_s"))
     out = J.clip_at(pts, _planned(T))
@@ -145,7 +145,7 @@ SELECT p_partkey, name, upper(name[1]) || name[2:] || 's' AS team, printf('#%02x
 def q_color(T):
     rows = T["part"].selectExpr("p_partkey", *RGB.split(", "))
     rgb = [F.col(c) for c in ("r", "g", "b")]
-    rows = rows.withColumns({"name": N.color_name(*rgb), "hex": N.color_hex(*rgb)})
+    rows = N.with_color_name(rows, *rgb, out="name").withColumn("hex", N.color_hex(*rgb))
     return rows.select("p_partkey", "name", N.suggest_team_name(F.col("name")).alias("team"), "hex")
 
 
@@ -169,8 +169,8 @@ g AS (SELECT e.*, m.start_s, m.half_s, CAST(CASE WHEN half_s IS NOT NULL AND tim
     WHEN type IN ('clearance', 'tackle', 'save', 'block') THEN 'defensive' ELSE '' END AS play
   FROM (SELECT * REPLACE (CASE WHEN video = 'game' THEN time_s END AS time_s), time_s AS raw_s FROM event_log) e
     LEFT JOIN marks m ON m.match_id = e.match_id)
-SELECT g.event_id, play, CASE half WHEN 1 THEN '1st half' WHEN 2 THEN '2nd half' ELSE '-' END AS half,
-  round_even(CASE half WHEN 1 THEN time_s - start_s WHEN 2 THEN time_s - half_s END, 6) AS match_clock,
+SELECT g.event_id, play, CASE g.half WHEN 1 THEN '1st half' WHEN 2 THEN '2nd half' ELSE '-' END AS half,
+  round_even(CASE g.half WHEN 1 THEN time_s - start_s WHEN 2 THEN time_s - half_s END, 6) AS match_clock,
   CASE WHEN play = 'attacking' AND team IN (0, 1) AND a0 IS NOT NULL THEN CASE WHEN (a0 > 0) = (team = 0) THEN 'toward the right goal'
     ELSE 'toward the left goal' END ELSE '' END AS aim FROM g LEFT JOIN o ON o.match_id = g.match_id AND o.half = g.half""")
 def q_event_table(T):
@@ -219,8 +219,9 @@ def q_unknown(T):
     return TL.parse_lines(_log_lines(T))[1]
 
 
-@query("merge_telemetry", """SELECT match_id, n AS frame, arg_max(clip, score * 10 - clip) AS file_no, arg_max(yaw, score * 10 - clip) AS yaw_deg FROM (
-  SELECT *, CASE WHEN yaw IS NULL THEN 0 ELSE 1 END + CASE WHEN ball_ym IS NULL THEN 0 ELSE 1 END AS score FROM telemetry) a GROUP BY 1, 2""")
+@query("merge_telemetry", """SELECT match_id, n AS frame, clip AS file_no, yaw AS yaw_deg FROM (SELECT *, row_number() OVER (
+    PARTITION BY match_id, n ORDER BY CASE WHEN yaw IS NULL THEN 0 ELSE 1 END + CASE WHEN ball_ym IS NULL THEN 0 ELSE 1 END DESC, clip) AS k
+  FROM telemetry) a WHERE k = 1""")
 def q_merge(T):
     none = F.lit(None).cast("double")
     rows = T["telemetry"].select("match_id", F.col("n").alias("frame"), F.col("clip").alias("file_no"), F.col("yaw").alias("yaw_deg"),
