@@ -560,3 +560,21 @@ def q_audio(T):
     blocks = T["part"].select(F.expr("cast(floor(p_partkey / 500) as bigint)").alias("match_id"),
                               (F.col("p_partkey") % 500 * 4096).alias("start"), F.lit(16000).alias("sr"), wave.alias("samples"))
     return WH.window_features(blocks)
+
+
+@query("build_report")
+def q_build_report(T):
+    from .report import report_from_ground
+    ground = _kitted(T).drop("track_id", "team").withColumn("hint", F.lit(None).cast("long"))
+    return report_from_ground(ground, T["aim"], 100.0, 64.0, 5.0).teams
+
+
+@query("track_ball")
+def q_track_ball(T):
+    from ..streaming.ball import track_ball
+    det = T["dets"].select("match_id", "frame", F.struct(
+        "conf", F.col("x1").alias("u"), F.col("y2").alias("v"), F.lit(0.01).alias("w"), F.lit(0.01).alias("h")).alias("d"))
+    seen = det.groupBy("match_id", "frame").agg(F.sort_array(F.collect_list("d")).alias("dets"))
+    rows = T["steps"].select("match_id", "frame", F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)]).alias("step"),
+                             (F.col("frame") % 3 == 0).alias("full_frame"))
+    return track_ball(rows.join(seen, ["match_id", "frame"], "left"), 5.0, 0.5625)
