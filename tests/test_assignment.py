@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from touchline.operators.assignment import assign, match_gated
+from touchline.operators.assignment import assign, match_gated, match_sparse
 
 
 def test_assign_is_cheapest():
@@ -33,3 +33,16 @@ def test_gated_matches_most_then_cheapest():
                     best = min(best, (-k, sum(c[i, j] for i, j in pick)))
         assert -len(got) == best[0]
         assert abs(sum(c[i, j] for i, j in got) - best[1]) < 1e-9
+
+
+def test_sparse_agrees_with_the_dense_solver():
+    rng = np.random.default_rng(2)
+    for trial in range(300):
+        n, m = (int(v) for v in rng.integers(1, 9 if trial < 250 else 60, 2))
+        c, ok = rng.random((n, m)) * 5 + 1, rng.random((n, m)) < (0.4 if trial < 250 else 0.08)
+        edges = {i: [(int(j), float(c[i, j])) for j in np.flatnonzero(ok[i])] for i in range(n) if ok[i].any()}
+        got = match_sparse(edges, 1e6)
+        assert all(ok[i, j] for i, j in got.items()) and len(set(got.values())) == len(got)
+        want = match_gated(c, ok)
+        assert len(got) == len(want)
+        assert abs(sum(c[i, j] for i, j in got.items()) - sum(c[i, j] for i, j in want)) < 1e-6

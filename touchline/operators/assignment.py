@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 FORBIDDEN = 1e6
@@ -62,3 +64,52 @@ def match_gated(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
             if sub[r, c] < FORBIDDEN:
                 pairs.append((int(left_rows[r]), int(left_cols[c])))
     return pairs
+
+
+def match_sparse(edges: dict[int, list[tuple[int, float]]], unmatched: float) -> dict[int, int]:
+    """Cheapest choice of at most one right per left and one left per right; a left without one costs ``unmatched``.
+
+    Shortest augmenting paths over the edges that exist: memory follows the edges, and a search stops at the first free
+    right or at the left that had better go without.
+    """
+    left_price = {s: 0.0 for s in edges}
+    right_price: dict[int, float] = {}
+    right_of: dict[int, int] = {}
+    left_of: dict[int, int] = {}
+    for start in edges:
+        dist, came_from, done, heap = {}, {}, {}, []
+        left, reached = start, 0.0
+        quit_at, quit_left = np.inf, start
+        while True:
+            price = left_price[left]
+            if reached + unmatched - price < quit_at:
+                quit_at, quit_left = reached + unmatched - price, left
+            for right, cost in edges[left]:
+                if right not in done:
+                    far = reached + cost - price - right_price.get(right, 0.0)
+                    if far < dist.get(right, np.inf):
+                        dist[right], came_from[right] = far, left
+                        heappush(heap, (far, right))
+            while heap and heap[0][1] in done:
+                heappop(heap)
+            if not heap or heap[0][0] >= quit_at:
+                total, free = quit_at, None
+                break
+            far, right = heappop(heap)
+            if right not in left_of:
+                total, free = far, right
+                break
+            done[right] = far
+            left, reached = left_of[right], far
+        left_price[start] += total
+        for right, far in done.items():
+            right_price[right] = right_price.get(right, 0.0) - (total - far)
+            left_price[left_of[right]] += total - far
+        if free is None:
+            free = right_of.pop(quit_left, None)
+        while free is not None:
+            left = came_from[free]
+            after = right_of.get(left)
+            right_of[left], left_of[free] = free, left
+            free = None if left == start else after
+    return right_of

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut
-from .assignment import match_gated
+from .assignment import match_gated, match_sparse
 from .blocks import Fold, fold_sorted, frames_for, gap_pieces, prefix, rescaled_gain
 
 # Fixed values of the association rules (meters, seconds)
@@ -226,16 +226,15 @@ def components(edges: DataFrame, keys: str = "match_id", limit: int = 60) -> Dat
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    lefts, rows = np.unique(pdf["before"], return_inverse=True)
-    rights, cols = np.unique(pdf["after"], return_inverse=True)
-    cost = np.full((len(lefts), len(rights)), UNJOINED)
-    cost[rows, cols] = pdf["cost"] + 1.0
-    pairs = match_gated(cost, cost < UNJOINED)
-    return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "before": [lefts[i] for i, _ in pairs],
-                         "after": [rights[j] for _, j in pairs]})
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for before, after, cost in sorted(zip(pdf["before"], pdf["after"], pdf["cost"])):
+        edges.setdefault(before, []).append((after, cost + 1.0))
+    pairs = match_sparse(edges, UNJOINED)
+    return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "before": list(pairs), "after": list(pairs.values())},
+                        dtype="int64")
 
 
-def match_fragments(edges: DataFrame, max_edges: int = 20_000) -> DataFrame:
+def match_fragments(edges: DataFrame, max_edges: int = 300_000) -> DataFrame:
     """At most one successor and predecessor per fragment: most joins first, then least total cost.
 
     Components are independent, so each is solved apart and exactly; those with more than ``max_edges`` edges go
