@@ -154,3 +154,7 @@ def pan_rate(telemetry: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id", "_blk").orderBy("frame")
     rate = F.coalesce(F.abs(F.col("yaw") - F.lag("yaw").over(w)), F.lit(0.0))
     return rows.withColumn("pan_rate", rate).where("_own").drop("_blk", "_own")
+
+
+def status_counts(track: DataFrame) -> DataFrame:
+    return track.groupBy("match_id", "status").agg(F.count(F.lit(1)).alias("n"))

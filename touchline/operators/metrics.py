@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from .blocks import clip, exact_percentiles, halo
 
 # Fixed values of the measurement rules
@@ -204,6 +205,23 @@ def player_stats(fast: DataFrame, aim: DataFrame, fps: float, roles: DataFrame |
         F.coalesce("touches", F.lit(0)).cast("long").alias("touches"))
 
 
+def player_table(stats: DataFrame, numbers: DataFrame, names: DataFrame) -> DataFrame:
+    """Player stats with team label, number and name, longest seen first. ``names``: ``match_id, team, name``."""
+    n = numbers.select(*TRACK, "number", "name", "source")
+    given = names.select("match_id", "team", F.col("name").alias("_given"))
+    rows = stats.join(n, list(TRACK), "left").join(given, ["match_id", "team"], "left")
+    return rows.select(
+        *TRACK, labels.team_name(F.col("team"), F.col("_given")).alias("team"), "number",
+        F.coalesce("name", F.lit("")).alias("name"), F.coalesce("source", F.lit("unassigned")).alias("source"), "time_s",
+        "distance_m", "top_speed_kmh", "mean_speed_kmh", "touches", "mean_x", "mean_y").orderBy(
+        "match_id", F.col("time_s").desc(), "track_id")
+
+
+def momentum_on_window(moments: DataFrame, window_start_s: float) -> DataFrame:
+    """Momentum keyed by minutes since the analyzed window's start."""
+    return moments.withColumn("minute", F.bround(F.col("minute") - F.lit(float(window_start_s)) / 60.0, 4))
+
+
 def heat_map(obs: DataFrame, cell_m: float, *by: str) -> DataFrame:
     return obs.groupBy("match_id", *by, F.floor(F.col("x") / cell_m).cast("long").alias("cell_x"),
                        F.floor(F.col("y") / cell_m).cast("long").alias("cell_y")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import with_between_rotations
 from .blocks import exact_percentiles, halo
 from .joins import neighbors
 
@@ -139,6 +140,7 @@ def resample_boxes(boxes: DataFrame, fps: float, rate: float, frames: DataFrame)
     hi = F.when(F.col("frame") >= F.col("last_frame"), lo).otherwise(F.ceil((F.col("frame") + 1) * rate / fps - 1e-9) - 1)
     rows = rows.where(hi >= lo).withColumn("k", F.explode(F.sequence(lo, hi)))
     share = F.col("k") * fps / rate - F.col("frame")
+    rows = rows.where((F.col("frame") < F.col("last_frame")) | (share <= 1e-9))
     moves = F.col("_n.frame") == F.col("frame") + 1
 
     def mix(c):
@@ -165,3 +167,18 @@ def resample_ball(ball: DataFrame, fps: float, rate: float) -> DataFrame:
 
     near = F.when(exact | (share < 0.5), F.col("measured")).otherwise(F.col("_n.measured"))
     return rows.select("match_id", F.col("k").cast("long").alias("k"), mix("x"), mix("y"), near.alias("measured"))
+
+
+def resample_pose(frames: DataFrame, fps: float, rate: float) -> DataFrame:
+    """Camera pose ``(match_id, frame, q, focal)`` between frames: shortest-arc rotation, linear focal length."""
+    rows = halo(frames.select("match_id", "frame", "q", "focal"), "frame", 4096, back=0, ahead=1)
+    w = Window.partitionBy("match_id", "_blk").orderBy("frame")
+    rows = rows.withColumn("_n", F.lead(F.struct("frame", "q", "focal")).over(w)).where("_own")
+    lo = F.ceil(F.col("frame") * rate / fps - 1e-9)
+    hi = F.when(F.col("_n").isNull(), lo).otherwise(F.ceil((F.col("frame") + 1) * rate / fps - 1e-9) - 1)
+    rows = rows.where(hi >= lo).withColumn("k", F.explode(F.sequence(lo, hi)))
+    rows = rows.withColumns({"_s": F.col("k") * fps / rate - F.col("frame"), "_q2": F.coalesce("_n.q", "q")})
+    rows = rows.where(F.col("_n").isNotNull() | (F.col("_s") <= 1e-9))
+    rows = with_between_rotations(rows, "q", "_q2", F.col("_s"), "_mid")
+    return rows.select("match_id", F.col("k").cast("long").alias("k"), F.col("_mid").alias("q"),
+                       (F.col("focal") + (F.coalesce("_n.focal", "focal") - F.col("focal")) * F.col("_s")).alias("focal"))

@@ -91,6 +91,13 @@ def landmarks(matches: DataFrame) -> DataFrame:
     return matches.select("match_id", F.explode(rows).alias("p")).select("match_id", "p.label", "p.x", "p.y")
 
 
+def projected_landmarks(marks: DataFrame, at: DataFrame, frames: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """Image positions of a match's landmarks in the frames ``at`` (``match_id, frame``), where in front of the camera."""
+    points = at.select("match_id", "frame").join(marks, "match_id")
+    return pitch_to_pixels(points, frames, calibrations).where(F.col("u").isNotNull()).select(
+        "match_id", "frame", "label", "u", "v")
+
+
 def reprojection_rms(clicks: DataFrame, frames: DataFrame, calibrations: DataFrame, marks: DataFrame) -> DataFrame:
     """Per match: root mean square pixel error (at full width) of clicked landmarks."""
     named = clicks.withColumn("label", labels.upgrade_label(F.col("label"))).withColumnsRenamed({"u": "cu", "v": "cv"})

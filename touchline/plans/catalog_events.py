@@ -321,7 +321,7 @@ def q_review(T):
 
 @query("ball_status_counts", "SELECT match_id, status, count(*) AS n FROM ball GROUP BY 1, 2")
 def q_status(T):
-    return T["ball"].groupBy("match_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return B.status_counts(T["ball"])
 
 
 @query("event_subsets", """SELECT 'manual' AS subset, event_id FROM event_log WHERE source = 'manual'

@@ -122,6 +122,27 @@ def q_rms(T):
     return out.withColumn("rms_px", F.bround("rms_px", 4))
 
 
+@query("projected_landmarks", f"""WITH lm(label, x, y) AS (VALUES ('center spot', 50e0, 32e0), ('halfway near', 50e0, 0e0)),
+pts AS (SELECT p.match_id, p.frame, l.label, l.x, l.y, p.pan, p.focal FROM poses p, lm l WHERE p.frame % 40 = 0), {PIXEL_CTE}
+SELECT match_id, frame, label, round_even(focal * 1.05e0 * cx / cz + 0.5e0, 6) AS u,
+  round_even(focal * 1.05e0 * cy / cz + 0.28125e0, 6) AS v FROM px WHERE cz > 1e-9""")
+def q_projected(T):
+    m = T["poses"].select("match_id").distinct().select("match_id", F.lit(L).alias("length"), F.lit(W).alias("width"))
+    marks = P.landmarks(m).where(F.col("label").isin("center spot", "halfway near"))
+    return _six(P.projected_landmarks(marks, T["poses"].where("frame % 40 = 0"), _frames(T), _calibrations(T)), "u", "v")
+
+
+@query("resample_pose", """WITH n AS (SELECT match_id, frame, pan, focal, lead(pan) OVER w AS np, lead(focal) OVER w AS nf FROM poses
+  WINDOW w AS (PARTITION BY match_id ORDER BY frame)), k AS (SELECT unnest(range(0, 12000)) AS k)
+SELECT match_id, k.k, round_even(cos(pan + coalesce(np - pan, 0e0) * (k.k * 5e0 / 12e0 - frame)), 6) AS q0,
+  round_even(focal + coalesce(nf - focal, 0e0) * (k.k * 5e0 / 12e0 - frame), 6) AS focal
+FROM n JOIN k ON k.k * 5 >= frame * 12 AND k.k * 5 < (frame + 1) * 12 AND (np IS NOT NULL OR k.k * 5 = frame * 12)""")
+def q_resample_pose(T):
+    from ..operators.paths import resample_pose
+    out = resample_pose(_frames(T), 5.0, 12.0)
+    return out.select("match_id", "k", F.bround(F.col("q")[0], 6).alias("q0"), F.bround("focal", 6).alias("focal"))
+
+
 @query("dedupe_clicks", """SELECT match_id, frame, label, max(pid) AS pid, arg_max(u, pid) AS u FROM clicks
   GROUP BY 1, 2, 3""")
 def q_clicks(T):

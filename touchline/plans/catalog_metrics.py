@@ -59,8 +59,7 @@ def q_nearest_to_aim(T):
 SELECT match_id, round_even(minute - 90e0 / 60e0, 4) AS minute, round_even(w0 / CAST(w0 + w1 AS DOUBLE), 3) AS team_0
 FROM mo""")
 def q_momentum_window(T):
-    out = M.momentum(T["obs"], T["aim"])
-    return out.select("match_id", F.bround(F.col("minute") - F.lit(90.0) / 60.0, 4).alias("minute"), "team_0")
+    return M.momentum_on_window(M.momentum(T["obs"], T["aim"]), 90.0).select("match_id", "minute", "team_0")
 
 
 @query("speeds", f"""WITH {SPEED_CTE}
@@ -107,7 +106,7 @@ def q_bystanders(T):
     return M.bystanders(M.build_tracks(M.speeds(T["obs"]))).select("match_id", "track_id")
 
 
-@query("player_stats", f"""WITH {TRACK_CTE},
+PLAYER_SQL = f"""WITH {TRACK_CTE},
 keep AS (SELECT * FROM tr WHERE NOT (last_t - first_t >= 10e0 AND
   (sqrt(ex * ex + ey * ey) < 8e0 OR (sqrt(ex * ex + ey * ey) < 15e0 AND walking / CAST(n AS DOUBLE) < 0.05e0)))),
 tc AS (SELECT match_id, track_id, count(*) AS touches FROM (
@@ -122,11 +121,25 @@ SELECT p.match_id, p.track_id, CAST(team AS BIGINT) AS team, n AS observations,
   round_even(first_t, 1) AS first_t, round_even(last_t, 1) AS last_t, round_even(distance_m, 1) AS distance_m,
   round_even(top, 1) AS top_speed_kmh, round_even(coalesce(ms / nullif(mn, 0), 0e0), 1) AS mean_speed_kmh,
   round_even(sx / n, 1) AS mean_x, round_even(sy / n, 1) AS mean_y, coalesce(touches, 0) AS touches
-FROM keep p LEFT JOIN tc ON tc.match_id = p.match_id AND tc.track_id = p.track_id""")
+FROM keep p LEFT JOIN tc ON tc.match_id = p.match_id AND tc.track_id = p.track_id"""
+
+
+@query("player_stats", PLAYER_SQL)
 def q_player_stats(T):
     return M.player_stats(M.speeds(T["obs"]), T["aim"], 5.0)
 
 
+@query("player_table", "WITH ps AS (" + PLAYER_SQL + """)
+SELECT ps.match_id, ps.track_id, CASE WHEN ps.team < 0 THEN 'referee/other' WHEN ps.team = 0 THEN 'Reds' ELSE 'Team 2' END AS team,
+  p.number, coalesce(p.name, '') AS name, CASE WHEN p.track_id IS NULL THEN 'unassigned' ELSE 'auto' END AS source, time_s, touches
+FROM ps LEFT JOIN people p ON p.match_id = ps.match_id AND p.track_id = ps.track_id""")
+def q_player_table(T):
+    stats = M.player_stats(M.speeds(T["obs"]), T["aim"], 5.0)
+    names = T["obs"].select("match_id").distinct().select("match_id", F.lit(0).cast("long").alias("team"), F.lit(" Reds ").alias("name"))
+    out = M.player_table(stats, T["people"].withColumn("source", F.lit("auto")), names)
+    return out.select("match_id", "track_id", "team", "number", "name", "source", "time_s", "touches")
+
+
 @query("roles", """WITH st AS (
   SELECT match_id, track_id, min(team) AS team, count(*) AS n, avg(CASE WHEN x < 12e0 THEN 1e0 ELSE 0e0 END) AS lf,
     avg(CASE WHEN x > 88e0 THEN 1e0 ELSE 0e0 END) AS rt, quantile_cont(x, 0.95) - quantile_cont(x, 0.05) AS span

@@ -108,9 +108,7 @@ def q_clip_at(T):
 @query("nearest_frame", """SELECT e.match_id, event_id, CAST(greatest(0, least(1999, ceil(time_s * 5e0 - 0.5e0))) AS BIGINT) AS frame
 FROM event_log e""")
 def q_nearest_frame(T):
-    # frames at a fixed rate: the nearest index, the earlier one on ties, clamped to the recording
-    at = F.ceil(F.col("time_s") * 5.0 - 0.5)
-    return T["event_log"].select("match_id", "event_id", F.greatest(F.lit(0), F.least(F.lit(1999), at)).cast("long").alias("frame"))
+    return T["event_log"].select("match_id", "event_id", N.nearest_frame(F.col("time_s"), 0.0, 5.0, 2000).alias("frame"))
 
 
 @query("event_play", """SELECT event_id, CASE WHEN type IN ('goal', 'shot', 'corner', 'penalty') THEN 'attacking'
