@@ -6,7 +6,8 @@ import numpy as np
 
 LENGTH, WIDTH, FPS = 60.0, 40.0, 5.0
 POSITION, TILT, FOCAL, SCALE, ASPECT = (30.0, -7.0, 4.5), 0.18, 0.82, 1.04, 9 / 16
-KITS = {0: (0.45, 0.72, 0.60, 0.75, 0.65), 1: (0.40, 0.45, 0.30, 0.65, 0.60), -1: (0.75, 0.52, 0.52, 0.15, 0.85)}
+# the two kits differ by more than the stitching gate (0.45), as red and blue shirts do
+KITS = {0: (0.45, 0.80, 0.65, 0.90, 0.65), 1: (0.40, 0.40, 0.25, 0.50, 0.60), -1: (0.75, 0.52, 0.52, 0.15, 0.85)}
 
 
 def base_rotation():
