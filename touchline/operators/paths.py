@@ -94,9 +94,7 @@ def crop_path(boxes: DataFrame, clips: DataFrame, width: int, height: int, rate_
     w = Window.partitionBy(*KEY, "_blk").orderBy("_pos")
     span = w.rowsBetween(-before, behind)
     # edge padding: missing neighbors repeat the first or last value
-    first_i = F.min("_pos").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(w)
-    lack_before = F.when(first_i < block, F.greatest(F.lit(0), F.lit(before + 1) - rank)).otherwise(F.lit(0))
+    lack_before = F.greatest(F.lit(0), F.lit(before + 1) - F.row_number().over(w))
     left = F.count(F.lit(1)).over(w.rowsBetween(1, behind)) if behind else F.lit(0)
     lack_after = F.lit(behind) - left
 
