@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from .views import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,11 @@ def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``oracle`` may name views as tables."""
 
     def add(fn):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark, folder):
+            ship_package(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = with_views(oracle)
         return fn

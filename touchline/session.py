@@ -1,11 +1,17 @@
-"""Session helpers: the settings the jobs rely on, and lineage cuts that survive executor loss."""
+"""Session helpers: the settings the jobs rely on, lineage cuts that survive executor loss, and code for the workers."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "touchline", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every job assumes; anything in ``conf`` wins."""
@@ -13,6 +19,7 @@ def build_session(app: str = "touchline", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
         "spark.sql.streaming.stateStore.providerClass":
@@ -27,16 +34,45 @@ def build_session(app: str = "touchline", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a scratch one only where none is named."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where the whole job runs in one process."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not shared and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return shared or context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that later stages read."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there (iterative jobs would otherwise grow lineage)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package once per application, so that jobs run from any working folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(top):  # else it was itself imported from a shipped archive
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(top):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(top)))
+        path = os.path.join(tempfile.mkdtemp(prefix="run-"), "touchline.zip")
+        with open(path, "wb") as out:
+            out.write(packed.getvalue())
+        context.addPyFile(path)  # the driver's file server hands it out
+    _SHIPPED.add(context.applicationId)
