@@ -18,12 +18,21 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tuple[list, list[str]]]:
-    """Keys and texts in runs of at most ``most`` records, so that a task's Python side holds few texts at once."""
+def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000, chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts in runs of at most ``most`` records, and of one text or about ``chars`` characters, so that a
+    task's Python side works on little text at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, most):
-            part = batch.slice(start, most)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+        keys, texts, held = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
+            if keys and (len(keys) == most or held + len(text) > chars):
+                yield keys, texts
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+        if keys:
+            yield keys, texts
 
 
 class WordHashes(dict):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import packing, tokens
+from . import decontamination, near_duplicates, packing, quality, repeats, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,90 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     out = packing.pack_notes(notes(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, room=2048)
     return out.withColumnRenamed("event_id", "doc_id")
+
+
+@query("op5_wu_manber", oracle=r"""
+WITH folded AS (
+  SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 1, item_id, 0, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+worded AS (SELECT kind, id, rid, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM folded),
+items AS (SELECT id, w, least(10, len(w)) AS m FROM worded WHERE kind = 1 AND len(w) > 0),
+wins AS (SELECT DISTINCT id AS item_id, m, array_to_string(w[s:s + m - 1], ' ') AS win
+  FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM items)),
+places AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM worded CROSS JOIN (SELECT DISTINCT m FROM wins) WHERE kind = 0),
+hits AS (SELECT rid, s, p.m, item_id FROM (SELECT rid, m, s, array_to_string(w[s:s + m - 1], ' ') AS win FROM places) p JOIN wins USING (m, win)),
+covered AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(s, s + m)) AS word FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) WHERE kind = 0
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = decontamination.find_items(notes(spark, folder), items)
+    n_hit = decontamination.hit_words()
+    return found.select(F.col("event_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
+                        F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op9_seed_extend")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.remove_repeats(notes(spark, folder))
+    return out.select(F.col("event_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_note", 256).alias("kept_sha256"))
+
+
+@query("op4_min_max_hash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_duplicates.near_duplicates(notes(spark, folder), shingle=3, percent=85)
+    return out.select(F.col("event_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def held_out(key: str) -> Column:
+    """Rows that no label is learned from: crc32 of the id as text, a fifth of all."""
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+@query("op1_span_field")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    events = notes(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumnRenamed("doc_id", "event_id")
+    model = toxicity.train(events, labels, use=~held_out("key"))
+    scored = toxicity.score_notes(events, model)
+    return scored.select(F.col("event_id").alias("doc_id"), held_out("event_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("spans").cast("bigint").alias("n_spans"),
+                         F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s.start, s.end))).alias("spans"))
+
+
+@query("op3_source_rules", oracle=r"""
+WITH worded AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT rid, s, array_to_string(w[s:s + 2], ' ') AS run FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS s FROM worded)),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, run) AS n FROM runs) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, unnest([s, s + 1, s + 2]) AS word FROM twice) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line FROM worded) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+stats AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM worded LEFT JOIN repeats USING (rid) LEFT JOIN lines USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+    OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS failed FROM stats),
+hosts AS (SELECT source, count(*) AS notes, sum(CAST(failed AS BIGINT)) AS failures FROM judged GROUP BY source),
+sums AS (SELECT sum(notes) * 1e0 AS n, sum(failures) * 1e0 AS x, count(*) AS hosts, sum(failures * 1e0 * failures / notes) AS xx,
+  sum(notes * 1e0 * notes) AS nn FROM hosts),
+rho AS (SELECT x / n AS mean, ((xx - x * x / n) / nullif(x / n * (1e0 - x / n), 0e0) - (hosts - 1)) / nullif(n - nn / n - hosts + 1, 0e0) AS rho FROM sums),
+prior AS (SELECT mean, CASE WHEN rho > 0e0 THEN greatest(2e0, least(10000e0, 1e0 / rho - 1e0)) ELSE 10000e0 END AS strength FROM rho),
+verdicts AS (SELECT source, (failures + mean * strength) / (notes + strength) > 0.5e0 AS rejected FROM hosts CROSS JOIN prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge_notes(notes(spark, folder))
+    return judged.select(F.col("event_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
