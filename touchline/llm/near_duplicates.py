@@ -113,16 +113,13 @@ def _confirm(percent: int):
 def _block_pairs(percent: int):
     """Within one pair of blocks of a bucket: the pairs of different components that pass the bounds."""
 
-    def run(key, batches):
-        first, second = [], []
-        for batch in batches:
-            ours = batch.column("side").to_numpy(zero_copy_only=False)
-            first.append(batch.filter(pa.array(ours == 0))), second.append(batch.filter(pa.array(ours == 1)))
-        x, y = (pa.Table.from_batches(t).combine_chunks().to_batches() for t in (first, second))
+    def run(members: pa.Table) -> pa.Table:
+        ours = members.column("side").to_numpy()
+        x, y = (members.filter(pa.array(ours == side)).combine_chunks().to_batches() for side in (0, 1))
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if x and y:
             x, y = x[0], y[0]
-            xs, ys = _columns(x.rename_columns(["id", "component", "n0", "s0", "side"]), "0"), _columns(y.rename_columns(["id", "component", "n0", "s0", "side"]), "0")
+            xs, ys = _columns(x, ""), _columns(y, "")
             xi, yi = x.column("id").to_numpy(), y.column("id").to_numpy()
             xc, yc = x.column("component").to_numpy(), y.column("component").to_numpy()
             for i in range(len(xi)):
@@ -131,7 +128,7 @@ def _block_pairs(percent: int):
                 j = j[_close(one, {k: v[j] for k, v in ys.items()}, percent)]
                 out_a.append(np.full(len(j), xi[i])), out_b.append(yi[j])
         a, b = np.concatenate(out_a), np.concatenate(out_b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -231,9 +228,5 @@ def _rest(placed: DataFrame, facts: DataFrame, percent: int, block: int) -> Data
     twice = F.transform(F.array(F.lit(1)), lambda s: F.struct(F.col("_i").alias("x"), F.col("_i").alias("y"), s.alias("side")))
     rows = dealt.select("bucket", "id", "component", "n", "sketch", F.explode(F.concat(every, twice)).alias("_b")).select(
         "bucket", "_b.x", "_b.y", "_b.side", "id", "component", "n", "sketch")
-    picked = _block_pairs(percent)
-
-    def run(key, batches):
-        yield from picked(key, (b.select(["id", "component", "n", "sketch", "side"]) for b in batches))
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+    return rows.withColumnRenamed("sketch", "s").groupBy("bucket", "x", "y").applyInArrow(
+        _block_pairs(percent), "a bigint, b bigint").distinct()

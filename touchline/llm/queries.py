@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontamination, near_duplicates, packing, quality, repeats, tokens, toxicity
+from . import decontamination, near_duplicates, packing, private_data, quality, repeats, secret_scan, tokens, toxicity
+from .spans import joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +133,23 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge_notes(notes(spark, folder))
     return judged.select(F.col("event_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
+
+
+@query("op2_private_spans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_data.find_private(notes(spark, folder))
+    base = ("email", "ip", "card", "phone")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(F.col("event_id").alias("doc_id"), *map(of, base),
+                        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_trigram_index")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(notes(spark, folder))
+    base = ("assign", "access", "hex")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(F.col("event_id").alias("doc_id"), *map(of, base),
+                        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))

@@ -88,9 +88,8 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]], tr
     """``key, rules``: for which rules the postings of a key fulfil a query. The postings of all rules are intersected
     at once, as bits of one row for each key: a task first unites those it has itself."""
     words = range(-(-len(trigrams) // 60))
-    number = F.create_map(*(F.lit(x) for i, t in enumerate(trigrams) for x in (t, i)))[F.col("trigram")]
-    bits = postings.select(key, *(F.when(F.floor(number / 60) == w, F.shiftleft(F.lit(1).cast("bigint"), F.pmod(number, F.lit(60)))).otherwise(
-        F.lit(0).cast("bigint")).alias(f"_b{w}") for w in words))
+    bit = lambda w: F.create_map(*(F.lit(x) for i, t in enumerate(trigrams) if i // 60 == w for x in (t, 1 << (i % 60))))
+    bits = postings.select(key, *(F.coalesce(bit(w)[F.col("trigram")].cast("bigint"), F.lit(0).cast("bigint")).alias(f"_b{w}") for w in words))
     masks = bits.groupBy(key).agg(*(F.bit_or(f"_b{w}").alias(f"_b{w}") for w in words))
 
     def holds(trigram_set: frozenset[str]) -> Column:

@@ -5,13 +5,14 @@ The library's own records are the notes of reviewed events (``event_id, note``);
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,32 +21,68 @@ from ..session import shared_path
 from .common import records, rows_of
 
 # Texts are encoded piece by piece and pieces are remembered. A cut is safe where the vocabulary's own pre-tokenizer
-# always cuts: at blanks and line ends for "words" (white space is dropped there), and before a single blank or line end
-# between two characters that no engine takes for white space for "bytes".
-_BYTE_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# always cuts. With "words" that is at blanks and line ends, as white space is dropped there. With "bytes" it is before a
+# single blank or line end between two characters that no engine takes for white space; texts that have others are encoded
+# whole.
+_ODD_BLANKS = r"^[ \n]|[ \n]$|[ \n]{2}|[\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}][ \n]|[ \n][\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}]"
+_STOPS = (".", ",")
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """Encodes whole texts with a tokenizer file; equal to encoding each text at once (tested)."""
+    """Encodes whole texts with a tokenizer file; equal to encoding each text at once (tested).
 
-    def __init__(self, path: str, cuts: str, most: int = 400_000):
+    Texts are split and their pieces numbered by Arrow; only distinct pieces are looked up, and only new ones encoded. A
+    new piece that ends in a letter or digit and one stop or comma is put together from both, as every pre-tokenizer here
+    cuts between them; with "words" an ASCII piece counts in lower case.
+    """
+
+    def __init__(self, path: str, cuts: str, most: int = 700_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.split = (lambda text: text.replace("\n", " ").split(" ")) if cuts == "words" else _BYTE_CUT.split
+        self.words = cuts == "words"
+
+    def _parts(self, piece: str) -> tuple[str, str]:
+        head, tail = (piece[:-1], piece[-1]) if piece[-1:] in _STOPS and piece[-2:-1].isalnum() else (piece, "")
+        return (head.lower() if self.words and head.isascii() else head), tail
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        parts = list(map(self._parts, pieces))
+        new = [p for p in {p for both in parts for p in both} if p not in known]
+        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        return [known[head] + known[tail] if tail else known[head] for head, tail in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for start in range(0, len(texts), 250):
-            pieces = [self.split(text) for text in texts[start:start + 250]]
-            if len(self.known) > self.most:
-                self.known.clear()
-            known = self.known
-            missing = list({p for parts in pieces for p in parts if p not in known})
-            for piece, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[piece] = np.array(encoding.ids, dtype="<u4").tobytes()
-            out += [np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4") for parts in pieces]
-        return out
+        column = pa.array(texts, pa.large_string())
+        whole: dict[int, np.ndarray] = {}
+        if self.words:
+            column = pc.replace_substring(column, "\n", " ")
+        else:
+            odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_BLANKS).to_numpy(zero_copy_only=False)).tolist()
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
+            whole = {i: np.array(e.ids, "<u4") for i, e in zip(odd, found)}
+            column = pc.replace_substring(column, "\n", " \n")
+        split = pc.split_pattern(column, " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if not self.words:  # a piece has its blank, but for the first of a text
+            which = which.copy()
+            first, at = np.unique(which[bounds[:-1]], return_inverse=True)
+            which[bounds[:-1]] = at + len(pieces)
+            pieces = [p if p[:1] == "\n" else " " + p for p in pieces] + [pieces[i] for i in first]
+        data = self._look_up(pieces)
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        flat = np.frombuffer(b"".join(data), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat(starts[which] - ends[:-1], own) + np.arange(ends[-1])]
+        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(pairwise(ends[bounds].tolist()))]
 
 
 def encoder(path: str, cuts: str) -> PieceEncoder:
@@ -59,14 +96,16 @@ def encoder(path: str, cuts: str) -> PieceEncoder:
 
 # ---- coding: 64-bit states, 32-bit words, LANES states of a block advance together ---------------------------------
 
-SCALE_BITS, LOW, LANES, BLOCK = 20, np.uint64(1 << 31), 64, 65_536
+SCALE_BITS, LOW, LANES, BLOCK = 20, np.uint64(1 << 31), 256, 131_072
 _MAGIC = b"TLR1"
 _U = np.uint64
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in ascending order and their whole frequencies, at least 1 each, that add up to 2**SCALE_BITS."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    every = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(every)
+    counts = every[symbols]
     scale = 1 << SCALE_BITS
     freqs = np.maximum(1, counts * (scale - len(symbols)) // max(1, counts.sum())).astype(np.int64)
     if len(symbols):
@@ -119,7 +158,9 @@ def encode_segment(ids: np.ndarray) -> bytes:
     symbols, freqs = frequency_table(ids)
     wide = freqs.astype(np.uint64)
     starts = np.cumsum(wide) - wide
-    ranks = np.searchsorted(symbols, ids)
+    rank_of = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, np.int32)
+    rank_of[symbols] = np.arange(len(symbols))
+    ranks = rank_of[ids]
     table = zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes() + freqs.tobytes(), 1)
     whole = len(ids) // BLOCK
     parts = []

@@ -197,8 +197,8 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
 
 def train(events: DataFrame, labels: DataFrame, *, key: str = "event_id", text: str = "note", label: str = "toxic",
           use: Column | None = None, most_notes: int = 1200, most_chars: int = 50_000) -> SpanModel:
-    """Fit on a bounded sample of labelled notes: at most ``most_notes`` of each class, drawn by hash of key among
-    notes of at most ``most_chars`` characters. ``labels`` has ``key`` and a 0/1 column ``label``; ``use`` (over the
+    """Fit on a bounded sample of labelled notes: ``most_notes`` of each class are drawn by hash of key, and those of at
+    most ``most_chars`` characters teach (of an id's several texts the least). ``labels`` has ``key`` and a 0/1 column ``label``; ``use`` (over the
     key) tells which rows may be learned from. Null labels teach nothing; a key labelled twice counts as its least
     label. The class shares are counted over all labelled rows.
     """
@@ -206,12 +206,11 @@ def train(events: DataFrame, labels: DataFrame, *, key: str = "event_id", text:
     told = told.where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull() & (F.lit(True) if use is None else use))
     told = told.groupBy("key").agg(F.min("toxic").alias("toxic"))
     shares = Counter({r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
-    sample = []
-    for known in (0, 1):
-        own = records(events, key, text).join(told.where(F.col("toxic") == known), "key")
-        own = own.where(F.length("text") <= most_chars).select("text").withColumn("_h", F.xxhash64("key"))
-        own = own.orderBy("_h", "text").limit(most_notes)
-        sample += [(r["text"], known) for r in own.collect()]
+    drawn = [told.where(F.col("toxic") == known).orderBy(F.xxhash64("key"), "key").limit(most_notes) for known in (0, 1)]
+    chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * most_notes keys
+    sample = records(events, key, text).join(chosen, "key").where(F.length("text") <= most_chars).groupBy("key", "toxic").agg(
+        F.min("text").alias("text")).orderBy("key").select("text", "toxic").collect()
+    sample = [(r["text"], r["toxic"]) for r in sample]
     return fit([t for t, _ in sample], [k for _, k in sample], shares=(shares[0], shares[1]))
 
 
