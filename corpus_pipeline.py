@@ -1 +1,79 @@
-"""placeholder"""
+"""The training-data pipeline over ``documents``: toxic rows out, near copies out, benchmark rows out, personal data
+masked, the rest packed into sequences."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from touchline.llm import decontamination, near_duplicates, packing, private_data, toxicity
+from touchline.session import shared_path, ship_package
+
+_KEYS = {"key": "doc_id", "text": "text"}
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for those ids; rows without id stay."""
+    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a toxicity score of a half or more go. The tagger learns from ``labels`` and all of ``documents``
+    but the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, use=~_held_out("key"), **_KEYS)
+    scored = toxicity.score_notes(docs.where("doc_id is not null"), model, **_KEYS)
+    return _without(docs, scored.where("score >= 0.5"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the least id stays."""
+    judged = near_duplicates.near_duplicates(docs, **_KEYS)
+    return _without(docs, judged.where("not kept"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ten words of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.find_items(docs.where("doc_id is not null"), items, **_KEYS)
+    return _without(docs, found.where(F.size("spans") > 0))
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in a text is replaced by its kind in brackets, and ``n_chars`` follows; other texts stay as they
+    are. In one pass: the other columns travel with the text."""
+    kept = F.struct(*docs.columns)
+    found = private_data.find_private(docs.withColumn("_row", kept), key="_row", text="text")
+    masked = F.when(F.col("_row.text").isNotNull(), private_data.redacted(F.col("text"), F.col("spans")))
+    return found.withColumn("masked", masked).select(*(
+        F.col("masked").alias("text") if c == "text" else
+        F.when(F.size("spans") > 0, F.length("masked").cast("bigint")).otherwise(F.col(f"_row.{c}")).alias(c) if c == "n_chars" else
+        F.col(f"_row.{c}").alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 2,048 tokens."""
+    return packing.pack_notes(docs, public_tokenizers.path("byte_bpe_50k.json"), room=2048, **_KEYS)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_benchmark),
+          ("private_data", mask_private), ("packing", pack_sequences)]
+
+#: the tagger's fit and the tokenizer cannot be said in SQL; tests hold the stages against brute force
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
+    ship_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

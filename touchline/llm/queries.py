@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontamination, near_duplicates, packing, private_data, quality, repeats, secret_scan, tokens, toxicity
+from . import decontamination, near_duplicates, packing, private_data, quality, repeats, secret_scan, tokens, toxicity, warc
 from .spans import joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("event_id").alias("doc_id"), *map(of, base),
                         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_salvage_warc", oracle="""
+WITH b32 AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT page_id, payload_bytes, hex, string_agg(lpad(bin(('0x' || substr(hex, k, 1))::INTEGER), 4, '0'), '' ORDER BY k) AS b
+  FROM b32 CROSS JOIN range(1, 41) r(k) GROUP BY ALL),
+digests AS (SELECT page_id, payload_bytes, hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_sum([CASE WHEN substr(b, 5 * k + j, 1) = '1' THEN 1 << (5 - j) ELSE 0 END FOR j IN [1, 2, 3, 4, 5]])::INTEGER + 1, 1), '' ORDER BY k) AS payload_digest
+  FROM bits CROSS JOIN range(0, 32) r(k) GROUP BY ALL),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM digests)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archive_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+    return found.where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)

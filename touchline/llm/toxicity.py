@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,30 @@ _WORD = re.compile(r"\w+")
 SEGMENT = 32
 
 
+BEGINNINGS = range(3, 9)
+
+
 def features(word: str) -> tuple[str, ...]:
-    """What the tagger sees of a word: itself, its beginnings and its end, in lower case."""
+    """What the tagger sees of a word, in lower case: itself, its first 3 to 8 letters, and its end."""
     word = word.lower()
-    return "w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "e" + word[-4:]
+    return "w" + word, *(f"{n}{word[:n]}" for n in BEGINNINGS), "e" + word[-4:]
+
+
+WIDTH = len(features(""))
+
+
+def _kinds(texts: list[list[str]]) -> np.ndarray:
+    """A number for each text, equal for copies and near copies: texts that share the least of three hashes of their
+    three-word runs are of one kind."""
+    kind = np.arange(len(texts))
+    for seed in range(3):
+        first: dict[int, int] = {}
+        for i, words in enumerate(texts):
+            least = min((xxhash.xxh3_64_intdigest(" ".join(run), seed) for run in zip(words, words[1:], words[2:])), default=-1 - i)
+            j = first.setdefault(least, i)
+            if kind[i] != kind[j]:
+                kind[kind == kind[i]] = kind[j]
+    return kind
 
 
 class _Chain:
@@ -133,9 +154,9 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
         steps: int = 40, penalty: float = 2e-2) -> SpanModel:
     """Fit tagger and scorer on labelled notes held in memory.
 
-    Only whole notes carry labels. A word of a toxic note is labelled toxic where its form or its beginning stands in
-    at least three toxic notes and in ``ratio`` times as large a share of the toxic notes as of the clean ones; all
-    other words are labelled clean. On these labelled words the field is fitted by gradient steps on its likelihood.
+    Only whole notes carry labels. A word of a toxic note is labelled toxic where its form or a beginning of it stands in
+    ``ratio`` times as large a share of the toxic notes as of the clean ones (near copies count once), with a likelihood
+    ratio that few of all forms and beginnings would reach by chance; all other words are labelled clean. On these labelled words the field is fitted by gradient steps on its likelihood.
     The scorer is a logistic regression on ``_summary``; ``shares`` (clean, toxic notes in all) corrects for a sample
     that doesn't have the classes in proportion. Without toxic or without clean notes the score is their share.
     """
@@ -147,18 +168,23 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
     texts = [_WORD.findall(n.lower()) for n in notes]
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
     names: dict[str, int] = {}
-    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], np.int64).reshape(-1, 5)
+    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], np.int64).reshape(-1, WIDTH)
     words = np.fromiter((vocabulary[w] for t in texts for w in t), np.int64)
     counts = np.array([len(t) for t in texts])
     label = np.array(toxic)
-    seen = np.zeros((2, len(names)))
-    for known, text in {(k, tuple(sorted(set(t)))) for k, t in zip(toxic, texts)}:  # copies speak once
-        if text:
-            own = np.unique(table[[vocabulary[w] for w in text]][:, [0, 2, 3]])
-            seen[known, own] += 1
-    share = (seen[1] + 0.1) / max(1, sum(toxic)) / ((seen[0] + 0.1) / max(1, len(toxic) - sum(toxic)))
-    telling = (seen[1] >= 3) & (share >= ratio)
-    marked = telling[table[:, [0, 2, 3]]].any(axis=1)
+    kinds = _kinds(texts)
+    seen, size = np.zeros((2, len(names))), [1, 1]
+    for known in (0, 1):  # near copies speak once
+        for kind in np.unique(kinds[label == known]):
+            every = {w for i in np.flatnonzero((kinds == kind) & (label == known)) for w in texts[i]}
+            if every:
+                seen[known, np.unique(table[[vocabulary[w] for w in every]][:, :-1])] += 1
+                size[known] += 1
+    share = (seen[1] + 0.1) / size[1] / ((seen[0] + 0.1) / size[0])
+    expected = np.outer(size, seen.sum(axis=0) / sum(size))
+    evidence = 2 * (seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
+    telling = (share >= ratio) & (evidence >= 1.6 * np.log(max(2, len(names))))
+    marked = telling[table[:, :-1]].any(axis=1)
     y = marked[words] & (label[np.repeat(np.arange(len(counts)), counts)] == 1)
 
     chain = _Chain(counts)
@@ -175,7 +201,7 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
         pair = np.stack([prior * move[1, 0] * (1 - g), (1 - prior) * move[0, 1] * odds * g, prior * move[1, 1] * odds * g])
         pair /= pair.sum(axis=0) + (1 - prior) * move[0, 0] * (1 - g)
         by_word = np.bincount(words, weights=y - p, minlength=len(vocabulary))
-        slope = np.bincount(table.ravel(), weights=np.repeat(by_word, 5), minlength=len(names)) / spread - penalty * weights
+        slope = np.bincount(table.ravel(), weights=np.repeat(by_word, WIDTH), minlength=len(names)) / spread - penalty * weights
         other = np.append(told - pair.sum(axis=1), (y - p).sum()) / np.sqrt(len(words))
         speed_w += slope**2
         speed_o += other**2
