@@ -65,7 +65,7 @@ if __name__ == "__main__":
     from touchline.session import build_session
 
     folder = os.environ.get("SF", "/root/testdata/sf0.01")
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = build_session("check", os.environ.get("MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
                              "spark.ui.showConsoleProgress": "false", **({"spark.driver.memory": os.environ["MEM"]} if "MEM" in os.environ else {})})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import tracking as TK
-from touchline.operators.auction import auction_match
 
 
 def best_matching(edges):
@@ -34,16 +33,13 @@ def test_match_fragments_is_exact(spark):
     assert {r.match_id: (-r.n, r.c) for r in got} == want
 
 
-def test_auction_is_exact(spark):
-    rows, want = [], {}
-    for match in range(3):
-        edges = random_edges(match + 20, 3)
-        want[match] = best_matching(edges)
-        rows += [(match, *e) for e in edges]
-    df = spark.createDataFrame(rows, "match_id long, before long, after long, cost double")
-    got = auction_match(df, units=1, unjoined=40).join(df, ["match_id", "before", "after"]).groupBy("match_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("c")).collect()
-    assert {r.match_id: (-r.n, r.c) for r in got} == want
+def test_match_fragments_above_the_old_limit(spark):
+    """A long chain of fragments with two choices each: one component, production constants, fixed choice of ties."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("1L match_id", "id before", "explode(sequence(id + 1, least(id + 6, %d))) after" % n).selectExpr(
+        "match_id", "before", "after", "(after - before) * 0.5e0 as cost")
+    got = TK.match_fragments(rows)
+    assert {(r.before, r.after) for r in got.collect()} == {(i, i + 1) for i in range(n)}
 
 
 def test_components_and_chains(spark):

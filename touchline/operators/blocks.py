@@ -52,14 +52,14 @@ def prefix(
     ``sums``: running total up to and including the row. ``fills``: last non-null value up to and including the row.
     ``lags``: the previous row's value. ``back_sums`` and ``back_fills`` run from the end (over ``back_order``, which
     may break ties differently), so a fill is the next known value. ``order[0]`` is numeric and decides the block of
-    ``size`` positions. The input is read twice (rows and block summaries), so keep expensive inputs materialized.
+    ``size`` positions. Rows are dealt out by key and block once; the block summaries are made where the rows lie.
     """
     forward = [("sum", o, c) for o, c in (sums or {}).items()] + [("fill", o, c) for o, c in (fills or {}).items()] \
         + [("lag", o, c) for o, c in (lags or {}).items()]
     backward = [("sum", o, c) for o, c in (back_sums or {}).items()] \
         + [("fill", o, c) for o, c in (back_fills or {}).items()]
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_blk", block_of(order[0], size))
+    rows = df.withColumn("_blk", block_of(order[0], size)).repartition(*keys, "_blk")
     summary_aggs, carries, locals_ = [], [], []
     for work, cols, down in ((forward, order, False), (backward, list(back_order or order), True)):
         inside = Window.partitionBy(*keys, "_blk").orderBy(*[F.col(c).desc() if down else F.col(c) for c in cols])

@@ -262,9 +262,19 @@ class _Spaced(Fold):
         return (row,)
 
 
+def verdict() -> Column:
+    """A row's verdict; one that is missing is not reviewed yet."""
+    return F.coalesce(F.col("verdict"), F.lit(""))
+
+
+def is_manual() -> Column:
+    """Whether a row was entered by hand; logs from before the column had only such rows."""
+    return F.coalesce(F.col("source"), F.lit("manual")) == "manual"
+
+
 def add_detected(log: DataFrame, fresh: DataFrame, gap: float = DUPLICATE_S) -> DataFrame:
     """Fresh candidates that are not within ``gap`` of a recorded detection or of an earlier kept candidate."""
-    recorded = log.where(F.col("source") != "manual").select("match_id", "time_s")
+    recorded = log.where(~is_manual()).select("match_id", "time_s")
     free = within(fresh, recorded, ["match_id"], "time_s", gap, "_known").where(~F.col("_known")).drop("_known")
     pieces = gap_pieces(free, ["match_id"], ["time_s", "event_id"], gap, size=600.0)
     return fold_sorted(pieces, ["match_id", "piece"], ["time_s", "event_id"], lambda key: _Spaced(gap),
@@ -273,19 +283,19 @@ def add_detected(log: DataFrame, fresh: DataFrame, gap: float = DUPLICATE_S) ->
 
 def reconcile(log: DataFrame, fresh: DataFrame, source: str | None = None,
               gap: float = DUPLICATE_S) -> tuple[DataFrame, DataFrame]:
-    """The log after a fresh scan and the rows it dropped. Manual and confirmed rows always stay."""
+    """The log after a fresh scan and the rows it dropped; every row is in one of the two. Manual and confirmed rows stay."""
     both = log.withColumn("_new", F.lit(False)).unionByName(
         add_detected(log, fresh, gap).withColumn("_new", F.lit(True)))
-    safe = (F.col("source") == "manual") | (F.col("verdict") == "true")
+    safe = is_manual() | (verdict() == "true")
     if source is not None:
         safe = safe | (F.col("source") != source)
     seen = within(both, fresh.select("match_id", "time_s"), ["match_id"], "time_s", gap, "_fresh")
-    keep = safe | F.col("_fresh")
+    keep = safe | F.coalesce(F.col("_fresh"), F.lit(False))
     return seen.where(keep).drop("_fresh", "_new"), seen.where(~keep).drop("_fresh", "_new")
 
 
 def review_counts(log: DataFrame) -> DataFrame:
-    v = F.col("verdict")
+    v = verdict()
     return log.groupBy("match_id").agg(
         F.count(F.when(v == "true", 1)).alias("confirmed"), F.count(F.when(v == "false", 1)).alias("rejected"),
         F.count(F.when(~v.isin("true", "false"), 1)).alias("unreviewed"))
@@ -293,9 +303,9 @@ def review_counts(log: DataFrame) -> DataFrame:
 
 def event_subset(log: DataFrame, which: str, t: float | None = None) -> DataFrame:
     """``manual``, ``detected``, ``without_detected``, ``without_false`` or ``before`` a time."""
-    manual = F.col("source") == "manual"
+    manual = is_manual()
     rules = {"manual": manual, "detected": ~manual, "without_detected": manual,
-             "without_false": manual | (F.col("verdict") != "false"),
+             "without_false": manual | (verdict() != "false"),
              "before": F.col("time_s") <= F.lit(t if t is not None else 0.0)}
     return log.where(rules[which])
 
@@ -303,7 +313,7 @@ def event_subset(log: DataFrame, which: str, t: float | None = None) -> DataFram
 def repeated_tags(log: DataFrame, tags: DataFrame, gap: float = 0.01) -> DataFrame:
     """Manual tags already in the log: same type, team and recording, closer than ``gap``."""
     keys = ["match_id", "type", "team", "video"]
-    seen = within(tags, log.where(F.col("source") == "manual").select(*keys, "time_s"), keys, "time_s", gap, "_dup",
+    seen = within(tags, log.where(is_manual()).select(*keys, "time_s"), keys, "time_s", gap, "_dup",
                   block=60.0)
     return seen.where("_dup").drop("_dup")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from .blocks import Fold, fold_sorted
+from .events import verdict
 
 # Seconds per tier, weights
 TIERS = {"clip": 24.0, "goals": 90.0, "match": 300.0}
@@ -25,10 +26,11 @@ def build_moments(log: DataFrame, momentum: DataFrame | None = None, durations:
     factor = (F.when(kind == "goal", 3.0).when(kind == "penalty", 2.5).when(kind.isin("shot", "save", "block"), 1.6)
               .when(kind == "corner", 1.3).when(kind.isin("clearance", "tackle"), 1.2).otherwise(1.0))
     note = F.when(F.col("note") != "", F.concat(F.lit(": "), F.col("note"))).otherwise("")
-    events = log.where(F.col("verdict") != "false").select(
+    source = F.coalesce(F.col("source"), F.lit("manual"))
+    events = log.where(verdict() != "false").select(
         "match_id", "time_s", *[c.alias(n) for n, c in _window(F.col("time_s")).items()],
-        (F.when(F.col("source") == "manual", 10.0).otherwise(1.0) * factor).alias("weight"),
-        F.concat(kind, F.lit(" ("), F.col("source"), F.lit(")"), note).alias("reason"), kind.alias("event_type"),
+        (F.when(source == "manual", 10.0).otherwise(1.0) * factor).alias("weight"),
+        F.concat(kind, F.lit(" ("), source, F.lit(")"), note).alias("reason"), kind.alias("event_type"),
         F.col("team").cast("long").alias("team"), "video",
         F.struct(F.lit(0).alias("k"), F.col("time_s").alias("t"), F.col("event_id").cast("long").alias("i")).alias("ord"))
     out = events
@@ -70,8 +72,8 @@ def moment_on_source(moments: DataFrame, source: str, clips: DataFrame) -> DataF
 def select_reels(moments: DataFrame, tiers: dict[str, float] = TIERS, min_gap_s: float = MIN_GAP_S) -> DataFrame:
     """Moments of each tier's reel: by weight, skipping what would pass the budget or sits near a chosen moment.
 
-    Taking the best eligible moment of every match at once, round by round, is the same as walking a match's moments
-    in order of weight; a clip lasts at least 15 s, so the budget bounds the rounds.
+    One shuffle brings a match's moments of a tier together in order of weight, where they are walked with the chosen
+    times as state; a moment lasts at least 15 s, so the budget bounds them.
     """
     parts = []
     strong = moments.groupBy("match_id").agg(F.max(F.col("event_type").isin("goal", "penalty")).alias("_strong"))
@@ -88,24 +90,25 @@ def select_reels(moments: DataFrame, tiers: dict[str, float] = TIERS, min_gap_s:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    pool = cut(rows)
-    key = ["match_id", "tier"]
-    row = F.struct(*[F.col(c) for c in rows.columns])
-    chosen = None
-    for _ in range(int(max(tiers.values()) // MIN_CLIP_S) + 2):
-        if chosen is None:
-            open_rows = pool
-        else:
-            state = chosen.groupBy(*key).agg(F.sum("length").alias("_used"), F.collect_list("time_s").alias("_times"))
-            near = F.exists("_times", lambda q: F.abs(F.col("time_s") - q) < min_gap_s)
-            fits = (F.col("_used") < F.col("budget")) & (F.col("_used") + F.col("length") <= F.col("budget")) & ~near
-            open_rows = pool.join(state, key).where(fits).select(*rows.columns)
-        best = open_rows.groupBy(*key).agg(F.min_by(row, F.struct((-F.col("weight")).alias("w"), "ord")).alias("_r"))
-        picked = cut(best.select("_r.*"))
-        if not picked.limit(1).count():
-            break
-        chosen = picked if chosen is None else cut(chosen.unionByName(picked))
-    return (chosen if chosen is not None else pool.limit(0)).drop("budget", "ord")
+    ranked = rows.withColumn("_down", -F.col("weight"))
+    chosen = fold_sorted(ranked, ["match_id", "tier"], ["_down", "ord"], lambda key: _Reel(min_gap_s), ranked.schema)
+    return chosen.drop("budget", "ord", "_down")
+
+
+class _Reel(Fold):
+    """A reel's moments by weight: one that would pass the budget or is near a chosen moment is skipped."""
+
+    def __init__(self, gap: float):
+        self.gap, self.used, self.times = gap, 0.0, []
+
+    def step(self, row):
+        first = not self.times
+        fits = first or (self.used < row.budget and self.used + row.length <= row.budget)
+        if not fits or any(abs(row.time_s - t) < self.gap for t in self.times):
+            return ()
+        self.used += row.length
+        self.times.append(row.time_s)
+        return (tuple(row),)
 
 
 def reel_manifest(reels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_between_rotations
+from ..session import cut
 from .blocks import exact_percentiles, halo
 from .joins import neighbors
 
@@ -41,10 +42,17 @@ def clip_end(boxes: DataFrame, clips: DataFrame) -> DataFrame:
         F.col("end_s") > F.col("start_s"))
 
 
+def _inside(boxes: DataFrame, ends: DataFrame, bucket: float = 60.0) -> DataFrame:
+    """Boxes within a clip of their track. Both sides meet by minute, so a clip meets the boxes around it only."""
+    minute = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    spans = ends.select(*KEY, "start_s", "end_s", F.explode(F.sequence(minute("start_s"), minute("end_s"))).alias("_m"))
+    return boxes.withColumn("_m", minute("t")).join(spans, ["match_id", "track_id", "_m"]).where(
+        F.col("t").between(F.col("start_s"), F.col("end_s"))).drop("_m")
+
+
 def crop_size(boxes: DataFrame, ends: DataFrame, width: int, height: int) -> DataFrame:
     """Crop width and height per clip from the median box height inside it."""
-    inside = boxes.join(ends.select(*KEY, "start_s", "end_s"), ["match_id", "track_id"]).where(
-        F.col("t").between(F.col("start_s"), F.col("end_s")))
+    inside = _inside(boxes, ends)
     middle = exact_percentiles(inside, KEY, F.abs(F.col("y2") - F.col("y1")) * width, {"_h": 0.5})
     rows = ends.select(*KEY).join(middle, KEY, "left")
     target = F.when(F.col("_h") > 0, F.col("_h") / PLAYER_SHARE).otherwise(MIN_CROP_PX)
@@ -58,7 +66,7 @@ def crop_path(boxes: DataFrame, clips: DataFrame, width: int, height: int, rate_
 
     ``boxes``: ``match_id, track_id, t, x1, y1, x2, y2`` over the frame width.
     """
-    ends = clip_end(boxes, clips)
+    ends = cut(clip_end(boxes, clips))
     length = F.col("end_s") - F.col("start_s")
     steps = F.greatest(F.lit(1), F.ceil(length * rate_hz).cast("int"))
     grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), steps))).withColumn("_n", steps)
@@ -70,12 +78,12 @@ def crop_path(boxes: DataFrame, clips: DataFrame, width: int, height: int, rate_
     place = boxes.select("match_id", "track_id", "t", ((F.col("x1") + F.col("x2")) * (width / 2.0)).alias("cx"),
                          ((F.col("y1") + F.col("y2")) * (width / 2.0)).alias("cy"))
     # only sightings inside the clip count; outside them the nearest one is held
-    seen = place.join(ends.select(*KEY, "start_s", "end_s"), ["match_id", "track_id"])
-    inside = seen.where(F.col("t").between(F.col("start_s"), F.col("end_s")))
+    inside = _inside(place, ends)
     enough = inside.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= 2)
-    lone = seen.join(enough, KEY, "left_anti").groupBy(*KEY).agg(
-        F.min_by(F.struct("t", "cx", "cy"), F.struct(F.abs(F.col("t") - F.col("start_s")), "t")).alias("s")).select(
-        *KEY, "s.t", "s.cx", "s.cy")
+    around = neighbors(ends.join(enough, KEY, "left_anti").select(*KEY, "start_s"), place, ["match_id", "track_id"], "start_s", "t", ["cx", "cy"])
+    later = F.col("next.t") - F.col("start_s") < F.col("start_s") - F.col("prev.t")
+    lone = around.withColumn("s", F.when(F.col("prev").isNull() | F.coalesce(later, F.lit(False)), F.col("next")).otherwise(F.col("prev"))).where(
+        F.col("s").isNotNull()).select(*KEY, "s.t", "s.cx", "s.cy")
     used = inside.join(enough.select(*KEY), KEY, "left_semi").select(*KEY, "t", "cx", "cy").unionByName(lone)
     pts = neighbors(grid.select(*KEY, "i", "_n", "_g", "_at"), used, KEY, "_at", "t", ["cx", "cy"])
     p, n = F.col("prev"), F.col("next")
@@ -85,7 +93,7 @@ def crop_path(boxes: DataFrame, clips: DataFrame, width: int, height: int, rate_
         return F.when(n.isNull(), p[c]).when(p.isNull(), n[c]).when(share.isNull(), p[c]).otherwise(
             p[c] + share * (n[c] - p[c]))
 
-    pts = pts.withColumns({"_x": mix("cx"), "_y": mix("cy")})
+    pts = cut(pts.select(*KEY, "i", "_n", "_g", mix("cx").alias("_x"), mix("cy").alias("_y")))
     k = max(1, round(smooth_s * rate_hz))
     before, behind = k // 2, k - 1 - k // 2
     block = 4096

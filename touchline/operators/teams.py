@@ -29,7 +29,7 @@ def kit_rows(dets: DataFrame, min_height: float = MIN_HEIGHT) -> DataFrame:
     enough = usable.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("_u"), F.count(F.when(in_band, 1)).alias("_b")).where(
         (F.col("_u") >= MIN_OBS) & (F.col("_b") >= MIN_OBS)).select(*TRACK)
     band = usable.where(in_band).join(enough, TRACK, "left_semi")
-    marked = band.join(exact_percentiles(band, TRACK, F.col("_h"), {"_q": QUANTILE}), TRACK).withColumn(
+    marked = band.join(band.groupBy(*TRACK).agg(F.percentile(F.col("_h").cast("double"), F.lit(QUANTILE)).alias("_q")), TRACK).withColumn(
         "_big", F.col("_h") >= F.col("_q"))
     many = marked.groupBy(*TRACK).agg((F.count(F.when(F.col("_big"), 1)) >= MIN_OBS).alias("_use_big"))
     return marked.join(many, TRACK).where(~F.col("_use_big") | F.col("_big")).select(*dets.columns)
@@ -37,13 +37,11 @@ def kit_rows(dets: DataFrame, min_height: float = MIN_HEIGHT) -> DataFrame:
 
 def kit_evidence(dets: DataFrame, min_height: float = MIN_HEIGHT) -> DataFrame:
     """``descriptor ARRAY(11)`` (component medians), ``weight`` (root of the count) and mean kit share per track."""
-    rows = cut(kit_rows(dets.select(*TRACK, "kit", "height_px"), min_height).select(*TRACK, "kit"))
-    parts = rows.select(*TRACK, F.posexplode(F.slice("kit", 2, DIM)).alias("c", "v"))
-    medians = exact_percentiles(parts, [*TRACK, "c"], F.col("v"), {"m": 0.5})
-    vec = medians.groupBy(*TRACK).agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "m"))), lambda s: s["m"])
-                                      .alias("descriptor"))
-    size = rows.groupBy(*TRACK).agg(F.sqrt(F.count(F.lit(1))).alias("weight"), F.avg(F.col("kit")[0]).alias("kit_share"))
-    return vec.join(size, TRACK)
+    rows = kit_rows(dets.select(*TRACK, "kit", "height_px"), min_height).select(*TRACK, "kit")
+    # a track is a small group: its medians are one aggregate, which counts equal values before the shuffle
+    medians = F.array(*[F.percentile(F.col("kit")[i].cast("double"), F.lit(0.5)) for i in range(1, DIM + 1)])
+    return rows.groupBy(*TRACK).agg(medians.alias("descriptor"), F.sqrt(F.count(F.lit(1))).alias("weight"),
+                                    F.avg(F.col("kit")[0]).alias("kit_share"))
 
 
 def evidence_floor(rows: Column, rate: Column) -> Column:
@@ -59,7 +57,7 @@ def _distance(a: Column, b: Column) -> Column:
 def lloyd(points: DataFrame, centers: DataFrame, dim: int, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
     """Weighted Lloyd for every match at once. ``points``: ``TRACK, z, weight``; ``centers``: ``match_id, centers``.
 
-    An empty cluster keeps its center. Stops when no label changes anywhere.
+    An empty cluster keeps its center. Stops when no label changes anywhere; raises after ``max_rounds``.
     """
     labeled = points.withColumn("label", F.lit(-1).cast("long"))
     for _ in range(max_rounds):
@@ -75,6 +73,8 @@ def lloyd(points: DataFrame, centers: DataFrame, dim: int, max_rounds: int = 300
         table = means.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("_m"))
         centers = cut(centers.join(table, "match_id").select("match_id", F.transform(
             "centers", lambda c, i: F.coalesce(F.try_element_at("_m", i.cast("long")), c)).alias("centers")))
+    else:
+        raise RuntimeError(f"team colors not settled after {max_rounds} rounds")
     return labeled, centers
 
 

@@ -21,6 +21,7 @@ from .blocks import Fold, fold_sorted, frames_for, gap_pieces, prefix, rescaled_
 SPRINT_MS, SIGMA_FACTOR, MAX_GATE_M, MIN_SIGMA_M = 7.0, 1.5, 3.0, 0.35
 MAX_AGE_FACTOR, AGE_PER_S, KIT_WEIGHT, MIN_KIT, MEMORY_S, GAIN, KIT_KEEP = 1.5, 0.5, 3.0, 0.2, 3.0, 0.5, 0.85
 STITCH_GAP_S, STITCH_BASE_M, STITCH_KIT, NO_KIT_FACTOR, UNJOINED = 6.0, 2.0, 0.45, 0.6, 1e6
+COST_UNITS = 1_000_000
 LOOSE_GAP_S, LOOSE_FACTOR = 30.0, 2.0
 
 
@@ -202,7 +203,7 @@ def stitch_samples(report: DataFrame, best: int = 6) -> DataFrame:
 def components(edges: DataFrame, keys: str = "match_id", limit: int = 60) -> DataFrame:
     """Label each edge ``(match_id, before, after, ...)`` with ``component``: the smallest node it is linked to.
 
-    Alternating star contractions; neighborhoods are only ever reduced to their minimum.
+    Alternating star contractions; neighborhoods are only ever reduced to their minimum. Raises if they do not settle.
     """
     u = edges.select(keys, (F.col("before") * 2).alias("u"), (F.col("after") * 2 + 1).alias("v"))
     links = cut(u.distinct())
@@ -220,42 +221,40 @@ def components(edges: DataFrame, keys: str = "match_id", limit: int = 60) -> Dat
         links = after
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components not settled after {limit} rounds")
     root = links.select(keys, F.col("u").alias("_n"), F.col("v").alias("_root"))
     out = edges.withColumn("_n", F.col("before") * 2).join(root, [keys, "_n"], "left")
     return out.withColumn("component", F.coalesce("_root", "_n")).drop("_n", "_root")
 
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    edges: dict[int, list[tuple[int, float]]] = {}
+    edges: dict[int, list[tuple[int, int]]] = {}
     for before, after, cost in sorted(zip(pdf["before"], pdf["after"], pdf["cost"])):
-        edges.setdefault(before, []).append((after, cost + 1.0))
-    pairs = match_sparse(edges, UNJOINED)
+        edges.setdefault(before, []).append((after, round((cost + 1.0) * COST_UNITS)))
+    pairs = match_sparse(edges, round(UNJOINED * COST_UNITS))
     return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "before": list(pairs), "after": list(pairs.values())},
                         dtype="int64")
 
 
-def match_fragments(edges: DataFrame, max_edges: int = 300_000) -> DataFrame:
+def match_fragments(edges: DataFrame) -> DataFrame:
     """At most one successor and predecessor per fragment: most joins first, then least total cost.
 
-    Components are independent, so each is solved apart and exactly; those with more than ``max_edges`` edges go
-    through the distributed auction instead of one task.
+    Costs count in whole millionths, and fragments are placed in ascending order, whatever the size, so equal costs are
+    decided alike everywhere. Components are independent, each is solved exactly in one task; a component lies within one
+    match, whose length bounds it.
     """
-    from .auction import auction_match
-    labeled = cut(components(edges))
-    size = labeled.groupBy("match_id", "component").agg(F.count(F.lit(1)).alias("_edges"))
-    big = size.where(F.col("_edges") > max_edges).select("match_id", "component")
-    small = labeled.join(big, ["match_id", "component"], "left_anti")
+    labeled = components(edges)
     schema = StructType([StructField(c, LongType()) for c in ("match_id", "before", "after")])
-    out = small.select("match_id", "component", "before", "after", "cost").groupBy("match_id", "component").applyInPandas(
+    return labeled.select("match_id", "component", "before", "after", "cost").groupBy("match_id", "component").applyInPandas(
         _solve, schema)
-    if big.limit(1).count():
-        rest = labeled.join(big, ["match_id", "component"], "left_semi").select("match_id", "before", "after", "cost")
-        out = out.unionByName(auction_match(rest))
-    return out
 
 
 def resolve_chains(joins: DataFrame, limit: int = 40) -> DataFrame:
-    """Head of each joined fragment's chain: ``match_id, track_id, head`` by pointer jumping."""
+    """Head of each joined fragment's chain: ``match_id, track_id, head`` by pointer jumping.
+
+    Each round doubles the reach, so 40 rounds are more than any chain takes; a ring of joins raises.
+    """
     links = cut(joins.select("match_id", F.col("after").alias("track_id"), F.col("before").alias("head")))
     for _ in range(limit):
         up = links.select("match_id", F.col("track_id").alias("head"), F.col("head").alias("_up"))
@@ -263,8 +262,8 @@ def resolve_chains(joins: DataFrame, limit: int = 40) -> DataFrame:
             "match_id", "track_id", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("_moved")))
         links = after.drop("_moved")
         if not after.where("_moved").limit(1).count():
-            break
-    return links
+            return links
+    raise RuntimeError("joins go round in a ring")
 
 
 def stitch_tracks(obs: DataFrame, kits: DataFrame, rate: float) -> DataFrame:

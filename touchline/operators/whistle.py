@@ -31,11 +31,35 @@ def _power(samples) -> np.ndarray:
     return (np.abs(np.fft.rfft(frames * np.hanning(WINDOW), axis=1)) ** 2).astype(np.float32)
 
 
-def stitch_audio(blocks: DataFrame, clips: DataFrame) -> DataFrame:
-    """Blocks of clips ``(match_id, path, offset, sr, samples)`` on the game's sample clock (``start`` sample)."""
+OVERLAP = WINDOW - HOP
+
+
+def stitch_audio(blocks: DataFrame, clips: DataFrame, size: int = HOP * 4096) -> DataFrame:
+    """Blocks of clips ``(match_id, path, offset, sr, samples)`` cut anew on the game's sample clock.
+
+    The result's blocks start at multiples of ``size`` (itself a multiple of the hop) and reach 384 samples into the
+    next, so windows run across the joins of clips and none is counted twice. Where blocks overlap, the earlier one's
+    samples count; a hole before samples is silence, and a block ends with its last sample. Only a block is gathered.
+    """
     c = clips.select("match_id", "path", F.col("start_s").alias("_at"))
-    return blocks.join(c, ["match_id", "path"]).select(
-        "match_id", (F.bround(F.col("_at") * F.col("sr"), 0).cast("long") + F.col("offset")).alias("start"), "sr", "samples")
+    start = F.bround(F.col("_at") * F.col("sr"), 0).cast("long") + F.col("offset")
+    rows = blocks.join(c, ["match_id", "path"]).withColumn("_s", start).withColumn("_e", start + F.size("samples"))
+    cell = F.sequence(F.greatest(F.lit(0), F.floor((F.col("_s") - OVERLAP) / size)).cast("long"), F.floor((F.col("_e") - 1) / size).cast("long"))
+    rows = rows.where(F.size("samples") > 0).withColumn("_c", F.explode(cell))
+    low = F.greatest(F.col("_s"), F.col("_c") * size)
+    high = F.least(F.col("_e"), (F.col("_c") + 1) * size + OVERLAP)
+    part = F.struct(low.alias("s"), F.slice("samples", (low - F.col("_s") + 1).cast("int"), (high - low).cast("int")).cast("array<float>").alias("a"))
+    cells = rows.where(low < high).groupBy("match_id", "sr", "_c").agg(F.array_sort(F.collect_list(part)).alias("_p"))
+    begin = F.col("_c") * size
+    zero = F.struct(begin.alias("to"), F.array().cast("array<array<float>>").alias("all"))
+
+    def add(acc, p):
+        skip = F.greatest(F.lit(0), acc["to"] - p["s"]).cast("int")
+        hole = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), p["s"] - acc["to"]).cast("int"))
+        rest = F.slice(p["a"], skip + 1, F.greatest(F.lit(0), F.size(p["a"]) - skip))
+        return F.struct(F.greatest(acc["to"], p["s"] + F.size(p["a"])).alias("to"), F.concat(acc["all"], F.array(hole, rest)).alias("all"))
+
+    return cells.select("match_id", begin.alias("start"), "sr", F.aggregate("_p", zero, add, lambda acc: F.flatten(acc["all"])).alias("samples"))
 
 
 def spectra(blocks: DataFrame) -> DataFrame:
@@ -84,17 +108,20 @@ def tone_islands(windows: DataFrame, sr: int) -> DataFrame:
     rows = cut(rows.withColumn("smooth", F.sum(ratio).over(near) / 5.0).where("_own").select(
         "match_id", "w", "smooth", "level", "freq"))
     base = exact_percentiles(rows, ["match_id"], F.col("smooth"), {"base": 0.5})
+    base = cut(base)
     off = exact_percentiles(rows.join(base, "match_id"), ["match_id"], F.abs(F.col("smooth") - F.col("base")), {"mad": 0.5})
     loud = exact_percentiles(rows, ["match_id"], F.col("level"), {"usual": 0.5})
     count = rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("_n"))
     gate = base.join(off, "match_id").join(loud, "match_id").join(count, "match_id").where(
         (F.col("usual") >= SILENCE) & (F.col("_n") >= MIN_WINDOWS)).select(
         "match_id", "usual", (F.col("base") + (F.col("mad") * 1.4826 + 1e-9) * PEAK_SIGMAS).alias("threshold"))
-    marked = runs(rows.join(gate, "match_id"), ["match_id"], "w", F.col("smooth") > F.col("threshold"))
+    gate = cut(gate)
+    marked = cut(runs(rows.join(gate, "match_id"), ["match_id"], "w", F.col("smooth") > F.col("threshold")))
     best = F.max_by(F.struct("freq", "smooth"), F.struct("smooth", -F.col("w")))
     islands = marked.groupBy("match_id", "run").agg(F.min("w").alias("a"), (F.max("w") + 1).alias("z"), best.alias("b"),
                                                     F.max("usual").alias("usual"))
-    level = exact_percentiles(marked, ["match_id", "run"], F.col("level"), {"lv": 0.5})
+    # an island is a few windows: a plain percentile
+    level = marked.groupBy("match_id", "run").agg(F.percentile("level", F.lit(0.5)).alias("lv"))
     step = HOP / sr
     return islands.join(level, ["match_id", "run"]).select(
         "match_id", (F.col("a") * step).alias("time_s"), ((F.col("z") - F.col("a")) * step).alias("duration_s"),

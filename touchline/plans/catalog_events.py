@@ -169,7 +169,7 @@ def q_motion(T):
 
 @query("static_runs", f"WITH {FACTS_CTE} SELECT match_id, start_frame, end_frame, x, y FROM sr")
 def q_static(T):
-    rows = _motion(T).withColumn("still", F.coalesce(F.col("speed") < B.STATIC_MS, F.lit(False)))
+    rows = cut(_motion(T)).withColumn("still", F.coalesce(F.col("speed") < B.STATIC_MS, F.lit(False)))
     return B.static_runs(rows).select("match_id", "start_frame", "end_frame", "x", "y")
 
 
@@ -211,7 +211,7 @@ def q_pens(T):
 @query("detect_shots", f"WITH {SHOTS} SELECT {EVENT_OUT} FROM shots")
 def q_shots(T):
     f = _facts(T)
-    lags = E.lag_frames(f)
+    lags = cut(E.lag_frames(f))
     first = E.detect_goals(f, T["obs"], lags, L, W).unionByName(
         E.detect_penalties(B.static_runs(f), T["whistles"], T["obs"], lags, L, W))
     return _event(E.detect_shots(f, first, T["obs"], lags, L, W))

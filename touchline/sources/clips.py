@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -11,16 +11,14 @@ from ..functions import labels
 def plan_clips(clips: DataFrame) -> DataFrame:
     """Clips of each match in name order, each once, with where they start on the game clock.
 
-    The running sum is over a match's clip files; they are first reduced to one row per file.
+    Names are compared whole. The window is over a match's clip files, one row each: a recording has a handful, and
+    their number doesn't grow with the footage of other matches. Of a file listed twice the greater values count.
     """
-    from ..operators.blocks import prefix
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    once = clips.groupBy("match_id", "path").agg(*[F.first(c).alias(c) for c in clips.columns if c not in ("match_id", "path")])
-    # names are ordered in blocks by their hash-free prefix: the first two characters decide the block
-    block = F.ascii(name) * 256 + F.ascii(F.substring(name, 2, 1))
-    rows = once.withColumns({"_b": block, "_name": name})
-    out = prefix(rows, ["match_id"], ["_b", "_name", "path"], 1.0, sums={"_to": F.col("duration_s"), "clip_no": F.lit(1)})
-    return out.select(*clips.columns, (F.col("_to") - F.col("duration_s")).alias("start_s"), F.col("clip_no").cast("long").alias("clip_no"))
+    once = clips.groupBy("match_id", "path").agg(*[F.max(c).alias(c) for c in clips.columns if c not in ("match_id", "path")])
+    order = Window.partitionBy("match_id").orderBy(F.regexp_extract("path", r"([^/]*)$", 1), "path")
+    to = F.sum("duration_s").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return once.select(*clips.columns, (to - F.col("duration_s")).alias("start_s"),
+                       F.row_number().over(order).cast("long").alias("clip_no"))
 
 
 def check_clips(planned: DataFrame) -> DataFrame:

@@ -53,11 +53,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upgrade_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Old column names to new ones; a new column that is already there wins."""
+    """Old column names to new ones. Where a table has both, each row keeps its new value and else its old one."""
     out = df
     for old, new in names.items():
-        if old in out.columns:
-            out = out.drop(old) if new in out.columns else out.withColumnRenamed(old, new)
+        if old not in out.columns:
+            continue
+        if new in out.columns:
+            out = out.withColumn(new, F.coalesce(new, old)).drop(old)
+        else:
+            out = out.withColumnRenamed(old, new)
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.events import reconcile
 from ..operators.metrics import POSSESSION_RADIUS_M
 from ..session import cut
+from ..sources.reports import with_event_defaults
 from .ordered import ORIGIN_MS
 
 
@@ -53,14 +54,16 @@ def play_sessions(stream: DataFrame, fps: float, delay: str = "10 seconds", min_
 def reconcile_batches(log_path: str, source: str | None = None):
     """A ``foreachBatch`` function that brings a review log (parquet by match) in line with fresh scans.
 
-    A micro-batch holds whole scans of its matches. Running a batch again changes nothing, so a restart is safe; only
-    the matches in the batch are rewritten.
+    A micro-batch holds whole scans of its matches. A scan that found nothing is a row without ``time_s``: it empties
+    the match of outdated rows. Running a batch again changes nothing, so a restart is safe; only the matches in the
+    batch are rewritten. A match whose rows all go keeps its folder with no row of it.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = cut(batch)
-        touched = fresh.select("match_id").distinct()
-        log = spark.read.parquet(log_path).join(touched, "match_id", "left_semi").select(*fresh.columns)
+        scans = cut(batch)
+        fresh = scans.where(F.col("time_s").isNotNull())
+        touched = scans.select("match_id").distinct()
+        log = with_event_defaults(spark.read.parquet(log_path)).join(touched, "match_id", "left_semi").select(*fresh.columns)
         kept = cut(reconcile(log, fresh, source)[0])
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(log_path)
 
