@@ -399,9 +399,18 @@ def q_repeated(T):
     return E.repeated_tags(T["event_log"], tags).select("match_id", "event_id")
 
 
-@query("dedupe_events")
+@query("dedupe_events", """WITH RECURSIVE ev AS (SELECT match_id, type, event_id, time_s, confidence,
+    row_number() OVER (PARTITION BY match_id, type ORDER BY time_s, event_id) AS rn FROM event_log),
+wk AS (SELECT match_id, type, rn, event_id, time_s AS t, confidence AS c, FALSE AS anew FROM ev WHERE rn = 1
+  UNION ALL SELECT e.match_id, e.type, e.rn, CASE WHEN far OR e.confidence > c THEN e.event_id ELSE kept END,
+    CASE WHEN far OR e.confidence > c THEN e.time_s ELSE t END, CASE WHEN far OR e.confidence > c THEN e.confidence ELSE c END, far
+  FROM (SELECT e.*, w.event_id AS kept, w.t, w.c, e.time_s - w.t >= 3e0 AS far FROM wk w JOIN ev e
+    ON e.match_id = w.match_id AND e.type = w.type AND e.rn = w.rn + 1) e)
+SELECT w.match_id, w.type, w.event_id, w.t AS time_s, w.c AS confidence FROM wk w LEFT JOIN wk n
+  ON n.match_id = w.match_id AND n.type = w.type AND n.rn = w.rn + 1 WHERE coalesce(n.anew, TRUE)""")
 def q_dedupe(T):
-    return E.dedupe_events(T["event_log"].withColumn("frame", F.col("event_id")))
+    out = E.dedupe_events(T["event_log"].withColumn("frame", F.col("event_id")))
+    return out.select("match_id", "type", "event_id", "time_s", "confidence")
 
 
 @query("event_from_tag", """SELECT event_id, type NOT IN ('goal', 'shot', 'save', 'block', 'corner', 'penalty',

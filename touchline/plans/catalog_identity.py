@@ -228,9 +228,22 @@ def q_on_source(T):
     return out.select("match_id", F.col("ord.i").alias("i"), "clip_start_s", "clip_end_s")
 
 
-@query("select_reels")
+@query("select_reels", f"""WITH RECURSIVE {MOMENT_CTE},
+st AS (SELECT match_id, bool_or(event_type IN ('goal', 'penalty')) AS strong FROM mm GROUP BY 1),
+pl AS (SELECT 'clip' AS tier, 24e0 AS budget, least(30e0, greatest(15e0, end_s - start_s)) AS ln, m.* FROM mm m
+  UNION ALL SELECT 'goals', 90e0, greatest(15e0, end_s - start_s), m.* FROM mm m JOIN st ON st.match_id = m.match_id
+    WHERE CASE WHEN strong THEN event_type IN ('goal', 'penalty') ELSE event_type IN ('shot', 'save', 'block') END
+  UNION ALL SELECT 'match', 300e0, greatest(15e0, end_s - start_s), m.* FROM mm m),
+rk AS (SELECT *, row_number() OVER (PARTITION BY match_id, tier ORDER BY weight DESC, src, time_s, i) AS rn FROM pl),
+wk AS (SELECT match_id, tier, rn, ln AS used, [time_s] AS times, TRUE AS took FROM rk WHERE rn = 1
+  UNION ALL SELECT match_id, tier, rn, CASE WHEN ok THEN used + ln ELSE used END, CASE WHEN ok THEN list_append(times, time_s) ELSE times END, ok
+  FROM (SELECT r.*, w.used, w.times, w.used < r.budget AND w.used + r.ln <= r.budget
+      AND NOT list_bool_or([abs(r.time_s - q) < 20e0 FOR q IN w.times]) AS ok
+    FROM wk w JOIN rk r ON r.match_id = w.match_id AND r.tier = w.tier AND r.rn = w.rn + 1) s)
+SELECT match_id, tier, round_even(time_s, 2) AS time_s, round_even(start_s, 2) AS start_s, round_even(end_s, 2) AS end_s,
+  round_even(weight, 2) AS weight, event_type FROM wk JOIN rk USING (match_id, tier, rn) WHERE took""")
 def q_reels(T):
-    return H.reel_manifest(H.select_reels(_moments(T)))
+    return H.reel_manifest(H.select_reels(_moments(T))).drop("reason", "team", "video")
 
 
 @query("iou_pairs", """SELECT a.match_id, a.frame, a.det_id AS a_id, b.det_id AS b_id,
@@ -319,9 +332,14 @@ def q_report(T):
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("reachable"), 1)).alias("reachable"))
 
 
-@query("stitch_samples")
+@query("stitch_samples", f"""WITH {FRAG}, rs AS (SELECT *, CASE WHEN gap > 30 THEN 'gap' ELSE 'distance-no-kit' END AS reason,
+    distance / (gap * (0.6e0 * (7e0 / 5e0)) + 2e0) AS ratio FROM pr WHERE distance <= 2e0 * (gap * (7e0 / 5e0) + 2e0)
+    AND CASE WHEN gap > 30 THEN distance <= gap * (7e0 / 5e0) + 2e0 ELSE distance > gap * (0.6e0 * (7e0 / 5e0)) + 2e0 END)
+SELECT match_id, before, after, reason, round_even(ratio, 6) AS ratio, rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY match_id, reason ORDER BY ratio, before, after) AS rank FROM rs) z WHERE rank <= 6""")
 def q_samples(T):
-    return TK.stitch_samples(TK.stitch_report(_frags(T), 5.0))
+    out = TK.stitch_samples(TK.stitch_report(_frags(T), 5.0))
+    return out.select("match_id", "before", "after", "reason", F.bround("ratio", 6).alias("ratio"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("match_fragments")

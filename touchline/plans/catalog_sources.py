@@ -147,7 +147,18 @@ def q_color(T):
     return rows.select("p_partkey", "name", N.suggest_team_name(F.col("name")).alias("team"), "hex")
 
 
-@query("kit_rgb")
+@query("kit_rgb", """WITH q AS (SELECT match_id, frame, det_id, floor(least(greatest(kit_l * 255e0, 0e0), 255e0)) * (100e0 / 255e0) AS l,
+    floor(least(greatest(kit_a * 255e0, 0e0), 255e0)) - 128e0 AS a, floor(least(greatest(kit_b * 255e0, 0e0), 255e0)) - 128e0 AS b FROM dets),
+f AS (SELECT *, (l + 16e0) / 116e0 AS fy, (l + 16e0) / 116e0 + a / 500e0 AS fx, (l + 16e0) / 116e0 - b / 200e0 AS fz FROM q),
+x AS (SELECT *, CASE WHEN fx > 6e0 / 29e0 THEN fx * fx * fx ELSE (fx - 16e0 / 116e0) / 7.787e0 END * 0.950456e0 AS xx,
+    CASE WHEN l > 7.9996248e0 THEN fy * fy * fy ELSE l / 903.3e0 END AS yy,
+    CASE WHEN fz > 6e0 / 29e0 THEN fz * fz * fz ELSE (fz - 16e0 / 116e0) / 7.787e0 END * 1.088754e0 AS zz FROM f),
+c AS (SELECT match_id, frame, det_id, unnest([0, 1, 2]) AS k, unnest([xx * 3.240479e0 - yy * 1.53715e0 - zz * 0.498535e0,
+    yy * 1.875991e0 - xx * 0.969256e0 + zz * 0.041556e0, xx * 0.055648e0 - yy * 0.204043e0 + zz * 1.057311e0]) AS v FROM x),
+g AS (SELECT match_id, frame, det_id, k, CAST(round_even(least(greatest(CASE WHEN v <= 0.0031308e0 THEN v * 12.92e0
+    ELSE pow(greatest(v, 0e0), 1e0 / 2.4e0) * 1.055e0 - 0.055e0 END, 0e0), 1e0) * 255e0, 0) AS BIGINT) AS w FROM c)
+SELECT match_id, frame, det_id, max(CASE WHEN k = 0 THEN w END) AS r, max(CASE WHEN k = 1 THEN w END) AS g,
+  max(CASE WHEN k = 2 THEN w END) AS b FROM g GROUP BY 1, 2, 3""")
 def q_kit(T):
     return N.with_kit_rgb(T["dets"], F.col("kit_l"), F.col("kit_a"), F.col("kit_b")).select("match_id", "frame", "det_id", "r", "g", "b")
 
