@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +36,18 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000, chars: int = 4_
             yield keys, texts
 
 
-class WordHashes(dict):
-    """A 64-bit hash per word (bytes), remembered; forgets all it holds beyond ``most`` words, which changes no result."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts (parted at x20 and x09-x0D; ``lower``: A-Z count as a-z) as 64-bit hashes in one row, and
+    how many each text has. Arrow splits and numbers them; each distinct word is hashed once."""
+    column = pa.array(texts, pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    coded = parts.flatten().dictionary_encode()
+    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    real = np.fromiter(map(len, words), np.int64, len(words)) > 0  # ends of a text that are white space give empty words
+    keep = real[which]
+    ends = np.concatenate([[0], np.cumsum(keep)])[parts.offsets.to_numpy()]
+    return hashes[which[keep]], np.diff(ends)
 
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -65,17 +63,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _ODD[0]
+    h ^= h >> np.uint64(29)
+    h += b * _ODD[1]
+    return h
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """One hash for each run of ``size`` consecutive word hashes, order of words included."""
+    """One hash for each run of ``size`` consecutive word hashes, order of words included. Runs are put together from runs
+    of 1, 2, 4, ... words, so the work grows with the logarithm of ``size``."""
     count = len(words) - size + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    total = words[:count].copy()
-    for step in range(1, size):
-        total *= _ODD[0]
-        total += words[step:step + count]
-        total ^= total >> np.uint64(29)
-    return mix(total)
+    power, held, whole, length = words, 1, None, 0
+    left = size
+    while left:
+        if left & 1:
+            whole = power if whole is None else _joined(whole[:len(words) - length - held + 1], power[length:])
+            length += held
+        left >>= 1
+        if left:
+            power = _joined(power[:len(power) - held], power[held:])
+            held *= 2
+    return mix(whole[:count])
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of ``width`` values, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:len(values) - step], values[step:])
+        done += step
+    return values
 
 
 def signed(h: np.ndarray) -> np.ndarray:

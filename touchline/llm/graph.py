@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``id, component`` (the least id reachable) for every id in ``edges`` (``a, b``, both bigint, never null).
+FINISH = 200_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join up a bounded number of edges in one task: ``at, to`` for each end, ``to`` the least end reached."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            above.setdefault(a, a), above.setdefault(b, b)
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    ends = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([top(x) for x in ends], pa.int64())], names=["at", "to"])
+
+
+def components(edges: DataFrame, finish: int = FINISH, most_rounds: int = 100) -> DataFrame:
+    """``id, component`` (the least id reachable) for every id in ``edges`` (``a, b``, both bigint, never null) but
+    those with loops only.
 
     Each round sends every id to the least of itself and its neighbors and joins the edges' ends to where they went;
     edges within one id go, and the rest gets fewer by a factor each round, also for chains, whose ids are compared
-    after a bijective scramble that changes each round. Rounds end when no edge is left; a run that has not ended after
-    ``most_rounds`` raises. Repeated edges and loops are allowed; no edges give no rows.
+    after a scramble that changes each round. As soon as at most ``finish`` edges are left, one task joins them up; the
+    result is the same with any ``finish``. A run that has not ended after ``most_rounds`` raises. Repeated edges are
+    allowed; no edges give no rows.
     """
-    ends = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    ends = cut(ends)
-    labels = cut(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().withColumn("at", F.col("id")))
-    ids = labels
+    ends = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().withColumn("at", F.col("id"))
     for turn in range(most_rounds):
-        if ends.isEmpty():
+        small = ends.count() <= finish
+        if small:
+            went = ends.coalesce(1).mapInArrow(_union, "at bigint, to bigint")
+        else:
+            both = ends.union(ends.select("b", "a"))
+            rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("id"))
+            went = cut(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).withColumnRenamed("a", "at"))
+        labels = cut(labels.join(went, "at", "left").select("id", F.coalesce("to", "at").alias("at")))
+        if small:
             # all ids that ended at one place are one component: name it by its least id
             names = labels.groupBy("at").agg(F.min("id").alias("component"))
             return labels.join(names, "at").select("id", "component")
-        both = ends.union(ends.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("id"))
-        went = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).withColumnRenamed("a", "at")
-        went = cut(went)
-        labels = cut(labels.join(went, "at", "left").select("id", F.coalesce("to", "at").alias("at")))
         moved = ends.join(went.select(F.col("at").alias("a"), F.col("to").alias("ta")), "a").join(
             went.select(F.col("at").alias("b"), F.col("to").alias("tb")), "b")
         ends = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct())
-    raise RuntimeError(f"components of {ids.count()} ids not settled after {most_rounds} rounds")
+    raise RuntimeError(f"components not settled after {most_rounds} rounds")

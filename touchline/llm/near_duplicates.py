@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import WordHashes, mix, records, rows_of, shingle_hashes, signed
+from .common import mix, records, rows_of, shingle_hashes, signed, word_hashes
 from .graph import components
 
 SKETCH_BITS = 1024
 _LAST = 2**63 - 1
 
 
-def shingle_set(text: str, hashes: WordHashes, size: int) -> np.ndarray:
-    """The distinct shingles of a note as ascending hashes; a note of fewer words is one shingle, one without is none."""
-    words = hashes.of(text.encode().lower().split())
-    if 0 < len(words) < size:
-        return mix(shingle_hashes(words, len(words)) + np.uint64(len(words)))
-    return np.unique(shingle_hashes(words, size))
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each note as ascending hashes; a note of fewer words is one shingle, one without is none."""
+    words, counts = word_hashes(texts, lower=True)
+    runs = shingle_hashes(words, size)
+    sets, start = [], 0
+    for count in counts.tolist():
+        if 0 < count < size:
+            sets.append(mix(shingle_hashes(words[start:start + count], count) + np.uint64(count)))
+        else:
+            sets.append(np.unique(runs[start:max(start, start + count - size + 1)]))
+        start += count
+    return sets
 
 
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +60,8 @@ def _sketch(shingles: np.ndarray) -> bytes:
 
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for keys, texts in rows_of(batches):
-            sets = [shingle_set(t, hashes, size) for t in texts]
+            sets = shingle_sets(texts, size)
             d1 = [int(signed(np.array([mix(s).sum(dtype=np.uint64)]))[0]) for s in sets]
             d2 = [int(signed(np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5DEECE66D)), initial=np.uint64(0))]))[0]) for s in sets]
             keyed = [signed(band_keys(s, bands, rows)) if len(s) else None for s in sets]
@@ -134,13 +139,13 @@ def _block_pairs(percent: int):
 
 
 def near_duplicates(events: DataFrame, *, key: str = "event_id", text: str = "note", shingle: int = 5, percent: int = 80,
-                    bands: int = 24, rows: int = 4, rounds: int = 3, block: int = 256) -> DataFrame:
+                    bands: int = 24, rows: int = 4, rounds: int = 2, block: int = 256) -> DataFrame:
     """``key, n_shingles, component, kept``: notes linked where their shingle sets are alike by ``percent`` or more.
 
     1. One scan gives each note the size, a 128-bit digest, the band keys and a parity sketch of its shingle set.
     2. Notes of equal digest are one class, stood for by its least id; what follows is between classes.
     3. Classes that share a band key are a bucket. In each of ``rounds`` rounds every bucket that still holds more than
-       one component pairs its members with one member, another one each round, and the pairs are confirmed.
+       one component pairs its members with one member, another one each round; the pairs are confirmed and joined up.
     4. What is still apart is compared exactly, component against component, in pairs of blocks of ``block`` members
        dealt to all tasks; only pairs that pass two exact bounds leave a block. So no link is lost between notes that
        share a bucket, and no bucket is paired out in full where its members hang together.
@@ -153,23 +158,22 @@ def near_duplicates(events: DataFrame, *, key: str = "event_id", text: str = "no
     """
     if bands * rows % 2:
         raise ValueError("each permutation gives two values: bands * rows must be even")
-    spark = events.sparkSession
     notes = records(events, key, text)
     base = cut(notes.mapInArrow(_signatures(shingle, bands, rows),
                                 "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch binary"))
     full = base.where("n > 0 and id is not null")
     classes = cut(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members")))
-    heads = full.join(classes.select("d1", "d2", F.col("class").alias("id")), ["id", "d1", "d2"], "left_semi").groupBy("id").agg(
-        F.min(F.struct("n", "d1", "d2", "bands", "sketch")).alias("_h")).select("id", "_h.*")
+    # an id stands for one class only
+    chosen = classes.groupBy(F.col("class").alias("id")).agg(F.min(F.struct("n", "d1", "d2")).alias("_h")).select("id", "_h.*")
+    heads = full.join(chosen, ["id", "n", "d1", "d2"], "left_semi")
 
     buckets = heads.select("id", F.posexplode("bands").alias("band", "bucket")).select("id", F.xxhash64("band", "bucket").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = cut(buckets.join(shared, "bucket"))
+    shared = buckets.groupBy("bucket").agg((F.min("id") < F.max("id")).alias("_two")).where("_two").select("bucket")
+    members = cut(buckets.join(shared, "bucket").distinct())
     involved = members.select("id").distinct()
-    facts = heads.join(involved, "id", "left_semi").select("id", "n", "sketch")
+    facts = cut(heads.join(involved, "id", "left_semi").select("id", "n", "sketch").distinct())
     sets = cut(notes.withColumnRenamed("key", "id").join(involved, "id", "left_semi").mapInArrow(_set_rows(shingle), "id bigint, s binary")
                .groupBy("id").agg(F.min(F.struct(F.length("s").alias("_l"), "s")).alias("_s")).select("id", "_s.s"))
-    facts = cut(facts)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
@@ -179,23 +183,23 @@ def near_duplicates(events: DataFrame, *, key: str = "event_id", text: str = "no
         side = lambda c: facts.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sieve(percent), "a bigint, b bigint")
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    parts = spark.createDataFrame([], "id bigint, component bigint")
+    parts = cut(involved.withColumn("component", F.col("id")))
     for turn in range(rounds + 1):
-        placed = members.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        placed = members.join(parts, "id")
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n"),
                                              F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("_r"), "id", "component")).alias("_c"))
-        mixed = cut(mixed.where("_lo < _hi").select("bucket", "_n", F.col("_c.id").alias("center"), F.col("_c.component").alias("_of")))
-        if mixed.isEmpty():
-            break
+        mixed = mixed.where("_lo < _hi").select("bucket", "_n", F.col("_c.id").alias("center"), F.col("_c.component").alias("_of"))
         if turn < rounds:
             pairs = placed.join(mixed, "bucket").where(F.col("component") != F.col("_of")).select(
                 F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
             pairs = sieved(pairs)
         else:
             pairs = _rest(placed.join(mixed.select("bucket", "_n"), "bucket"), facts, percent, block)
-        links = cut(links.union(confirmed(pairs)).distinct())
-        parts = cut(components(links))
+        # links join components; what they join is found on the components alone
+        of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        merged = components(confirmed(pairs).join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        parts = cut(parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left").select(
+            "id", F.coalesce("_to", "component").alias("component")))
 
     named = classes.join(parts.select(F.col("id").alias("class"), "component"), "class", "left").select(
         "n", "d1", "d2", F.coalesce("component", "class").alias("component"))
@@ -203,16 +207,15 @@ def near_duplicates(events: DataFrame, *, key: str = "event_id", text: str = "no
         named.join(classes.where("members = 1").select("n", "d1", "d2", F.col("class")), ["n", "d1", "d2"]).where(
             "component <> class").select("n", "d1", "d2", "component")))
     out = base.select("id", "n", "d1", "d2").join(multiple, ["n", "d1", "d2"], "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component"),
                       (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for keys, texts in rows_of(batches, chars=1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([shingle_set(t, hashes, size).tobytes() for t in texts], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())],
                                              names=["id", "s"])
 
     return run

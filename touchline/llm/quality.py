@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import SPACE, WordHashes, records, rows_of, shingle_hashes
+from .common import SPACE, records, rows_of, shingle_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -41,12 +40,10 @@ def note_statistics(events: DataFrame, *, key: str = "event_id", text: str = "no
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for rows, texts in rows_of(batches):
             raw = [t.encode() for t in texts]
-            parts = [b.split() for b in raw]
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            repeats = _repeated(hashes.of(list(chain.from_iterable(parts))), counts)
+            words, counts = word_hashes(texts)
+            repeats = _repeated(words, counts)
             chars = [len(t) - len(b) + len(b.translate(None, SPACE)) for t, b in zip(texts, raw)]
             symbols = [len(b) - len(b.translate(None, SYMBOLS)) for b in raw]
             lines = [[x for x in b.split(b"\n") if x.strip(SPACE)] for b in raw]

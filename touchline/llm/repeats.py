@@ -3,54 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, records, rows_of, shingle_hashes, signed
+from .common import mix, records, rows_of, shingle_hashes, signed, sliding_least, word_hashes
 
 SEED = 5  # words of a seed; a window of 13 words has nine of them
 _LAST = 2**63 - 1
 
 
 class _Words:
-    """The words of some notes in one row of hashes, with the windows that lie within a note."""
+    """The words of some notes in one row of hashes, and where the windows within a note start."""
 
-    def __init__(self, texts: list[str], hashes: WordHashes, window: int):
-        parts = [t.encode().split() for t in texts]
-        self.counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.words = hashes.of(list(chain.from_iterable(parts)))
-        self.note = np.repeat(np.arange(len(parts)), self.counts)
+    def __init__(self, texts: list[str], window: int):
+        self.words, self.counts = word_hashes(texts)
+        self.note = np.repeat(np.arange(len(texts)), self.counts)
         inside = self.note[window - 1:] == self.note[:len(self.note) - window + 1] if len(self.note) >= window else np.empty(0, bool)
         self.starts = np.flatnonzero(inside)
         self.window = window
 
     def seeds(self) -> np.ndarray:
         """For each window the least hash among its seeds: equal windows choose equally, wherever they stand."""
-        hashes = shingle_hashes(self.words, SEED)
-        best = hashes[self.starts]
-        for step in range(1, self.window - SEED + 1):
-            best = np.minimum(best, hashes[self.starts + step])
-        return best
+        return sliding_least(shingle_hashes(self.words, SEED), self.window - SEED + 1)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
 
-    def full(self) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits for each window: the hash of all its words, and a second one of other word hashes."""
-        first = shingle_hashes(self.words, self.window)[self.starts]
-        second = shingle_hashes(mix(self.words ^ np.uint64(0xA5A5A5A55A5A5A5A)), self.window)[self.starts]
-        return first, (second >> np.uint64(32)).astype(np.uint32)
+    def full(self) -> np.ndarray:
+        """For each window the hash of all its words."""
+        return shingle_hashes(self.words, self.window)[self.starts]
 
+    def second(self, starts: np.ndarray) -> np.ndarray:
+        """32 more bits for some windows, of other word hashes."""
+        other = np.zeros(len(starts), np.uint64)
+        for step in range(self.window):
+            other = other * np.uint64(0xD6E8FEB86659FD93) + mix(self.words[starts + step] ^ np.uint64(0xA5A5A5A55A5A5A5A))
+        return (mix(other) >> np.uint64(32)).astype(np.uint32)
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by all keys, the first most significant, and which rows begin a run of all keys but the last."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[:-1]], axis=0)
-    return order, new
+
+def _fresh(*keys: np.ndarray) -> np.ndarray:
+    """Which of some sorted rows differ from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
 
 
 def _seed_rows(window: int):
@@ -58,82 +57,93 @@ def _seed_rows(window: int):
     first and last note then speak for it elsewhere, so no seed brings many rows to one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for keys, texts in rows_of(batches):
-            own = _Words(texts, hashes, window)
-            note = np.array(keys, np.int64)[own.note[own.starts]]
-            pairs = np.unique(np.stack([signed(own.seeds()), note]), axis=1) if len(note) else np.empty((2, 0), np.int64)
-            seed, note = pairs
-            order, new = _runs(seed, note)
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            known = np.repeat(size > 1, size)
-            ends = new | np.append(new[1:], True)[:len(new)]
+            own = _Words(texts, window)
+            seed, at = own.seeds(), own.note[own.starts]
+            turn = _fresh(seed, at)  # neighbors mostly share their seed
+            seed, note = signed(seed[turn]), np.array(keys, np.int64)[at[turn]]
+            order = np.lexsort((note, seed))
             seed, note = seed[order], note[order]
-            speak = ~known | ends
-            seeds, notes = np.concatenate([seed[speak], seed[known]]), np.concatenate([note[speak], note[known]])
+            once = _fresh(seed, note)
+            seed, note = seed[once], note[once]
+            new = _fresh(seed)
+            size = np.diff(np.append(np.flatnonzero(new), len(seed)))
+            known = np.repeat(size > 1, size)
+            speak = ~known | new | np.append(new[1:], True)[:len(new)]
             told = np.concatenate([np.zeros(speak.sum(), bool), np.ones(known.sum(), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(notes), pa.array(told)], names=["seed", "k", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seed[speak], seed[known]])),
+                                              pa.array(np.concatenate([note[speak], note[known]])), pa.array(told)], names=["seed", "k", "known"])
 
     return run
 
 
+#: a mark is a window's place in its note, with 20 bits of the note's text above it
+_PLACE = 40
+
+
+def _tags(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) >> 44 for t in texts], np.int64) << _PLACE
+
+
 def _window_rows(window: int):
-    """The windows around shared seeds. Within this run of notes all but the least id are known to repeat."""
+    """The windows around shared seeds, each once for a note. Within this run of notes all but the least id are known
+    to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(2)))
+            batch = batch.filter(pc.is_valid(batch.column(2)))
             shared, at = batch.column(2), 0
             for keys, texts in rows_of([batch]):
-                own = _Words(texts, hashes, window)
+                own = _Words(texts, window)
                 there = np.unique(shared.slice(at, len(keys)).flatten().to_numpy())
                 at += len(keys)
                 seeds = signed(own.seeds())
-                spot = np.searchsorted(there, seeds)
-                hit = there[np.minimum(spot, len(there) - 1)] == seeds if len(there) else np.zeros(len(seeds), bool)
-                first, second = own.full()
-                first, second = signed(first[hit]), second[hit].view(np.int32)
-                note = np.array(keys, np.int64)[own.note[own.starts[hit]]]
-                order, new = _runs(first, second, note)
-                first, second, note = first[order], second[order], note[order]
-                if len(note):
-                    least = note[np.flatnonzero(new)][np.cumsum(new) - 1]
-                    once = np.ones(len(note), bool)
-                    once[1:] = new[1:] | (note[1:] != note[:-1])
-                    first, second, note, least = first[once], second[once], note[once], least[once]
-                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(note), pa.array(note > least)],
-                                                     names=["w1", "w2", "k", "known"])
+                hit = there[np.minimum(np.searchsorted(there, seeds), len(there) - 1)] == seeds
+                if not hit.any():
+                    continue
+                starts = own.starts[hit]
+                first, second, which = own.full()[hit], own.second(starts), own.note[starts]
+                place = starts - (np.cumsum(own.counts) - own.counts)[which] + _tags(texts)[which]
+                note = np.array(keys, np.int64)[which]
+                order = np.lexsort((place, note, second, first))
+                first, second, note, place = first[order], second[order], note[order], place[order]
+                new = _fresh(first, second)
+                least = note[np.flatnonzero(new)][np.cumsum(new) - 1]
+                once = new | _fresh(note, place >> _PLACE)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(first)[once]), pa.array(second.view(np.int32)[once]), pa.array(note[once]),
+                                                  pa.array(place[once]), pa.array((note > least)[once])], names=["w1", "w2", "k", "place", "known"])
 
     return run
 
 
 def _keep(window: int):
+    """Cover the marked windows, and their equals in the same note, and join the other words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            marks, at = batch.column(3), 0
-            nulls = batch.column(2)
+            marks, at = batch.column(2), 0
             for keys, texts in rows_of([batch]):
-                own = _Words(texts, hashes, window)
+                own = _Words(texts, window)
                 ends = np.cumsum(own.counts)
+                begins = ends - own.counts
                 bounds = np.searchsorted(own.starts, [0, *ends])
-                full = signed(own.full()[0]) if any(marks[at + i].is_valid for i in range(len(keys))) else None
-                out = []
+                full = own.full() if any(marks[at + i].is_valid for i in range(len(keys))) else None
+                tags, out = _tags(texts), []
                 for i, text in enumerate(texts):
-                    words = text.encode().split()
-                    gone = 0
+                    words, gone = text.encode().split(), 0
                     if marks[at + i].is_valid:
+                        places = marks[at + i].values.to_numpy()
+                        places = places[(places >> _PLACE) << _PLACE == tags[i]] & ((1 << _PLACE) - 1)
                         lo, hi = bounds[i], bounds[i + 1]
-                        removed = np.array(marks[at + i].as_py(), np.int64)
-                        starts = own.starts[lo:hi][np.isin(full[lo:hi], removed)] - (ends[i] - own.counts[i])
+                        removed = np.unique(full[lo:hi][places])
+                        starts = np.flatnonzero(np.isin(full[lo:hi], removed))
                         cover = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(cover, starts, 1)
-                        np.add.at(cover, starts + window, -1)
+                        cover[starts] += 1
+                        cover[starts + window] -= 1
                         covered = np.cumsum(cover[:-1]) > 0
                         gone = int(covered.sum())
                         words = [w for w, c in zip(words, covered.tolist()) if not c]
-                    out.append((None if nulls[at + i].as_py() else keys[i], int(own.counts[i]), gone, b" ".join(words).decode()))
+                    out.append((None if keys[i] == _LAST else keys[i], int(own.counts[i]), gone, b" ".join(words).decode()))
                 at += len(keys)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
@@ -155,23 +165,24 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     the rewriting.
 
     One result row for each row of ``events``. Null and empty notes have no words; notes of fewer than ``window`` words
-    lose none; a null id counts as later than all others; rows of one id are one note here and never repeat each other;
+    lose none; a null id counts as later than all others (as does 2**63 - 1, which is given back as null); rows of one id are one note here and never repeat each other;
     other columns are not read; an empty table gives no rows.
     """
-    base = records(events, key, text).select(F.coalesce("key", F.lit(_LAST)).alias("k"), "text", F.col("key").isNull().alias("no_id"))
+    base = records(events, key, text).select(F.coalesce("key", F.lit(_LAST)).alias("k"), "text")
     told = F.when(F.col("known"), F.xxhash64("k")).otherwise(F.lit(0))
 
-    seeds = base.select("k", "text").mapInArrow(_seed_rows(window), "seed bigint, k bigint, known boolean").withColumn("_to", told)
+    seeds = base.mapInArrow(_seed_rows(window), "seed bigint, k bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("seed", "_to")
     shared = seeds.select("seed", "k", (F.col("known") | (F.min("k").over(group) < F.max("k").over(group))).alias("_shared")).where(
         "_shared").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
 
+    # both joins below read the same exchange of the notes
     windows = base.join(shared, "k", "left").select("k", "text", "seeds").mapInArrow(
-        _window_rows(window), "w1 bigint, w2 int, k bigint, known boolean").withColumn("_to", told)
+        _window_rows(window), "w1 bigint, w2 int, k bigint, place bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("w1", "w2", "_to")
-    marks = windows.select("w1", "k", (F.col("known") | (F.min("k").over(group) < F.col("k"))).alias("_gone")).where(
-        "_gone").groupBy("k").agg(F.collect_list("w1").alias("marks"))
+    marks = windows.select("k", "place", (F.col("known") | (F.min("k").over(group) < F.col("k"))).alias("_gone")).where(
+        "_gone").groupBy("k").agg(F.collect_list("place").alias("marks"))
 
-    kept = base.join(marks, "k", "left").select("k", "text", "no_id", "marks").mapInArrow(
+    kept = base.join(marks, "k", "left").select("k", "text", "marks").mapInArrow(
         _keep(window), "key bigint, n_words bigint, n_removed bigint, kept string")
     return kept.withColumnsRenamed({"key": key, "kept": "kept_note"})
