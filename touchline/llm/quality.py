@@ -72,7 +72,7 @@ def source_verdicts(statistics: DataFrame, *, source: str = "source") -> DataFra
     The prior is a beta distribution fitted to all sources by moments: its mean is the share of failing notes, its
     strength follows from how much the sources' shares spread beyond what chance gives (two notes' worth at least,
     10,000 at most). ``rate`` is the posterior mean ``(failures + a) / (notes + a + b)``, so a source of few notes is
-    judged by the rest. A source is rejected where ``rate`` is over a half. Notes are counted before anything is
+    judged by the rest. A source is rejected where ``rate`` is over a half and over half of its own notes fail. Notes are counted before anything is
     shuffled; the prior is one row of sums over sources. Notes without a source are a source of their own (null).
     """
     failed = " or ".join(f"({rule})" for rule in (*_BASE.values(), *_MORE.values()))
@@ -89,7 +89,7 @@ def source_verdicts(statistics: DataFrame, *, source: str = "source") -> DataFra
     prior = prior.select("mean", F.expr("case when rho > 0e0 then greatest(2e0, least(10000e0, 1e0 / rho - 1e0)) else 10000e0 end").alias("strength"))
     rate = F.expr("(failures + mean * strength) / (notes + strength)")
     return hosts.crossJoin(F.broadcast(prior)).select(  # the prior is a single row of sums
-        "source", "notes", "failures", rate.alias("rate"), (rate > 0.5).alias("rejected"))
+        "source", "notes", "failures", rate.alias("rate"), ((rate > 0.5) & F.expr("2 * failures > notes")).alias("rejected"))
 
 
 def judge_notes(events: DataFrame, *, key: str = "event_id", text: str = "note", source: str = "source") -> DataFrame:

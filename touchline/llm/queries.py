@@ -125,7 +125,7 @@ sums AS (SELECT sum(notes) * 1e0 AS n, sum(failures) * 1e0 AS x, count(*) AS hos
   sum(notes * 1e0 * notes) AS nn FROM hosts),
 rho AS (SELECT x / n AS mean, ((xx - x * x / n) / nullif(x / n * (1e0 - x / n), 0e0) - (hosts - 1)) / nullif(n - nn / n - hosts + 1, 0e0) AS rho FROM sums),
 prior AS (SELECT mean, CASE WHEN rho > 0e0 THEN greatest(2e0, least(10000e0, 1e0 / rho - 1e0)) ELSE 10000e0 END AS strength FROM rho),
-verdicts AS (SELECT source, (failures + mean * strength) / (notes + strength) > 0.5e0 AS rejected FROM hosts CROSS JOIN prior)
+verdicts AS (SELECT source, (failures + mean * strength) / (notes + strength) > 0.5e0 AND 2 * failures > notes AS rejected FROM hosts CROSS JOIN prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """)
