@@ -8,7 +8,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +34,42 @@ class PieceEncoder:
 
     Texts are split and their pieces numbered by Arrow; only distinct pieces are looked up, and only new ones encoded. A
     new piece that ends in a letter or digit and one stop or comma is put together from both, as every pre-tokenizer here
-    cuts between them; with "words" an ASCII piece counts in lower case.
+    cuts between them; with "words" A-Z count as a-z, which the vocabulary does anyway.
     """
 
-    def __init__(self, path: str, cuts: str, most: int = 700_000):
+    def __init__(self, path: str, cuts: str, most: int = 900_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.words = cuts == "words"
 
-    def _parts(self, piece: str) -> tuple[str, str]:
-        head, tail = (piece[:-1], piece[-1]) if piece[-1:] in _STOPS and piece[-2:-1].isalnum() else (piece, "")
-        return (head.lower() if self.words and head.isascii() else head), tail
-
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
         known = self.known
-        if len(known) > self.most:
-            known.clear()
-        parts = list(map(self._parts, pieces))
+        parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() else (p, "") for p in pieces]
         new = [p for p in {p for both in parts for p in both} if p not in known]
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        return [known[head] + known[tail] if tail else known[head] for head, tail in parts]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+        for piece, own in zip(new, ids):
+            known[piece] = data[at:at + 4 * len(own)]
+            at += 4 * len(own)
+        for piece, (head, tail) in zip(pieces, parts):
+            if tail:
+                known[piece] = known[head] + known[tail]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        data = list(map(self.known.get, pieces))
+        missing = [i for i, d in enumerate(data) if d is None]
+        self._learn([pieces[i] for i in missing])
+        for i in missing:
+            data[i] = self.known[pieces[i]]
+        return data
+
+    def encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
         if self.words:
-            column = pc.replace_substring(column, "\n", " ")
+            column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
         else:
             odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_BLANKS).to_numpy(zero_copy_only=False)).tolist()
             found = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
@@ -79,10 +88,17 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
         flat = np.frombuffer(b"".join(data), "<u4")
         starts = np.cumsum(sizes) - sizes
-        own = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = flat[np.repeat(starts[which] - ends[:-1], own) + np.arange(ends[-1])]
-        return [whole[i] if i in whole else ids[a:b] for i, (a, b) in enumerate(pairwise(ends[bounds].tolist()))]
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        out, begin = [], 0
+        while begin < len(texts):  # some texts' ids at a time
+            stop = max(begin + 1, int(np.searchsorted(ends[bounds], ends[bounds[begin]] + gather, side="right")) - 1)
+            lo, hi = bounds[begin], bounds[stop]
+            own = which[lo:hi]
+            ids = flat[np.repeat(starts[own] - ends[lo:hi], sizes[own]) + np.arange(ends[lo], ends[hi])]
+            edges = (ends[bounds[begin:stop + 1]] - ends[lo]).tolist()
+            out += [whole[begin + i] if begin + i in whole else ids[a:b] for i, (a, b) in enumerate(pairwise(edges))]
+            begin = stop
+        return out
 
 
 def encoder(path: str, cuts: str) -> PieceEncoder:
@@ -240,7 +256,7 @@ def write_token_files(events: DataFrame, path: str, vocabulary: str, *, key: str
             start, keys, ids, held = start + held, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=_FILE)
 
-        for some, notes in rows_of(batches):
+        for some, notes in rows_of(batches, 8000, 16_000_000):
             for name, own in zip(some, coder.encode(notes)):
                 keys.append(name)
                 ids.append(np.append(own, np.uint32(end_id)))
