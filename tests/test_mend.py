@@ -90,3 +90,15 @@ def test_reels_by_weight(spark):
     got = {(r.tier, r.i) for r in H.select_reels(df).collect()}
     assert got == {("clip", 2), ("goals", 1), ("goals", 3), ("match", 2), ("match", 3), ("match", 4)}
     assert not math.isnan(sum(r.weight for r in H.select_reels(df).collect()))
+
+
+def test_detections_go_into_the_log(spark):
+    old = log(spark, [(1, 10.0, "goal", "ball", None), (2, 30.0, "shot", "ball", "true"), (3, 50.0, "shot", "manual", "")])
+    found = spark.createDataFrame([(0, 52, 10.4, "goal", 1, "n", "ball", 0.8, 7), (0, 400, 80.0, "corner", 0, "n", "ball", 0.6, None), (0, 150, 30.2, "shot", 0, "n", "ball", 0.5, 2)],
+                                  "match_id long, frame long, time_s double, type string, team long, note string, source string, confidence double, player_track long")
+    kept, dropped = E.rescan(old, found)
+    rows = {(r.time_s, r.type, r.verdict, r.video) for r in kept.collect()}
+    assert rows == {(10.0, "goal", "", "game"), (30.0, "shot", "true", "game"), (50.0, "shot", "", "game"), (80.0, "corner", "", "game")}
+    assert dropped.count() == 0
+    again, gone = E.rescan(kept, found.where("type <> 'corner'"))
+    assert {r.type for r in gone.collect()} == {"corner"} and again.count() == 3

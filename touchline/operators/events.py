@@ -249,6 +249,15 @@ def detect_events(facts: DataFrame, fast: DataFrame, sides: DataFrame, whistles:
     return out
 
 
+def as_log_rows(found: DataFrame, video: str = "game") -> DataFrame:
+    """Detected events as rows of the review log: an id that a repeated scan gives again, the recording, no verdict."""
+    own = F.xxhash64("match_id", "type", "frame", F.coalesce("player_track", F.lit(-1).cast("long")))
+    number = F.col("player_number") if "player_number" in found.columns else F.lit(None).cast("string")
+    return found.select("match_id", own.alias("event_id"), "time_s", "type", "team", "note", "source", "confidence",
+                        F.lit(video).alias("video"), F.lit("").alias("verdict"), "player_track",
+                        number.cast("string").alias("player_number"))
+
+
 class _Spaced(Fold):
     """Greedy self spacing in time order: a row closer than the gap to a kept one is dropped."""
 
@@ -294,6 +303,16 @@ def reconcile(log: DataFrame, fresh: DataFrame, source: str | None = None,
     return seen.where(keep).drop("_fresh", "_new"), seen.where(~keep).drop("_fresh", "_new")
 
 
+def rescan(log: DataFrame, found: DataFrame, video: str = "game", source: str = "ball") -> tuple[DataFrame, DataFrame]:
+    """The log after a scan that found ``found`` (rows of a detector), and the rows it dropped; see ``reconcile``."""
+    from ..sources.reports import with_event_defaults
+    fresh = as_log_rows(found, video)
+    kinds = dict(fresh.dtypes)
+    have = with_event_defaults(log)
+    have = have.select(*[(F.col(c) if c in have.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in fresh.columns])
+    return reconcile(cut(have), cut(fresh), source)
+
+
 def review_counts(log: DataFrame) -> DataFrame:
     v = verdict()
     return log.groupBy("match_id").agg(

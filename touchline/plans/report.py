@@ -78,3 +78,10 @@ def detect_match_events(ball: DataFrame, report: Report, whistles: DataFrame, le
     """Events of the ball ``(match_id, frame, t, x, y, measured)`` and the report's tracks."""
     facts = B.frame_facts(B.ball_motion(ball, length, width), length, width)
     return E.detect_events(facts, report.observations, report.sides, whistles, length, width, marks, numbers)
+
+
+def review_match_events(log: DataFrame, ball: DataFrame, report: Report, whistles: DataFrame, length: float, width: float,
+                        marks: DataFrame | None = None, numbers: DataFrame | None = None,
+                        video: str = "game") -> tuple[DataFrame, DataFrame]:
+    """Scan anew and bring the review log in line: the log afterwards and the rows that went."""
+    return E.rescan(log, detect_match_events(ball, report, whistles, length, width, marks, numbers), video)
