@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Fold, fold_sorted
@@ -115,3 +115,16 @@ def reel_manifest(reels: DataFrame) -> DataFrame:
     """Reels as written out: times and weight to two decimals."""
     return reels.select("match_id", "tier", *[F.bround(c, 2).alias(c) for c in ("time_s", "start_s", "end_s", "weight")],
                         "reason", "event_type", "team", "video")
+
+
+MANIFEST = ("match_id long, tier string, time_s double, start_s double, end_s double, weight double, reason string, "
+            "event_type string, team long, video string")
+
+
+def write_reels(reels: DataFrame, path: str) -> None:
+    """The manifest as JSON, a folder for each match; a match's folder is replaced whole, other matches' stay."""
+    reel_manifest(reels).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").json(path)
+
+
+def read_reels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(path)

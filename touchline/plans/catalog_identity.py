@@ -13,7 +13,7 @@ from ..operators import paths as P
 from ..operators import teams as TM
 from ..operators import tracking as TK
 from ..operators import whistle as WH
-from ..session import cut
+from ..session import cut, shared_path
 from .catalog_metrics import MOMENTUM_CTE
 from .registry import query
 
@@ -228,7 +228,7 @@ def q_on_source(T):
     return out.select("match_id", F.col("ord.i").alias("i"), "clip_start_s", "clip_end_s")
 
 
-@query("select_reels", f"""WITH RECURSIVE {MOMENT_CTE},
+REELS = f"""WITH RECURSIVE {MOMENT_CTE},
 st AS (SELECT match_id, bool_or(event_type IN ('goal', 'penalty')) AS strong FROM mm GROUP BY 1),
 pl AS (SELECT 'clip' AS tier, 24e0 AS budget, least(30e0, greatest(15e0, end_s - start_s)) AS ln, m.* FROM mm m
   UNION ALL SELECT 'goals', 90e0, greatest(15e0, end_s - start_s), m.* FROM mm m JOIN st ON st.match_id = m.match_id
@@ -241,11 +241,21 @@ wk AS (SELECT match_id, tier, rn, ln AS used, [time_s] AS times, TRUE AS took FR
       AND NOT list_bool_or([abs(r.time_s - q) < 20e0 FOR q IN w.times]) AS ok
     FROM wk w JOIN rk r ON r.match_id = w.match_id AND r.tier = w.tier AND r.rn = w.rn + 1) s)
 SELECT match_id, tier, round_even(time_s, 2) AS time_s, round_even(start_s, 2) AS start_s, round_even(end_s, 2) AS end_s,
-  round_even(weight, 2) AS weight, event_type FROM wk JOIN rk USING (match_id, tier, rn) WHERE took""")
+  round_even(weight, 2) AS weight, event_type FROM wk JOIN rk USING (match_id, tier, rn) WHERE took"""
+
+
+@query("select_reels", REELS)
 def q_reels(T):
     return H.reel_manifest(H.select_reels(_moments(T))).drop("reason", "team", "video")
 
 
+@query("reel_files", REELS)
+def q_reel_files(T):
+    path = shared_path(T.spark, "reels")
+    H.write_reels(H.select_reels(_moments(T)), path)
+    return H.read_reels(T.spark, path).drop("reason", "team", "video")
+
+
 @query("iou_pairs", """SELECT a.match_id, a.frame, a.det_id AS a_id, b.det_id AS b_id,
   round_even(i / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - i), 6) AS iou FROM (
   SELECT a.match_id, a.frame, a.det_id, b.det_id AS b_det, greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1))

@@ -8,6 +8,7 @@ from ..functions import labels as N
 from ..operators import events as E
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..session import shared_path
 from ..sources import clips as C
 from ..sources import reports as R
 from ..sources import segments as S
@@ -294,3 +295,25 @@ def q_ready(T):
     m = T["marks"].select("match_id", (F.col("match_id") % 4).alias("listed_segments"))
     segs = T["clips"].select("match_id", F.col("duration_s").alias("start_s"), F.col("duration_s").alias("end_s"))
     return C.ready_matches(m, segs, m.where("match_id % 3 <> 0"), m.where("match_id % 5 <> 0"))
+
+
+@query("event_log_files", """SELECT match_id, event_id, round_even(time_s, 3) AS time_s, type, CASE WHEN event_id % 11 = 0 THEN 'manual' ELSE source END AS source,
+  CASE WHEN event_id % 13 = 0 THEN '' ELSE verdict END AS verdict FROM event_log""")
+def q_log_files(T):
+    old = T["event_log"].withColumns({"source": F.when(F.col("event_id") % 11 != 0, F.col("source")),
+                                      "verdict": F.when(F.col("event_id") % 13 != 0, F.col("verdict"))})
+    path = shared_path(T.spark, "events")
+    R.write_events(old, path)
+    return R.read_events(T.spark, path).select(F.col("match_id").cast("long").alias("match_id"), "event_id", "time_s", "type", "source", "verdict")
+
+
+@query("segment_files", """SELECT match_id, frame, t FROM ball WHERE match_id % 2 = 0 OR frame < 2500""")
+def q_segment_files(T):
+    # chunks of 500 frames on their own counts; every other match lost its chunk 5, so what follows is not read
+    rows = T["ball"].select("match_id", F.lit(0).alias("segment_id"), F.floor(F.col("frame") / 500).cast("long").alias("chunk"),
+                            (F.col("frame") % 500).alias("frame"), "t").where("match_id % 2 = 0 or chunk <> 5")
+    path = shared_path(T.spark, "segment")
+    rows.groupBy("match_id", "segment_id", "chunk").agg(F.count(F.lit(1)).alias("n_frames")).write.parquet(f"{path}/chunks")
+    rows.write.parquet(f"{path}/frames")
+    rows.withColumn("det_id", F.lit(0)).write.parquet(f"{path}/detections")
+    return S.read_segment(T.spark, path)[0].select("match_id", "frame", "t")
