@@ -5,6 +5,7 @@ The library's own records are the notes of reviewed events (``event_id, note``);
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,7 +66,16 @@ class PieceEncoder:
             data[i] = self.known[pieces[i]]
         return data
 
-    def encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        on = gc.isenabled()
+        gc.disable()  # many short lists come and go here, none in a cycle; scans for cycles would cost a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
         if self.words:
