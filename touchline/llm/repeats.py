@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import mix, records, rows_of, shingle_hashes, signed, sliding_least, word_hashes
 
 SEED = 5  # words of a seed; a window of 13 words has nine of them
@@ -121,17 +122,20 @@ def _keep(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, at = batch.column(2), 0
+            marks, copy, at = batch.column(2), batch.column(3).to_pylist(), 0
             for keys, texts in rows_of([batch]):
                 own = _Words(texts, window)
                 ends = np.cumsum(own.counts)
                 begins = ends - own.counts
                 bounds = np.searchsorted(own.starts, [0, *ends])
-                full = own.full() if any(marks[at + i].is_valid for i in range(len(keys))) else None
+                full = own.full() if any(marks[at + i].is_valid and not copy[at + i] for i in range(len(keys))) else None
                 tags, out = _tags(texts), []
                 for i, text in enumerate(texts):
                     words, gone = text.encode().split(), 0
-                    if marks[at + i].is_valid:
+                    if copy[at + i]:
+                        gone = len(words) if len(words) >= window else 0
+                        words = words[gone:]
+                    elif marks[at + i].is_valid:
                         places = marks[at + i].values.to_numpy()
                         places = places[(places >> _PLACE) << _PLACE == tags[i]] & ((1 << _PLACE) - 1)
                         lo, hi = bounds[i], bounds[i + 1]
@@ -158,6 +162,8 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     Removed is each word covered by a run of ``window`` words that also stands in a note of smaller id; runs are judged
     on the input. A maximal repeat is the union of its runs. ``kept_note`` has the remaining words joined by one blank.
 
+    Copies of a whole note lose all their runs to the copy of least id and take no further part.
+
     Seeds: each run chooses the least hash of its five-word pieces, so equal runs share their seed, and only seeds that
     two ids have are followed. Extension: runs around such a seed are compared whole (by 96 bits of hash) and the least
     id of each is found. Both groupings first settle what a task sees itself, so a passage of very many notes brings a
@@ -169,20 +175,25 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     other columns are not read; an empty table gives no rows.
     """
     base = records(events, key, text).select(F.coalesce("key", F.lit(_LAST)).alias("k"), "text")
-    told = F.when(F.col("known"), F.xxhash64("k")).otherwise(F.lit(0))
-
-    seeds = base.mapInArrow(_seed_rows(window), "seed bigint, k bigint, known boolean").withColumn("_to", told)
+    texts = base.select("k", F.md5("text").alias("h"))
+    first = texts.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most")
+    copies = cut(texts.join(first, "h").where("k > least").groupBy("k").agg(F.collect_set("h").alias("copy_of")))
+    is_copy = F.coalesce(F.array_contains("copy_of", F.md5("text")), F.lit(False))
+    told = F.when(F.col("known"), F.col("k"))
+
+    # the joins with the notes are all by id alone and read one exchange of them
+    seeds = base.join(copies, "k", "left").where(~is_copy).select("k", "text").mapInArrow(
+        _seed_rows(window), "seed bigint, k bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("seed", "_to")
     shared = seeds.select("seed", "k", (F.col("known") | (F.min("k").over(group) < F.max("k").over(group))).alias("_shared")).where(
         "_shared").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
 
-    # both joins below read the same exchange of the notes
     windows = base.join(shared, "k", "left").select("k", "text", "seeds").mapInArrow(
         _window_rows(window), "w1 bigint, w2 int, k bigint, place bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("w1", "w2", "_to")
     marks = windows.select("k", "place", (F.col("known") | (F.min("k").over(group) < F.col("k"))).alias("_gone")).where(
         "_gone").groupBy("k").agg(F.collect_list("place").alias("marks"))
 
-    kept = base.join(marks, "k", "left").select("k", "text", "marks").mapInArrow(
-        _keep(window), "key bigint, n_words bigint, n_removed bigint, kept string")
-    return kept.withColumnsRenamed({"key": key, "kept": "kept_note"})
+    kept = base.join(marks, "k", "left").join(copies, "k", "left").select("k", "text", "marks", is_copy.alias("copy"))
+    return kept.mapInArrow(_keep(window), "key bigint, n_words bigint, n_removed bigint, kept string").withColumnsRenamed(
+        {"key": key, "kept": "kept_note"})
