@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -9,11 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, rows_of
+from .common import mix, records, rows_of, shingle_hashes
 
 _WORD = re.compile(r"\w+")
 SEGMENT = 32
@@ -31,14 +31,15 @@ def features(word: str) -> tuple[str, ...]:
 WIDTH = len(features(""))
 
 
-def _kinds(texts: list[list[str]]) -> np.ndarray:
-    """A number for each text, equal for copies and near copies: texts that share the least of three hashes of their
-    three-word runs are of one kind."""
+def _kinds(texts: list[np.ndarray]) -> np.ndarray:
+    """A number for each text (word numbers), equal for copies and near copies: texts that share the least of three
+    hashes of their three-word runs are of one kind."""
     kind = np.arange(len(texts))
-    for seed in range(3):
+    for seed in (0x1234567, 0x89ABCDE, 0xF0F0F0F):
         first: dict[int, int] = {}
         for i, words in enumerate(texts):
-            least = min((xxhash.xxh3_64_intdigest(" ".join(run), seed) for run in zip(words, words[1:], words[2:])), default=-1 - i)
+            runs = shingle_hashes(mix(words.astype(np.uint64) + np.uint64(1)), 3)
+            least = int(mix(runs ^ np.uint64(seed)).min()) if len(runs) else -1 - i
             j = first.setdefault(least, i)
             if kind[i] != kind[j]:
                 kind[kind == kind[i]] = kind[j]
@@ -165,20 +166,20 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
     trans = np.array([[0.0, -4.0], [0.0, -2.0]])
     if not 0 < sum(toxic) < len(toxic):
         return SpanModel({}, 0.0, trans, np.array([base, 0, 0, 0]))
-    texts = [_WORD.findall(n.lower()) for n in notes]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    vocabulary: dict[str, int] = {}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(n.lower())], np.int32) for n in notes]
     names: dict[str, int] = {}
-    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], np.int64).reshape(-1, WIDTH)
-    words = np.fromiter((vocabulary[w] for t in texts for w in t), np.int64)
+    table = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary], np.int32).reshape(-1, WIDTH)
+    words = np.concatenate(texts)
     counts = np.array([len(t) for t in texts])
     label = np.array(toxic)
     kinds = _kinds(texts)
     seen, size = np.zeros((2, len(names))), [1, 1]
     for known in (0, 1):  # near copies speak once
         for kind in np.unique(kinds[label == known]):
-            every = {w for i in np.flatnonzero((kinds == kind) & (label == known)) for w in texts[i]}
-            if every:
-                seen[known, np.unique(table[[vocabulary[w] for w in every]][:, :-1])] += 1
+            every = np.concatenate([texts[i] for i in np.flatnonzero((kinds == kind) & (label == known))])
+            if len(every):
+                seen[known, np.unique(table[np.unique(every)][:, :-1])] += 1
                 size[known] += 1
     share = (seen[1] + 0.1) / size[1] / ((seen[0] + 0.1) / size[0])
     expected = np.outer(size, seen.sum(axis=0) / sum(size))
@@ -235,9 +236,16 @@ def train(events: DataFrame, labels: DataFrame, *, key: str = "event_id", text:
     drawn = [told.where(F.col("toxic") == known).orderBy(F.xxhash64("key"), "key").limit(most_notes) for known in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * most_notes keys
     sample = records(events, key, text).join(chosen, "key").where(F.length("text") <= most_chars).groupBy("key", "toxic").agg(
-        F.min("text").alias("text")).orderBy("key").select("text", "toxic").collect()
-    sample = [(r["text"], r["toxic"]) for r in sample]
-    return fit([t for t, _ in sample], [k for _, k in sample], shares=(shares[0], shares[1]))
+        F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["key"])
+        model = fit([r["text"] for r in rows], [r["toxic"] for r in rows], shares=(shares[0], shares[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the bounded sample is fitted in one task; the driver sees the model only
+    row = sample.select("key", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], [], shares=(shares[0], shares[1]))
 
 
 def score_notes(events: DataFrame, model: SpanModel, *, key: str = "event_id", text: str = "note") -> DataFrame:
