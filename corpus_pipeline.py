@@ -3,6 +3,8 @@ masked, the rest packed into sequences."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,17 @@ from touchline.session import shared_path, ship_package
 _KEYS = {"key": "doc_id", "text": "text"}
 
 
+def _stage(function):
+    """Hand the package to the workers first: a stage may be called without ``run``."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but for those ids; rows without id stay."""
     return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
@@ -22,6 +35,7 @@ def _held_out(key: str) -> Column:
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity score of a half or more go. The tagger learns from ``labels`` and all of ``documents``
     but the held-out fifth."""
@@ -31,12 +45,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, scored.where("score >= 0.5"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the least id stays."""
     judged = near_duplicates.near_duplicates(docs, **_KEYS)
     return _without(docs, judged.where("not kept"))
 
 
+@_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of ten words of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -44,6 +60,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, found.where(F.size("spans") > 0))
 
 
+@_stage
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in a text is replaced by its kind in brackets, and ``n_chars`` follows; other texts stay as they
     are. In one pass: the other columns travel with the text."""
@@ -56,6 +73,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         F.col(f"_row.{c}").alias(c) for c in docs.columns))
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 2,048 tokens."""
     return packing.pack_notes(docs, public_tokenizers.path("byte_bpe_50k.json"), room=2048, **_KEYS)
@@ -70,7 +88,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read by the next."""
-    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"stage-{name}")
