@@ -26,7 +26,7 @@ def token_pieces(events: DataFrame, vocabulary: str, *, key: str = "event_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, cuts)
-        for keys, notes in rows_of(batches, 8000, 16_000_000):
+        for keys, notes in rows_of(batches, 3000, 6_000_000):
             out: list[tuple] = []
             for name, own in zip(keys, coder.encode(notes)):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")

@@ -34,19 +34,21 @@ class PieceEncoder:
     """Encodes whole texts with a tokenizer file; equal to encoding each text at once (tested).
 
     Texts are split and their pieces numbered by Arrow; only distinct pieces are looked up, and only new ones encoded. A
-    new piece that ends in a letter or digit and one stop or comma is put together from both, as every pre-tokenizer here
-    cuts between them; with "words" A-Z count as a-z, which the vocabulary does anyway.
+    new piece that ends in a Latin-1 letter or digit and one stop or comma is put together from both, as every pre-tokenizer
+    here cuts between them (other letters may end in a mark when folded); with "words" A-Z count as a-z, which the vocabulary does anyway.
     """
 
-    def __init__(self, path: str, cuts: str, most: int = 900_000):
+    def __init__(self, path: str, cuts: str, most: int = 600_000):
         from tokenizers import Tokenizer
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
         self.words = cuts == "words"
 
     def _learn(self, pieces: list[str]) -> None:
         known = self.known
-        parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() else (p, "") for p in pieces]
-        new = [p for p in {p for both in parts for p in both} if p not in known]
+        parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() and p[-2] < "\u0100" else (p, "") for p in pieces]
+        every = {p for both in parts for p in both}
+        known.update((p, self.older[p]) for p in every if p not in known and p in self.older)
+        new = [p for p in every if p not in known]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
         for piece, own in zip(new, ids):
@@ -57,11 +59,12 @@ class PieceEncoder:
                 known[piece] = known[head] + known[tail]
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most // 2:  # two generations: what is still in use moves on, the rest is forgotten
+            self.older, self.known = self.known, {}
         data = list(map(self.known.get, pieces))
         missing = [i for i, d in enumerate(data) if d is None]
-        self._learn([pieces[i] for i in missing])
+        self.known.update((pieces[i], self.older[pieces[i]]) for i in missing if pieces[i] in self.older)
+        self._learn([pieces[i] for i in missing if pieces[i] not in self.known])
         for i in missing:
             data[i] = self.known[pieces[i]]
         return data
@@ -75,7 +78,7 @@ class PieceEncoder:
             if on:
                 gc.enable()
 
-    def _encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
+    def _encode(self, texts: list[str], gather: int = 1_000_000) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
         if self.words:
@@ -89,6 +92,7 @@ class PieceEncoder:
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        del column, split, coded
         if not self.words:  # a piece has its blank, but for the first of a text
             which = which.copy()
             first, at = np.unique(which[bounds[:-1]], return_inverse=True)
@@ -266,7 +270,7 @@ def write_token_files(events: DataFrame, path: str, vocabulary: str, *, key: str
             start, keys, ids, held = start + held, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=_FILE)
 
-        for some, notes in rows_of(batches, 8000, 16_000_000):
+        for some, notes in rows_of(batches, 3000, 6_000_000):
             for name, own in zip(some, coder.encode(notes)):
                 keys.append(name)
                 ids.append(np.append(own, np.uint32(end_id)))
