@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import records, rows_of
-from .tokens import encoder
+from .tokens import REMEMBERED, RUN_CHARS, encoder
 
 
 def token_pieces(events: DataFrame, vocabulary: str, *, key: str = "event_id", text: str = "note", end_id: int = 0,
-                 room: int = 2048, cuts: str = "bytes") -> DataFrame:
+                 room: int = 2048, cuts: str = "bytes", run_chars: int = RUN_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """``key, piece, start, length, ids_crc32``: each note's ids and an end id, cut only where longer than ``room``.
 
     Of a cut note the first piece is the shorter one, all others fill a sequence. A null or empty note is its end id.
-    Repeated rows give repeated pieces.
+    Repeated rows give repeated pieces. ``run_chars`` and ``remembered`` bound a worker's memory, see ``tokens``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary, cuts)
-        for keys, notes in rows_of(batches, 3000, 6_000_000):
+        coder = encoder(vocabulary, cuts, remembered)
+        for keys, notes in rows_of(batches, 8000, run_chars):
             out: list[tuple] = []
             for name, own in zip(keys, coder.encode(notes)):
                 ids = np.append(own, np.uint32(end_id)).astype("<u4")
@@ -144,7 +144,7 @@ def pack(pieces: DataFrame, *, key: str = "event_id", room: int = 2048, shards:
 
 
 def pack_notes(events: DataFrame, vocabulary: str, *, key: str = "event_id", text: str = "note", end_id: int = 0,
-               room: int = 2048) -> DataFrame:
+               room: int = 2048, **memory) -> DataFrame:
     """Token pieces of all notes with their places in sequences of ``room`` ids; see ``token_pieces`` and ``pack``."""
-    pieces = cut(token_pieces(events, vocabulary, key=key, text=text, end_id=end_id, room=room))
+    pieces = cut(token_pieces(events, vocabulary, key=key, text=text, end_id=end_id, room=room, **memory))
     return pack(pieces, key=key, room=room)

@@ -27,6 +27,9 @@ from .common import records, rows_of
 # whole.
 _ODD_BLANKS = r"^[ \n]|[ \n]$|[ \n]{2}|[\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}][ \n]|[ \n][\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}]"
 _STOPS = (".", ",")
+#: how many pieces a worker remembers, and how many characters it encodes at a time: more costs memory (some 600 MB a
+#: worker with these), less costs time; results are the same
+REMEMBERED, RUN_CHARS = 900_000, 16_000_000
 _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -38,17 +41,15 @@ class PieceEncoder:
     here cuts between them (other letters may end in a mark when folded); with "words" A-Z count as a-z, which the vocabulary does anyway.
     """
 
-    def __init__(self, path: str, cuts: str, most: int = 600_000):
+    def __init__(self, path: str, cuts: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
-        self.tokenizer, self.most, self.known, self.older = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.words = cuts == "words"
 
     def _learn(self, pieces: list[str]) -> None:
         known = self.known
         parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() and p[-2] < "\u0100" else (p, "") for p in pieces]
-        every = {p for both in parts for p in both}
-        known.update((p, self.older[p]) for p in every if p not in known and p in self.older)
-        new = [p for p in every if p not in known]
+        new = [p for p in {p for both in parts for p in both} if p not in known]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
         for piece, own in zip(new, ids):
@@ -59,12 +60,11 @@ class PieceEncoder:
                 known[piece] = known[head] + known[tail]
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > self.most // 2:  # two generations: what is still in use moves on, the rest is forgotten
-            self.older, self.known = self.known, {}
+        if len(self.known) > self.most:
+            self.known.clear()
         data = list(map(self.known.get, pieces))
         missing = [i for i, d in enumerate(data) if d is None]
-        self.known.update((pieces[i], self.older[pieces[i]]) for i in missing if pieces[i] in self.older)
-        self._learn([pieces[i] for i in missing if pieces[i] not in self.known])
+        self._learn([pieces[i] for i in missing])
         for i in missing:
             data[i] = self.known[pieces[i]]
         return data
@@ -78,7 +78,7 @@ class PieceEncoder:
             if on:
                 gc.enable()
 
-    def _encode(self, texts: list[str], gather: int = 1_000_000) -> list[np.ndarray]:
+    def _encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
         column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
         if self.words:
@@ -115,12 +115,13 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, cuts: str) -> PieceEncoder:
+def encoder(path: str, cuts: str, most: int = REMEMBERED) -> PieceEncoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, cuts) not in _LOADED:
         _LOADED[path, cuts] = PieceEncoder(path, cuts)
+    _LOADED[path, cuts].most = most
     return _LOADED[path, cuts]
 
 
@@ -270,7 +271,7 @@ def write_token_files(events: DataFrame, path: str, vocabulary: str, *, key: str
             start, keys, ids, held = start + held, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=_FILE)
 
-        for some, notes in rows_of(batches, 3000, 6_000_000):
+        for some, notes in rows_of(batches, 8000, RUN_CHARS):
             for name, own in zip(some, coder.encode(notes)):
                 keys.append(name)
                 ids.append(np.append(own, np.uint32(end_id)))
