@@ -75,8 +75,10 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2,048 tokens."""
-    return packing.pack_notes(docs, public_tokenizers.path("byte_bpe_50k.json"), room=2048, **_KEYS)
+    """Token pieces with their places in sequences of 2,048 tokens. Runs are small, as the workers have other stages
+    behind them."""
+    return packing.pack_notes(docs, public_tokenizers.path("byte_bpe_50k.json"), room=2048, run_chars=3_000_000,
+                              remembered=400_000, **_KEYS)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_benchmark),

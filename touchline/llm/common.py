@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,17 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return the memory that a task's arrays left free to the system: workers are kept, and the next stage of a job needs
+    it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000, chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts in runs of at most ``most`` records, and of one text or about ``chars`` characters, so that a
     task's Python side works on little text at once."""
@@ -34,6 +47,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000, chars: int = 4_
             held += len(text)
         if keys:
             yield keys, texts
+    give_back()
 
 
 def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

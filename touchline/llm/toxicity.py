@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, records, rows_of, shingle_hashes
+from .common import give_back, mix, records, rows_of, shingle_hashes
 
 _WORD = re.compile(r"\w+")
 SEGMENT = 32
@@ -124,7 +124,7 @@ class SpanModel:
 
 
 class _Emissions(dict):
-    def __init__(self, model: SpanModel, most: int = 400_000):
+    def __init__(self, model: SpanModel, most: int = 200_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -241,6 +241,8 @@ def train(events: DataFrame, labels: DataFrame, *, key: str = "event_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["key"])
         model = fit([r["text"] for r in rows], [r["toxic"] for r in rows], shares=(shares[0], shares[1]))
+        rows.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # the bounded sample is fitted in one task; the driver sees the model only
@@ -261,7 +263,7 @@ def score_notes(events: DataFrame, model: SpanModel, *, key: str = "event_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         emissions = _Emissions(fitted)
-        for keys, texts in rows_of(batches):
+        for keys, texts in rows_of(batches, chars=2_000_000):
             parts = [_WORD.findall(t) for t in texts]
             counts = np.fromiter(map(len, parts), np.int64, len(parts))
             emission = np.fromiter((emissions[w] for p in parts for w in p), float, int(counts.sum()))
