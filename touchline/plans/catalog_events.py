@@ -312,6 +312,61 @@ def q_image_possession(T):
     return _six(J.image_possession(lock, dets), "share_0", "share_1")
 
 
+def _clips(T):
+    """Telemetry of both clips, each under a match number of its own, as in ``pan_rate``."""
+    return T["telemetry"].withColumn("match_id", F.expr("match_id * 2 + clip"))
+
+
+def _of_clips(df, *cols):
+    return df.select(F.expr("cast(floor(match_id / 2) as bigint)").alias("match_id"), (F.col("match_id") % 2).alias("clip"), *cols)
+
+
+@query("asof_telemetry_clips", """WITH tl AS (SELECT match_id, clip, time_s, yaw, ball_x, locked FROM telemetry),
+b AS (SELECT c.match_id, c.clip, b.frame, b.t FROM ball b JOIN (SELECT DISTINCT match_id, clip FROM tl) c ON c.match_id = b.match_id),
+p AS (SELECT b.match_id, b.clip, b.frame, b.t, l.time_s AS bt, l.yaw AS by_, l.ball_x AS bb, l.locked AS bl
+  FROM b ASOF LEFT JOIN tl l ON l.match_id = b.match_id AND l.clip = b.clip AND l.time_s < b.t),
+n AS (SELECT b.match_id, b.clip, b.frame, l.time_s AS nt, l.yaw AS ny, l.ball_x AS nb, l.locked AS nl
+  FROM b ASOF LEFT JOIN tl l ON l.match_id = b.match_id AND l.clip = b.clip AND l.time_s >= b.t)
+SELECT match_id, clip, frame, CASE WHEN e THEN by_ ELSE ny END AS yaw, CASE WHEN e THEN bb ELSE nb END AS ball_x,
+  CASE WHEN e THEN bl ELSE nl END AS locked
+FROM (SELECT p.*, n.ny, n.nb, n.nl, bt IS NOT NULL AND (nt IS NULL OR t - bt < nt - t) AS e
+  FROM p JOIN n ON n.match_id = p.match_id AND n.clip = p.clip AND n.frame = p.frame) p""")
+def q_asof_clips(T):
+    tl = _clips(T)
+    own = tl.select(F.expr("cast(floor(match_id / 2) as bigint)").alias("_m"), F.col("match_id").alias("_clip")).distinct()
+    left = T["ball"].join(own, F.col("match_id") == F.col("_m")).select(F.col("_clip").alias("match_id"), "frame", "t")
+    out = J.asof_nearest(left, tl, ["match_id"], "t", "time_s", ["yaw", "ball_x", "locked"])
+    return _of_clips(out, "frame", "near.yaw", "near.ball_x", "near.locked")
+
+
+@query("in_play_clips", """SELECT match_id, clip, min(n) AS start_frame, count(*) AS frames, max(n) + 1 AS end_frame FROM (
+  SELECT match_id, clip, n, n - row_number() OVER (PARTITION BY match_id, clip ORDER BY n) AS g FROM telemetry
+  WHERE n % 17 < 12) a GROUP BY match_id, clip, g HAVING count(*) >= 5""")
+def q_in_play_clips(T):
+    lock = _clips(T).select("match_id", F.col("n").alias("frame"), (F.col("n") % 17 < 12).alias("locked"))
+    return _of_clips(B.in_play(lock), "start_frame", "frames", "end_frame")
+
+
+@query("image_possession_clips", """WITH near AS (SELECT d.match_id, b.clip, d.frame, d.det_id % 2 AS team,
+    sqrt(((x1 + x2) / 2e0 - b.ball_x / 2560e0) ** 2 + (y2 - (720e0 + b.ball_ym) / 2560e0) ** 2) AS d2,
+    abs((x1 + x2) / 2e0 - b.ball_x / 2560e0) AS d1, b.ball_ym, d.det_id
+  FROM dets d JOIN telemetry b ON b.match_id = d.match_id AND b.n = d.frame AND b.locked),
+best AS (SELECT *, row_number() OVER (PARTITION BY match_id, clip, frame ORDER BY CASE WHEN ball_ym IS NULL THEN d1 ELSE d2 END,
+    det_id) AS k FROM near),
+g AS (SELECT match_id, clip, count(CASE WHEN team = 0 THEN 1 END) AS touches_0, count(CASE WHEN team = 1 THEN 1 END) AS touches_1,
+  count(*) AS contested_frames FROM best WHERE k = 1 AND CASE WHEN ball_ym IS NULL THEN d1 ELSE d2 END <= 0.08e0 GROUP BY 1, 2)
+SELECT *, round_even(coalesce(touches_0 / nullif(CAST(touches_0 + touches_1 AS DOUBLE), 0), 0e0), 6) AS share_0,
+  round_even(coalesce(touches_1 / nullif(CAST(touches_0 + touches_1 AS DOUBLE), 0), 0e0), 6) AS share_1 FROM g""")
+def q_image_possession_clips(T):
+    lock = _clips(T).select("match_id", F.col("n").alias("frame"), "locked", (F.col("ball_x") / 2560.0).alias("u"),
+                            ((F.col("ball_ym") + 720.0) / 2560.0).alias("v"))
+    # a detection meets the ball of each clip of its match
+    dets = T["dets"].select(F.explode(F.expr("array(match_id * 2, match_id * 2 + 1)")).alias("match_id"), "frame", "det_id", "x1", "x2",
+                            "y2", (F.col("det_id") % 2).alias("team"))
+    out = _six(J.image_possession(lock, dets), "share_0", "share_1")
+    return _of_clips(out, "touches_0", "touches_1", "contested_frames", "share_0", "share_1")
+
+
 @query("review_counts", """SELECT match_id, count(CASE WHEN verdict = 'true' THEN 1 END) AS confirmed,
   count(CASE WHEN verdict = 'false' THEN 1 END) AS rejected,
   count(CASE WHEN verdict NOT IN ('true', 'false') THEN 1 END) AS unreviewed FROM event_log GROUP BY 1""")

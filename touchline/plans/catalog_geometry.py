@@ -132,6 +132,22 @@ def q_projected(T):
     return _six(P.projected_landmarks(marks, T["poses"].where("frame % 40 = 0"), _frames(T), _calibrations(T)), "u", "v")
 
 
+@query("projected_landmarks_whole", f"""WITH lm(label, x, y) AS (VALUES ('corner near-left', 0e0, 0e0),
+  ('corner near-right', 100e0, 0e0), ('corner far-right', 100e0, 64e0), ('corner far-left', 0e0, 64e0),
+  ('goal post left-near', 0e0, 32e0 - 3.66e0), ('goal post left-far', 0e0, 32e0 + 3.66e0),
+  ('goal post right-near', 100e0, 32e0 - 3.66e0), ('goal post right-far', 100e0, 32e0 + 3.66e0),
+  ('halfway near', 50e0, 0e0), ('halfway far', 50e0, 64e0), ('center spot', 50e0, 32e0),
+  ('penalty spot left', 11e0, 32e0), ('penalty spot right', 89e0, 32e0), ('center circle near', 50e0, 32e0 - 9.15e0),
+  ('center circle far', 50e0, 32e0 + 9.15e0), ('center circle left', 50e0 - 9.15e0, 32e0),
+  ('center circle right', 50e0 + 9.15e0, 32e0)),
+pts AS (SELECT p.match_id, p.frame, l.label, l.x, l.y, p.pan, p.focal FROM poses p, lm l), {PIXEL_CTE}
+SELECT match_id, frame, label, round_even(focal * 1.05e0 * cx / cz + 0.5e0, 6) AS u,
+  round_even(focal * 1.05e0 * cy / cz + 0.28125e0, 6) AS v FROM px WHERE cz > 1e-9""")
+def q_projected_whole(T):
+    m = T["poses"].select("match_id").distinct().select("match_id", F.lit(L).alias("length"), F.lit(W).alias("width"))
+    return _six(P.projected_landmarks(P.landmarks(m), T["poses"], _frames(T), _calibrations(T)), "u", "v")
+
+
 @query("resample_pose", """WITH n AS (SELECT match_id, frame, pan, focal, lead(pan) OVER w AS np, lead(focal) OVER w AS nf FROM poses
   WINDOW w AS (PARTITION BY match_id ORDER BY frame)), k AS (SELECT unnest(range(0, 12000)) AS k)
 SELECT match_id, k.k, round_even(cos(pan + coalesce(np - pan, 0e0) * (k.k * 5e0 / 12e0 - frame)), 6) AS q0,
