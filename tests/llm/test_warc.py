@@ -68,3 +68,51 @@ def test_reader_logs_gaps(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(data)
     rows = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
     assert [(r.page_id, r.reason is None, r.length) for r in rows] == [(1, True, len(record(1)[0])), (None, False, 4), (2, True, len(record(2)[0]))]
+
+
+def one_member(count, spoil=None):
+    """``count`` records as one gzip stream; a payload byte of record ``spoil`` is changed before packing."""
+    plain = [bytearray(record(i, os.urandom(300).hex().encode())[1]) for i in range(count)]
+    if spoil is not None:
+        plain[spoil][-20] ^= 1
+    return gzip.compress(b"".join(map(bytes, plain)), mtime=0), [len(p) for p in plain]
+
+
+def told(data):
+    return [int(p.headers["warc-record-id"].rsplit(":", 1)[1][:-1]) if p.headers else "gap" for p in warc.salvage(data)]
+
+
+def test_member_of_several_records_loses_only_the_bad_one():
+    packed, sizes = one_member(5, spoil=2)
+    assert told(packed) == [0, 1, "gap", 3, 4]
+    gap = [p for p in warc.salvage(packed) if p.headers is None][0]
+    assert (gap.offset, gap.length, gap.inner, gap.inner_length) == (0, len(packed), sum(sizes[:2]), sizes[2])
+    assert gap.reason == "block digest differs"
+    assert told(b"junk" + packed + one_member(2)[0]) == ["gap", 0, 1, "gap", 3, 4, 0, 1]
+
+
+def test_broken_member_gives_what_was_inflated():
+    packed, sizes = one_member(200)
+    cut = told(packed[:len(packed) // 2])
+    assert cut[:-1] == list(range(len(cut) - 1)) and 80 < len(cut) < 120 and cut[-1] == "gap"
+    bad = bytearray(packed)
+    bad[len(bad) // 2:len(bad) // 2 + 8] = b"\xff" * 8
+    after, _ = one_member(3)
+    got = told(bytes(bad) + after)
+    assert got[:70] == list(range(70)) and got[-4:] == ["gap", 0, 1, 2]
+    trailer = bytearray(packed)
+    trailer[-6] ^= 1  # the checksum itself
+    pieces = list(warc.salvage(bytes(trailer)))
+    assert told(bytes(trailer)) == [*range(200), "gap"] and all(p.reason for p in pieces)
+    # stored blocks hold the records as they are: none is given twice
+    stored = gzip.compress(b"".join(record(i)[1] for i in range(3)), 0)
+    assert told(stored[:-4]) == [0, 1, 2, "gap"]
+
+
+def test_reader_reads_every_file(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    (tmp_path / "crawl.warc.gz").write_bytes(record(1)[0])
+    (tmp_path / "below" / "plain.warc").write_bytes(record(2)[1])
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.reason is None) for r in rows) == [(0, False), (1, True), (2, True)]

@@ -23,6 +23,7 @@ from ..session import shared_path
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _PAGE = "urn:x-page:"
+_CHUNK = 1 << 15
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,13 +95,20 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
 
 @dataclass
 class Piece:
-    """What the salvage reader finds at ``offset``: a record (``reason`` empty) or a gap that it could not read."""
+    """What the salvage reader finds at ``offset``: a record (with ``headers``) or a gap that it could not read.
+
+    ``inner`` is where the piece begins in what the gzip member at ``offset`` inflates to (``inner_length`` bytes). A gap
+    has a ``reason``; a record has one where its member's bytes are corrupt elsewhere, so that nothing but its own digest
+    vouches for it.
+    """
 
     offset: int
     length: int
     reason: str = ""
     headers: dict[str, str] | None = None
     block: bytes = b""
+    inner: int | None = None
+    inner_length: int | None = None
 
 
 def _parse(data: bytes, at: int) -> tuple[Piece, int]:
@@ -132,41 +140,103 @@ def _parse(data: bytes, at: int) -> tuple[Piece, int]:
     return Piece(at, stop + 4 - at, "", headers, block), stop + 4
 
 
-def _records(data: bytes) -> list[Piece]:
-    found, at = [], 0
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` inflates to, where it ends, and what is wrong with it. A member that fails gives what
+    came before the error."""
+    unpack, out, view = zlib.decompressobj(31), [], memoryview(data)
+    while not unpack.eof:
+        some = view[at:at + _CHUNK]
+        if not some:
+            return b"".join(out), at, "member does not end"
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(some))
+            at += len(some)
+        except zlib.error as wrong:
+            try:
+                for i in range(len(some)):
+                    out.append(before.decompress(some[i:i + 1]))
+                    at += 1
+            except zlib.error:
+                pass
+            return b"".join(out), at, str(wrong)
+    return b"".join(out), at - len(unpack.unused_data), ""
+
+
+def _plain(data: bytes) -> list[Piece]:
+    """All records of plain bytes in order, and a gap for each stretch between them."""
+    found: list[Piece] = []
+    at, bad, reason = 0, -1, ""
     while at < len(data):
-        piece, at = _parse(data, at)
+        try:
+            piece, end = _parse(data, at)
+        except ValueError as wrong:
+            if bad < 0:
+                bad, reason = at, str(wrong)
+            version = _VERSION.search(data, at + 1)
+            at = version.start() if version else len(data)
+            continue
+        if bad >= 0:
+            found.append(Piece(bad, at - bad, reason))
+            bad = -1
         found.append(piece)
+        at = end
+    if bad >= 0:
+        found.append(Piece(bad, len(data) - bad, reason))
     return found
 
 
 def salvage(data: bytes) -> Iterator[Piece]:
     """All records of an archive in order, gzip members or plain, and a gap for each stretch of bytes between them.
 
-    A member must unpack with its checksum and hold whole records; a record must have a version line, its mandatory
-    headers, its length and its digests. After a failed check the search goes on at the next place where a member or a
-    version line begins *and* checks out; everything before it is one gap, with the first reason.
+    A record must have a version line, its mandatory headers, its length and its digests. After a failed check the search
+    goes on at the next place where a member or a version line begins *and* checks out; everything before it is one gap,
+    with the first reason. What a member inflates to is searched in the same way, so one that holds many records loses
+    only those that fail, as gaps with inner offsets. Of a member that is cut off or corrupt the records in what was
+    inflated before the error are given, then the member is a gap with the error; where it is corrupt, they must have a
+    block digest, and carry the error as their reason. Where that is one record and nothing else, it is the member, and
+    only the gap is given.
     """
     at, bad, reason = 0, -1, ""
+    given, until = set(), 0  # what a broken member gave, and the end of its bytes: stored blocks hold records as they are
     while at < len(data):
-        try:
-            if data.startswith(_MEMBER, at):
-                unpack = zlib.decompressobj(31)
-                inner = unpack.decompress(memoryview(data)[at:])
-                if not unpack.eof:
-                    raise ValueError("member does not end")
-                end = len(data) - len(unpack.unused_data)
-                pieces = [Piece(at, end - at, "", p.headers, p.block) for p in _records(inner)]
-            else:
+        wrong, end, pieces = "", at, []
+        if data.startswith(_MEMBER, at):
+            inner, end, wrong = _inflated(data, at)
+            pieces = [Piece(at, end - at, p.reason, p.headers, p.block, p.offset, p.length) for p in _plain(inner)]
+            if wrong:
+                if wrong != "member does not end":
+                    pieces = [p for p in pieces if p.headers is None or p.headers.get("warc-block-digest", "").startswith("sha1:")]
+                    for p in pieces:
+                        p.reason = p.reason or wrong
+                while pieces and pieces[-1].headers is None:  # what the error cut off is part of the member's gap
+                    pieces.pop()
+                if len(pieces) == 1 and pieces[0].inner_length == len(inner):
+                    pieces = []
+                if bad >= 0 and pieces:
+                    yield Piece(bad, at - bad, reason)
+                    bad = -1
+                yield from pieces
+                if pieces:
+                    given, until = {_same(p) for p in pieces if p.headers}, end
+            elif pieces and not any(p.headers for p in pieces):
+                if bad < 0:
+                    bad, reason = at, pieces[0].reason
+                at = end
+                continue
+        else:
+            try:
                 piece, end = _parse(data, at)
-                pieces = [piece]
-        except (ValueError, zlib.error) as wrong:
+                pieces = [] if at < until and _same(piece) in given else [piece]
+            except ValueError as error:
+                wrong = str(error)
+        if wrong:
             if bad < 0:
-                bad, reason = at, str(wrong)
+                bad, reason = at, wrong
             member, version = data.find(_MEMBER, at + 1), _VERSION.search(data, at + 1)
             at = min(x for x in (member if member >= 0 else len(data), version.start() if version else len(data)))
             continue
-        if bad >= 0:
+        if bad >= 0 and (pieces or at >= until):
             yield Piece(bad, at - bad, reason)
             bad = -1
         yield from pieces
@@ -175,9 +245,14 @@ def salvage(data: bytes) -> Iterator[Piece]:
         yield Piece(bad, len(data) - bad, reason)
 
 
+def _same(piece: Piece) -> tuple:
+    return tuple(piece.headers.items()), piece.block
+
+
 _FOUND = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()),
                     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
-                    ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+                    ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("inner_offset", pa.int64()),
+                    ("inner_length", pa.int64())])
 
 
 def _number(urn: str | None) -> int | None:
@@ -186,7 +261,8 @@ def _number(urn: str | None) -> int | None:
 
 
 def _row(file: str, piece: Piece) -> dict:
-    row = {"file": file, "offset": piece.offset, "length": piece.length, "reason": piece.reason or None}
+    row = {"file": file, "offset": piece.offset, "length": piece.length, "reason": piece.reason or None,
+           "inner_offset": piece.inner, "inner_length": piece.inner_length}
     if piece.headers is not None:
         head = piece.headers
         http, _, payload = piece.block.partition(b"\r\n\r\n")
@@ -203,8 +279,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path`` and every quarantined gap, as rows.
 
     Records have ``page_id, url, record_type, payload_bytes, payload_digest, refers_to``; gaps have a ``reason`` and nulls
-    there; both have ``file, offset, length``. A file is read by one task and has to fit its memory (``write_warc``
-    bounds its files). A folder without files gives no rows.
+    there; both have ``file, offset, length``, and those in a gzip member ``inner_offset, inner_length`` in its inflated
+    bytes (see ``salvage``). All files are read, in folders below too, whatever their names, but for those that begin with
+    ``_`` or ``.``, which Spark's readers pass over. A file is read by one task and has to fit its memory
+    (``write_warc`` bounds its files). A folder without files gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,10 +296,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(
         run, "file string, offset bigint, length bigint, reason string, page_id bigint, url string, record_type string, "
-        "payload_bytes bigint, payload_digest string, refers_to bigint")
+        "payload_bytes bigint, payload_digest string, refers_to bigint, inner_offset bigint, inner_length bigint")
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
