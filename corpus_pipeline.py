@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontamination, near_duplicates, packing, private_data, toxicity
-from touchline.session import shared_path, ship_package
+from touchline.session import cut, shared_path, ship_package
 
 _KEYS = {"key": "doc_id", "text": "text"}
 
@@ -26,9 +26,9 @@ def _stage(function):
     return run_stage
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` but for those ids; rows without id stay."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(ids.select(key).where(f"{key} is not null").distinct(), key, "left_anti").select(*docs.columns)
 
 
 def _held_out(key: str) -> Column:
@@ -41,23 +41,56 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     but the held-out fifth."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, use=~_held_out("key"), **_KEYS)
-    scored = toxicity.score_notes(docs.where("doc_id is not null"), model, **_KEYS)
-    return _without(docs, scored.where("score >= 0.5"))
+    return toxicity.without_toxic(docs, model, text="text")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` with equal id (or none) and equal text one, with the digest ``_digest`` and a number ``_n`` that follows
+    id and digest."""
+    one = rows.withColumn("_digest", F.sha2("text", 256)).groupBy("doc_id", "_digest").agg(F.min(F.struct(*rows.columns)).alias("_row"))
+    return cut(one.select("_row.*", "_digest").orderBy("doc_id", "_digest").withColumn("_n", F.monotonically_increasing_id()))
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the least id stays."""
-    judged = near_duplicates.near_duplicates(docs, **_KEYS)
-    return _without(docs, judged.where("not kept"))
+    """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the least id stays.
+
+    Where rows repeat an id, equal texts are one row, the text of least digest goes by the id, and its other texts come
+    after all ids. Rows without id are compared among themselves; of their groups the text of least digest stays. Texts
+    without words are copies of nothing.
+    """
+    def parted(rows: DataFrame, key: str) -> DataFrame:
+        return _without(rows, near_duplicates.near_duplicates(rows, key=key, text="text").where("not kept"), key)
+
+    own, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    again = cut(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("doc_id"))
+    repeats, missing = not again.isEmpty(), not nameless.isEmpty()
+    if not repeats and not missing:
+        return parted(docs, "doc_id")
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    if repeats:
+        top = own.agg(F.max("doc_id")).first()[0]
+        several = own.join(again, "doc_id", "left_semi").select(*docs.columns)
+        texts = _apart(several.where(worded))
+        named = texts.join(texts.groupBy("doc_id").agg(F.min("_n").alias("_first")), "doc_id")
+        named = named.withColumn("_key", F.when(F.col("_n") == F.col("_first"), F.col("doc_id")).otherwise(F.col("_n") + top + 1))
+        once = own.join(again, "doc_id", "left_anti").withColumn("_key", F.col("doc_id"))
+        kept = parted(once.select(*docs.columns, "_key").unionByName(named.select(*docs.columns, "_key")), "_key").drop("_key")
+        kept = kept.unionByName(several.where(~worded))
+    else:
+        kept = parted(own, "doc_id")
+    if missing:
+        kept = kept.unionByName(parted(_apart(nameless.where(worded)), "_n").select(*docs.columns)).unionByName(nameless.where(~worded))
+    return kept
 
 
 @_stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of ten words of a benchmark item go."""
+    """Documents that hold a passage of ten words of a benchmark item go. The row travels with its text, so that each is
+    judged by its own, whatever its id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_items(docs.where("doc_id is not null"), items, **_KEYS)
-    return _without(docs, found.where(F.size("spans") > 0))
+    found = decontamination.find_items(docs.withColumn("_row", F.struct(*docs.columns)), items, key="_row", text="text")
+    return found.where(F.size("spans") == 0).select("_row.*")
 
 
 @_stage

@@ -250,6 +250,33 @@ def train(events: DataFrame, labels: DataFrame, *, key: str = "event_id", text:
     return pickle.loads(row["model"]) if row else fit([], [], shares=(shares[0], shares[1]))
 
 
+def _scored(fitted: SpanModel, emissions: _Emissions, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, the words' marginals, and the texts' scores."""
+    parts = [_WORD.findall(t) for t in texts]
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    emission = np.fromiter((emissions[w] for p in parts for w in p), float, int(counts.sum()))
+    marginal = _Chain(counts).marginals(emission, fitted.trans)[2]
+    return counts, marginal, _sigmoid(_summary(marginal, counts) @ fitted.score)
+
+
+def without_toxic(events: DataFrame, model: SpanModel, *, text: str = "note", least: float = 0.5) -> DataFrame:
+    """The rows of ``events`` whose score is under ``least``, with all their columns. Each row is judged by its own text,
+    whatever its id; nothing is shuffled."""
+    shared = events.sparkSession.sparkContext.broadcast(model)
+    place = events.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        emissions = _Emissions(fitted)
+        for batch in batches:
+            judged = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place).fill_null("")], names=["key", "text"])
+            for keys, texts in rows_of([judged], chars=2_000_000):
+                low = _scored(fitted, emissions, texts)[2] < least
+                yield batch.slice(keys[0], len(keys)).filter(pa.array(low))
+
+    return events.mapInArrow(run, events.schema)
+
+
 def score_notes(events: DataFrame, model: SpanModel, *, key: str = "event_id", text: str = "note") -> DataFrame:
     """``key, score, n_words, spans``: how toxic each whole note is, and where.
 
@@ -264,11 +291,7 @@ def score_notes(events: DataFrame, model: SpanModel, *, key: str = "event_id", t
         fitted = shared.value
         emissions = _Emissions(fitted)
         for keys, texts in rows_of(batches, chars=2_000_000):
-            parts = [_WORD.findall(t) for t in texts]
-            counts = np.fromiter(map(len, parts), np.int64, len(parts))
-            emission = np.fromiter((emissions[w] for p in parts for w in p), float, int(counts.sum()))
-            marginal = _Chain(counts).marginals(emission, fitted.trans)[2]
-            scores = _sigmoid(_summary(marginal, counts) @ fitted.score)
+            counts, marginal, scores = _scored(fitted, emissions, texts)
             ends = np.cumsum(counts)
             spans: list[list[dict]] = [[] for _ in texts]
             hot = np.flatnonzero(marginal >= 0.5)
