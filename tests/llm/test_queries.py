@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there"
 def run(spark):
     import __spark_entry__ as entry
     found = {k.split("_")[0]: v for k, v in entry.queries().items() if k.startswith("op")}
-    assert sorted(found, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 11)]
+    assert sorted(found, key=lambda n: int(n[2:])) == [f"op{n}" for n in range(1, 14)]
     return lambda name: found[name](spark, SF)
 
 
@@ -29,7 +29,7 @@ def told(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op3_source_rules", "op5_wu_manber", "op7_salvage_warc"])
+@pytest.mark.parametrize("name", ["op3_source_rules", "op5_wu_manber", "op7_salvage_warc", "op11_term_tree"])
 def test_sql(spark, name):
     import oracle
     import __spark_entry__ as entry
@@ -49,3 +49,30 @@ def test_near_duplicates(run, docs):
 def test_repeats(run, docs):
     want = {(k, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for k, n, gone, kept in removed(docs, 13)}
     assert {tuple(r) for r in run("op9").collect()} == want
+
+
+def test_merges(run, docs):
+    import tiktoken
+    import base64
+    import struct
+
+    import public_tokenizers as tok
+    with open(tok.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("own", pat_str=tok.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = set()
+    for key, text in docs:
+        ids = own.encode_ordinary(text or "")
+        want.add((key, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert {tuple(r) for r in run("op12").collect()} == want
+
+
+def test_conversations(spark, run):
+    from collections import defaultdict
+
+    from brute_conversations import damaged, verdict
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    by = defaultdict(list)
+    for r in damaged(rows):
+        by[r[0]].append(r)
+    assert {tuple(r) for r in run("op13").collect()} == {(c, *verdict(by[c])) for c in {r[0] for r in rows}}

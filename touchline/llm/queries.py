@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontamination, near_duplicates, packing, private_data, quality, repeats, secret_scan, tokens, toxicity, warc
+from . import (conversations, decontamination, merge_replay, near_duplicates, packing, private_data, quality, repeats, secret_scan,
+               source_divergence, tokens, toxicity, warc)
 from .spans import joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +172,55 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_term_tree", oracle=r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+vocabulary AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sources AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) + 5 * coalesce(v, 0) AS d, lang_total + 5 * v AS lang_d
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN vocabulary USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)),
+shares AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)::HUGEINT) // d AS p,
+  1 + (1000000000 * (lang_n + 5)::HUGEINT) // lang_d AS q
+  FROM sources s JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b
+  ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    events = spark.read.parquet(f"{folder}/documents.parquet").select(
+        F.col("lang").alias("type"), "source", F.col("text").alias("note"))
+    return source_divergence.audit_sources(events).withColumnRenamed("kind", "lang")
+
+
+@query("op12_merge_replay")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    told = merge_replay.decode_ids(merge_replay.encode_notes(notes(spark, folder), ranks, key="event_id"), ranks)
+    return told.select(F.col("event_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_meet_in_the_middle")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    faults, repaired = conversations.repair_conversations(conversations.damage(rows))
+    named = lambda df: df.select(F.struct("conv_id").alias("_c"), *[c for c in df.columns if c != "conv_id"])
+    every = named(rows.select("conv_id").distinct()).join(named(faults), "_c", "left").join(
+        named(conversations.conversation_digests(repaired)), "_c", "left")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return every.select("_c.conv_id", *map(number, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
