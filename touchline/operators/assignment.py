@@ -113,3 +113,58 @@ def match_sparse(edges: dict[int, list[tuple[int, float]]], unmatched: float) ->
             right_of[left], left_of[free] = free, left
             free = None if left == start else after
     return right_of
+
+
+def place_lefts(edges: dict[int, list[tuple[int, int]]], todo: list[int], unmatched: int, left_price: dict[int, int],
+                right_price: dict[int, int], right_of: dict[int, int], left_of: dict[int, int], own: set[int]) -> set[int]:
+    """Place those of ``todo`` whose cheapest way stays among ``edges``' lefts and the rights in ``own``; tells which.
+
+    Prices and partners are those of a matching under way and are changed in place. A search that would have to go through a
+    right of others, or a right whose partner is not here, changes nothing. A left that better goes without is placed.
+    """
+    placed = set()
+    for start in todo:
+        dist, came_from, done, heap = {}, {}, {}, []
+        left, reached = start, 0
+        quit_at, quit_left = None, start
+        free, total = None, None
+        while True:
+            price = left_price[left]
+            if quit_at is None or reached + unmatched - price < quit_at:
+                quit_at, quit_left = reached + unmatched - price, left
+            for right, cost in edges[left]:
+                if right not in done:
+                    far = reached + cost - price - right_price.get(right, 0)
+                    if right not in dist or far < dist[right]:
+                        dist[right], came_from[right] = far, left
+                        heappush(heap, (far, right))
+            while heap and heap[0][1] in done:
+                heappop(heap)
+            if not heap or heap[0][0] >= quit_at:
+                total = quit_at
+                break
+            far, right = heappop(heap)
+            if right not in own:
+                break
+            if right not in left_of:
+                total, free = far, right
+                break
+            if left_of[right] not in edges:
+                break
+            done[right] = far
+            left, reached = left_of[right], far
+        if total is None:
+            continue
+        left_price[start] += total
+        for right, far in done.items():
+            right_price[right] = right_price.get(right, 0) - (total - far)
+            left_price[left_of[right]] += total - far
+        if free is None:
+            free = right_of.pop(quit_left, None)
+        while free is not None:
+            left = came_from[free]
+            after = right_of.get(left)
+            right_of[left], left_of[free] = free, left
+            free = None if left == start else after
+        placed.add(start)
+    return placed

@@ -2,7 +2,7 @@
 
 The tracker is sequential, so it is cut where every live track has expired (a silence longer than its memory) and
 folded in frame order; numbering is made continuous afterwards. Stitching is joins: a bucketed range join for the
-candidates, star contractions for the components, one exact assignment per component, pointer jumping for the chains.
+candidates, an exact matching by components and blocks (``matching``), pointer jumping for the chains.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import cut
-from .assignment import match_gated, match_sparse
+from ..session import cut, discard, stored
+from .assignment import match_gated
 from .blocks import Fold, fold_sorted, frames_for, gap_pieces, prefix, rescaled_gain
+from .matching import components, match_fragments  # noqa: F401
 
 # Fixed values of the association rules (meters, seconds)
 SPRINT_MS, SIGMA_FACTOR, MAX_GATE_M, MIN_SIGMA_M = 7.0, 1.5, 3.0, 0.35
 MAX_AGE_FACTOR, AGE_PER_S, KIT_WEIGHT, MIN_KIT, MEMORY_S, GAIN, KIT_KEEP = 1.5, 0.5, 3.0, 0.2, 3.0, 0.5, 0.85
-STITCH_GAP_S, STITCH_BASE_M, STITCH_KIT, NO_KIT_FACTOR, UNJOINED = 6.0, 2.0, 0.45, 0.6, 1e6
-COST_UNITS = 1_000_000
+STITCH_GAP_S, STITCH_BASE_M, STITCH_KIT, NO_KIT_FACTOR = 6.0, 2.0, 0.45, 0.6
 LOOSE_GAP_S, LOOSE_FACTOR = 30.0, 2.0
 
 
@@ -200,69 +200,20 @@ def stitch_samples(report: DataFrame, best: int = 6) -> DataFrame:
     return top_k(close, ["match_id", "reason"], [F.col("ratio"), F.col("before"), F.col("after")], best)
 
 
-def components(edges: DataFrame, keys: str = "match_id", limit: int = 60) -> DataFrame:
-    """Label each edge ``(match_id, before, after, ...)`` with ``component``: the smallest node it is linked to.
-
-    Alternating star contractions; neighborhoods are only ever reduced to their minimum. Raises if they do not settle.
-    """
-    u = edges.select(keys, (F.col("before") * 2).alias("u"), (F.col("after") * 2 + 1).alias("v"))
-    links = cut(u.distinct())
-    for _ in range(limit):
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = links.select(keys, F.explode(ends).alias("e")).select(keys, "e.u", "e.v")
-        low = both.groupBy(keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, [keys, "u"]).where(F.col("v") > F.col("u")).select(keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.select(keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = down.groupBy(keys, "u").agg(F.min("v").alias("m"))
-        small = down.join(low, [keys, "u"]).select(keys, F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        after = cut(small.where(F.col("u") != F.col("v")).distinct())
-        changed = after.join(links, [keys, "u", "v"], "left_anti").limit(1).count() or \
-            links.join(after, [keys, "u", "v"], "left_anti").limit(1).count()
-        links = after
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {limit} rounds")
-    root = links.select(keys, F.col("u").alias("_n"), F.col("v").alias("_root"))
-    out = edges.withColumn("_n", F.col("before") * 2).join(root, [keys, "_n"], "left")
-    return out.withColumn("component", F.coalesce("_root", "_n")).drop("_n", "_root")
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    edges: dict[int, list[tuple[int, int]]] = {}
-    for before, after, cost in sorted(zip(pdf["before"], pdf["after"], pdf["cost"])):
-        edges.setdefault(before, []).append((after, round((cost + 1.0) * COST_UNITS)))
-    pairs = match_sparse(edges, round(UNJOINED * COST_UNITS))
-    return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "before": list(pairs), "after": list(pairs.values())},
-                        dtype="int64")
-
-
-def match_fragments(edges: DataFrame) -> DataFrame:
-    """At most one successor and predecessor per fragment: most joins first, then least total cost.
-
-    Costs count in whole millionths, and fragments are placed in ascending order, whatever the size, so equal costs are
-    decided alike everywhere. Components are independent, each is solved exactly in one task; a component lies within one
-    match, whose length bounds it.
-    """
-    labeled = components(edges)
-    schema = StructType([StructField(c, LongType()) for c in ("match_id", "before", "after")])
-    return labeled.select("match_id", "component", "before", "after", "cost").groupBy("match_id", "component").applyInPandas(
-        _solve, schema)
-
-
 def resolve_chains(joins: DataFrame, limit: int = 40) -> DataFrame:
     """Head of each joined fragment's chain: ``match_id, track_id, head`` by pointer jumping.
 
     Each round doubles the reach, so 40 rounds are more than any chain takes; a ring of joins raises.
     """
-    links = cut(joins.select("match_id", F.col("after").alias("track_id"), F.col("before").alias("head")))
+    links = stored(joins.select("match_id", F.col("after").alias("track_id"), F.col("before").alias("head")))
     for _ in range(limit):
         up = links.select("match_id", F.col("track_id").alias("head"), F.col("head").alias("_up"))
-        after = cut(links.join(up, ["match_id", "head"], "left").select(
+        after = stored(links.join(up, ["match_id", "head"], "left").select(
             "match_id", "track_id", F.coalesce("_up", "head").alias("head"), F.col("_up").isNotNull().alias("_moved")))
-        links = after.drop("_moved")
-        if not after.where("_moved").limit(1).count():
-            return links
+        discard(links)
+        links = after
+        if after.where("_moved").isEmpty():
+            return links.drop("_moved")
     raise RuntimeError("joins go round in a ring")
 
 

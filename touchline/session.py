@@ -57,6 +57,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut whose size the planner knows from the files.
+
+    Rounds of joins need it. A checkpoint hands on the estimate of the plan behind it, estimates of joins multiply, and
+    after some twenty rounds the planner would work on numbers of millions of digits.
+    """
+    path = shared_path(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files behind results of ``stored`` that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package once per application, so that jobs run from any working folder."""
     context = spark.sparkContext
