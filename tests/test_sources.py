@@ -99,3 +99,16 @@ def test_clip_plan_counts_each_file_once(spark):
     clips = spark.createDataFrame([(0, "/a/02.mp4", 5.0), (0, "/a/01.mp4", 3.0), (0, "/a/02.mp4", 5.0)], "match_id long, path string, duration_s double")
     got = sorted((r.clip_no, r.path, r.start_s) for r in C.plan_clips(clips).collect())
     assert got == [(1, "/a/01.mp4", 0.0), (2, "/a/02.mp4", 3.0)]
+
+
+def test_split_lines(spark):
+    """Two and three parts, at a blank or within a word, behind noise, with stamps between; long noise counts again."""
+    fast, size = "Fast3 Crowdx900", "BallSz9 TSz4"
+    lines = ["Frame1 fps30 SZ7 Yaw-12.5 Pit3.0", "Fast3", "Crowdx900", "noise", "BallSz", "2024-05-01 10:00:00.000", "9 TS", "Z4", "boundary1 LX20 autoCenterX30",
+             "Fa", size, "x" * 150, "y" * 150, "z" * 150, "Frame2 fps3", "0 SZ7 Yaw1 Pit2"]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(lines)] + [("b", 0, fast), ("c", 0, "only noise")], "path string, pos long, line string")
+    frames, unknown = T.parse_lines(df)
+    rows = {(r.path, r.frame): r for r in frames.collect()}
+    assert set(rows) == {("a", 1), ("a", 2)}
+    assert (rows["a", 1].fast, rows["a", 1].crowd_x, rows["a", 1].ball_sz, rows["a", 1].target_sz, rows["a", 2].yaw_deg) == (3, 900.0, 9, 4, 1.0)
+    assert {r.path: r.unknown_lines for r in unknown.collect()} == {"a": 1 + 1 + 2, "b": 0, "c": 1}

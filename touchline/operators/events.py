@@ -88,9 +88,8 @@ def detect_penalties(spells: DataFrame, whistles: DataFrame, obs: DataFrame, lag
         "match_id", F.col("kick_after_5.frame").alias("frame"), F.col("kick_after_5.t").alias("time_s"),
         F.col("kick_after_5.frame").alias("at"), F.col("kick_after_5.x").alias("px"),
         F.col("kick_after_5.y").alias("py"), "lag", F.col("kick_after_5.speed").alias("speed"), "whistle_s")
-    note = F.concat(F.lit("whistle at "), F.format_string("%.1f", F.col("whistle_s")),
-                    F.lit("s, ball still on the penalty spot, then kicked at "), labels.whole(F.col("speed")),
-                    F.lit(" m/s"))
+    note = F.concat(F.lit("kick from the penalty spot at "), labels.whole(F.col("speed")), F.lit(" m/s, whistle heard at "),
+                    F.format_string("%.1f", F.col("whistle_s")), F.lit(" s"))
     return _attributed(cands, obs, "penalty", 0.7, note)
 
 

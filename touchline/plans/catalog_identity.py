@@ -120,8 +120,8 @@ def q_appear(T):
 
 @query("numbers_stale", """WITH miss AS (SELECT match_id, count(*) AS n FROM (SELECT DISTINCT match_id, track_id FROM people
   WHERE track_id % 7 = 0 EXCEPT SELECT match_id, track_id FROM people WHERE match_id % 2 = 0) a GROUP BY 1)
-SELECT c.match_id, CASE WHEN n > 0 THEN n || ' stored number(s) refer to track ids that are not in this report'
-  WHEN abs(height - focal_scale * 5e0) > 1e0 THEN 'the numbers were read before the pitch was last calibrated' ELSE '' END AS note
+SELECT c.match_id, CASE WHEN n > 0 THEN n || ' of the kept shirt numbers name a track that the report lacks'
+  WHEN abs(height - focal_scale * 5e0) > 1e0 THEN 'shirt numbers are older than the calibration' ELSE '' END AS note
 FROM calibs c LEFT JOIN miss m ON m.match_id = c.match_id""")
 def q_stale(T):
     p = T["people"]
@@ -357,6 +357,29 @@ def q_match(T):
     return TK.match_fragments(TK.stitch_candidates(_frags(T), 5.0))
 
 
+@query("match_fragment_totals", f"""WITH RECURSIVE {FRAG}, ed AS (SELECT match_id, before, after,
+    CAST(round_even((distance / gap + 1.5e0) * 1e6, 0) AS BIGINT) AS price FROM pr WHERE gap <= 30 AND distance <= gap * (0.6e0 * (7e0 / 5e0)) + 2e0),
+near AS (SELECT a.match_id, a.before AS b1, a.after AS a1, b.before AS b2, b.after AS a2 FROM ed a JOIN ed b
+  ON a.match_id = b.match_id AND (a.before = b.before OR a.after = b.after)),
+reach AS (SELECT match_id, b1, a1, b1 AS b2, a1 AS a2 FROM near UNION
+  SELECT r.match_id, r.b1, r.a1, n.b2, n.a2 FROM reach r JOIN near n ON n.match_id = r.match_id AND n.b1 = r.b2 AND n.a1 = r.a2),
+groups AS (SELECT match_id, b1 AS before, a1 AS after, min((b2, a2)) AS g FROM reach GROUP BY ALL),
+nth AS (SELECT ed.*, g, row_number() OVER (PARTITION BY match_id, g ORDER BY before, after) AS k, count(*) OVER (PARTITION BY match_id, g) AS size
+  FROM ed JOIN groups USING (match_id, before, after)),
+pick AS (SELECT DISTINCT match_id, g, size, 0 AS k, [0][:0] AS bs, [0][:0] AS afs, 0::BIGINT AS joins, 0::BIGINT AS total FROM nth UNION ALL
+  SELECT p.match_id, p.g, p.size, p.k + 1, CASE WHEN t.y THEN list_append(bs, n.before) ELSE bs END,
+    CASE WHEN t.y THEN list_append(afs, n.after) ELSE afs END, joins + CAST(t.y AS BIGINT), total + CASE WHEN t.y THEN price ELSE 0 END
+  FROM pick p JOIN nth n ON n.match_id = p.match_id AND n.g = p.g AND n.k = p.k + 1 CROSS JOIN (VALUES (TRUE), (FALSE)) t(y)
+  WHERE NOT t.y OR NOT (list_contains(bs, n.before) OR list_contains(afs, n.after))),
+best AS (SELECT match_id, g, min((-joins, total)) AS b FROM pick WHERE k = size GROUP BY ALL)
+SELECT match_id, CAST(-sum(b[1]) AS BIGINT) AS joins, CAST(sum(b[2]) AS BIGINT) AS price FROM best GROUP BY match_id""")
+def q_match_totals(T):
+    edges = cut(TK.stitch_candidates(_frags(T), 5.0))
+    price = F.bround((F.col("cost") + 1.0) * 1e6).cast("long")
+    return TK.match_fragments(edges).join(edges, ["match_id", "before", "after"]).groupBy("match_id").agg(
+        F.count(F.lit(1)).alias("joins"), F.sum(price).alias("price"))
+
+
 CHAIN = """(SELECT match_id, t AS before, t + 7 AS after FROM (SELECT DISTINCT match_id, track_id AS t FROM obs) z
   WHERE t % 7 <> 3 AND t + 7 <= 70)"""
 

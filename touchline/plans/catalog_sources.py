@@ -76,8 +76,8 @@ def q_windows(T):
     return C.half_window(T["marks"])
 
 
-@query("mark_problem", """SELECT match_id, CASE WHEN start_s IS NULL THEN 'still to mark: kick-off' WHEN NOT (start_s < half_s AND half_s < end_s)
-  THEN 'the marks are out of order' WHEN end_s > duration_s + 1e0 THEN 'full-time is past the end of the video' END AS problem,
+@query("mark_problem", """SELECT match_id, CASE WHEN start_s IS NULL THEN 'not marked yet: kick-off' WHEN NOT (start_s < half_s AND half_s < end_s)
+  THEN 'kick-off, half-time and full-time do not follow each other' WHEN end_s > duration_s + 1e0 THEN 'full-time is marked later than the video runs' END AS problem,
   greatest(0e0, least(end_s, duration_s)) AS end_s FROM marks""")
 def q_marks(T):
     why = N.mark_problem(*[F.col(c) for c in ("start_s", "half_s", "end_s", "duration_s")])

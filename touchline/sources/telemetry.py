@@ -1,19 +1,17 @@
 """Camera-controller text logs as tables: one row per logged frame.
 
 Lines are read split by split (a log is never one row), classified and cut apart with column expressions, and merged per
-frame with aggregates. Only lines that parse as nothing go through a fold, to be rejoined when the writer split them.
+frame with aggregates. Lines that parse as nothing are tried joined with their neighbors, as the writer splits some.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.blocks import Fold, fold_sorted, prefix
+from ..operators.blocks import prefix, runs
 
 # The line formats of the log
 STAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)$"
@@ -47,33 +45,6 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return raw.join(first, ["path", "_at"]).select("path", (F.col("_at") + F.col("_id") - F.col("_first")).alias("pos"), "line")
 
 
-class _Rejoin(Fold):
-    """Joins unrecognized neighbors until they parse; what never does is counted unknown."""
-
-    def __init__(self, path):
-        self.path, self.held, self.known = path, "", [re.compile(p) for p in CONTENT.values()]
-
-    def _lost(self, pos):
-        self.held = ""
-        return [(self.path, pos, None)]
-
-    def step(self, row):
-        if not row.loose:
-            return self._lost(row.pos) if self.held else []
-        if not self.held:
-            self.held = row.line
-        else:
-            for joined in (self.held + row.line, self.held + " " + row.line):
-                if any(p.match(joined) for p in self.known):
-                    self.held = ""
-                    return [(self.path, row.pos, joined)]
-            self.held += row.line
-        return self._lost(row.pos) if len(self.held) > LONGEST else []
-
-    def close(self):
-        return self._lost(0) if self.held else []
-
-
 def _kind(line: Column) -> Column:
     kind = F.when(line.rlike(STAMP), "stamp").when(line.rlike(HEADER), "header")
     for name, pattern in CONTENT.items():
@@ -81,21 +52,46 @@ def _kind(line: Column) -> Column:
     return kind.otherwise("loose")
 
 
+def _rejoined(loose: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines put together from neighbors in a run of loose lines (``path, pos, line, kind``), and ``path, unknown_lines``.
+
+    The writer may split a line in two or three, at a blank or within a word. Each loose line is tried with the next one, then with the
+    next two; stamps between them do not matter, but a line that parses alone does. Where two joins overlap, the earlier
+    one counts. What is left between joins is unknown: once for a stretch of lines, and again for about each further
+    ``LONGEST`` characters of it.
+    """
+    run = Window.partitionBy("path", "run").orderBy("pos")
+    after = [F.lead(F.struct("line", "pos")).over(run), F.lead(F.struct("line", "pos"), 2).over(run)]
+    rows = loose.withColumns({"one": after[0], "two": after[1]})
+
+    def first_of(*texts: Column) -> Column:
+        return F.coalesce(*(F.when(_kind(t) != "loose", t) for t in texts))
+
+    pair = [F.concat("line", F.lit(gap), "one.line") for gap in ("", " ")]
+    rows = rows.withColumn("pair", first_of(*pair))
+    rows = rows.withColumn("triple", F.when(F.col("pair").isNull(), first_of(*(F.concat(p, F.lit(gap), "two.line") for p in pair for gap in ("", " ")))))
+    rows = rows.withColumn("parts", F.when(F.col("pair").isNotNull(), 2).when(F.col("triple").isNotNull(), 3).otherwise(1))
+    reach = F.greatest(F.coalesce(F.lag("parts").over(run) - 1, F.lit(0)), F.coalesce(F.lag("parts", 2).over(run) - 2, F.lit(0)))
+    rows = rows.withColumn("reached", reach)
+    rows = rows.withColumn("begins", (F.col("parts") > 1) & (F.col("reached") == 0))
+    begun = [F.coalesce(F.lag(F.col("begins") & (F.col("parts") > k)).over(run) if k == 1 else F.lag(F.col("begins") & (F.col("parts") > k), k).over(run), F.lit(False)) for k in (1, 2)]
+    rows = rows.withColumn("part", F.col("begins") | begun[0] | begun[1])
+    joined = rows.where("begins").select("path", F.when(F.col("parts") == 2, F.col("one.pos")).otherwise(F.col("two.pos")).alias("pos"),
+                                         F.coalesce("pair", "triple").alias("line"))
+    rest = rows.withColumn("stretch", F.sum(F.col("part").cast("int")).over(run)).where("not part")
+    upto = Window.partitionBy("path", "run", "stretch").orderBy("pos")
+    rest = rest.withColumn("piece", F.floor((F.sum(F.length("line")).over(upto) - F.length("line")) / (LONGEST + 1)))
+    lost = rest.select("path", "run", "stretch", "piece").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("unknown_lines"))
+    return joined.withColumn("kind", _kind(F.col("line"))), lost
+
+
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frames ``path, frame, time_s, ...`` and unknown-line counts ``path, unknown_lines``."""
     rows = lines.select("path", "pos", F.trim("line").alias("line")).where(F.col("line") != "")
     rows = rows.withColumn("kind", _kind(F.col("line")))
     content = rows.where(~F.col("kind").isin("stamp", "header"))
-    # loose lines and the recognized line after them decide what was split; the rest need not leave the JVM
-    near = prefix(content, ["path"], ["pos"], 65536.0, lags={"before": F.col("kind")})
-    doubtful = near.where((F.col("kind") == "loose") | (F.col("before") == "loose")).select(
-        "path", "pos", "line", (F.col("kind") == "loose").alias("loose"))
-    schema = StructType([StructField("path", StringType()), StructField("pos", LongType()), StructField("line", StringType())])
-    mended = fold_sorted(doubtful, ["path"], ["pos"], lambda key: _Rejoin(key[0]), schema)
-    unknown = rows.select("path").distinct().join(
-        mended.where(F.col("line").isNull()).groupBy("path").agg(F.count(F.lit(1)).alias("unknown_lines")), "path", "left")
-    unknown = unknown.na.fill(0, ["unknown_lines"])
-    joined = mended.where(F.col("line").isNotNull()).withColumn("kind", _kind(F.col("line")))
+    joined, lost = _rejoined(runs(content, ["path"], "pos", F.col("kind") == "loose", 65536.0))
+    unknown = rows.select("path").distinct().join(lost, "path", "left").na.fill(0, ["unknown_lines"])
     used = rows.where(~F.col("kind").isin("header", "loose")).unionByName(joined)
 
     line = F.col("line")
