@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +30,20 @@ _NEVER = np.int64(1) << 40
 _LOADED: dict[str, "MergeReplay"] = {}
 
 
-class _Classes:
-    """Letter, number, blank or other for each code point, as the pattern's own engine sees them.
+class Classes:
+    """Letter, number, blank or other for each code point, as an engine of the pattern sees them.
 
-    Unicode versions differ between engines, so a code point is asked for when it first comes up: behind a character of
-    each class in turn, with a vocabulary in which that character merges with any byte. Both merge only within one word.
+    Unicode versions differ between engines, so a code point is asked for when it first comes up: ``together`` tells of two
+    characters whether the engine has them in one word, and is asked behind one of each class.
     """
 
-    def __init__(self):
-        import tiktoken
+    def __init__(self, together: Callable[[str], bool]):
         self.table = np.zeros(0x110000, np.uint8)
-        self.probes = []
-        for lead, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
-            ranks = {bytes([i]): i for i in range(256)} | {lead.encode() + bytes([i]): 256 + i for i in range(256)}
-            self.probes.append((lead, kind, tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})))
+        self.together = together
         self.of(np.arange(128, dtype=np.uint32))
 
     def _ask(self, point: int) -> int:
-        for lead, kind, probe in self.probes:
-            if probe.encode_ordinary(lead + chr(point))[0] >= 256:
-                return kind
-        return BLANK
+        return next((kind for lead, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)) if self.together(lead + chr(point))), BLANK)
 
     def of(self, points: np.ndarray) -> np.ndarray:
         found = self.table[points]
@@ -60,25 +54,29 @@ class _Classes:
         return found
 
 
-_CLASSES: list[_Classes] = []
+@cache
+def rank_file_classes() -> Classes:
+    """Those of the library for rank files, asked with a vocabulary in which any character merges with any byte behind it."""
+    import tiktoken
+    ranks = {bytes([i]): i for i in range(256)} | {lead + bytes([i]): 256 * (1 + n) + i for n, lead in enumerate((b"a", b"1", b"!")) for i in range(256)}
+    probe = tiktoken.Encoding("probe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Classes(lambda pair: probe.encode_ordinary(pair)[0] >= 256)
 
 
-def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: list[str], classes: Classes | None = None) -> tuple[pa.Array, np.ndarray]:
     """All matches of ``PATTERN`` in all texts as one array of bytes, and how many each text has.
 
     The pattern covers every character, so only the places where words begin are looked for, for all texts at once: where
     the class changes; at the last blank before something else, which a space joins to what follows; and around
     contractions, which count where a word begins with their mark.
     """
-    if not _CLASSES:
-        _CLASSES.append(_Classes())
     whole = "".join(texts)
     points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     n = len(points)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     if not n:
         return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
-    kind = _CLASSES[0].of(points)
+    kind = (classes or rank_file_classes()).of(points)
     fresh = np.zeros(n + 4, bool)  # where a text begins; the end counts as one
     fresh[0] = True
     fresh[ends[ends < n]] = True
@@ -106,7 +104,8 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         offsets = np.append(starts, n)
     else:
         sizes = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-        offsets = np.append((np.cumsum(sizes, dtype=np.int64) - sizes)[starts], len(raw))
+        upto = np.cumsum(sizes, dtype=np.int32 if len(raw) < 2**31 else np.int64)
+        offsets = np.append((upto[starts] - sizes[starts]).astype(np.int64), len(raw))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
     return words, counts

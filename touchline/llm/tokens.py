@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .common import records, rows_of
+from .merge_replay import Classes, split_words
 
 # Texts are encoded piece by piece and pieces are remembered. A cut is safe where the vocabulary's own pre-tokenizer
-# always cuts. With "words" that is at blanks and line ends, as white space is dropped there. With "bytes" it is before a
-# single blank or line end between two characters that no engine takes for white space; texts that have others are encoded
-# whole.
-_ODD_BLANKS = r"^[ \n]|[ \n]$|[ \n]{2}|[\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}][ \n]|[ \n][\s\x00-\x1f\x7f\x{85}\p{Z}\p{C}]"
+# always cuts. With "words" that is at blanks and line ends, as white space is dropped there. With "bytes" pieces are the
+# words of the byte-level pattern, found for all texts at once (``split_words``); a text that holds the name of a special
+# token is encoded whole.
 _STOPS = (".", ",")
 #: how many pieces a worker remembers, and how many characters it encodes at a time: more costs memory (some 600 MB a
 #: worker with these), less costs time; results are the same
@@ -36,30 +36,36 @@ _LOADED: dict[tuple[str, str], "PieceEncoder"] = {}
 class PieceEncoder:
     """Encodes whole texts with a tokenizer file; equal to encoding each text at once (tested).
 
-    Texts are split and their pieces numbered by Arrow; only distinct pieces are looked up, and only new ones encoded. A
-    new piece that ends in a Latin-1 letter or digit and one stop or comma is put together from both, as every pre-tokenizer
-    here cuts between them (other letters may end in a mark when folded); with "words" A-Z count as a-z, which the vocabulary does anyway.
+    Texts are split and their pieces numbered by Arrow; only distinct pieces are looked up, and only new ones encoded. With
+    "words" a new piece that ends in a Latin-1 letter or digit and one stop or comma is put together from both, as every
+    pre-tokenizer here cuts between them (other letters may end in a mark when folded), and A-Z count as a-z, which the vocabulary does anyway.
     """
 
     def __init__(self, path: str, cuts: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.words = cuts == "words"
+        if not self.words:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.classes = Classes(lambda pair: len(split(pair)) == 1)
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list) -> None:
         known = self.known
-        parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() and p[-2] < "\u0100" else (p, "") for p in pieces]
-        new = [p for p in {p for both in parts for p in both} if p not in known]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if self.words:
+            parts = [(p[:-1], p[-1]) if p[-1:] in _STOPS and p[-2:-1].isalnum() and p[-2] < "\u0100" else (p, "") for p in pieces]
+            pieces = [p for p in {p for both in parts for p in both} if p not in known]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces if self.words else [p.decode() for p in pieces], add_special_tokens=False)]
         data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
-        for piece, own in zip(new, ids):
+        for piece, own in zip(pieces, ids):
             known[piece] = data[at:at + 4 * len(own)]
             at += 4 * len(own)
-        for piece, (head, tail) in zip(pieces, parts):
-            if tail:
-                known[piece] = known[head] + known[tail]
+        if self.words:
+            for head, tail in parts:
+                if tail:
+                    known[head + tail] = known[head] + known[tail]
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
+    def _look_up(self, pieces: list) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
         data = list(map(self.known.get, pieces))
@@ -79,25 +85,23 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str], gather: int = 2_000_000) -> list[np.ndarray]:
-        column = pa.array(texts, pa.large_string())
         whole: dict[int, np.ndarray] = {}
         if self.words:
-            column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+            column = pc.replace_substring(pc.ascii_lower(pa.array(texts, pa.large_string())), "\n", " ")
+            split = pc.split_pattern(column, " ")
+            bounds = split.offsets.to_numpy()
+            coded = split.flatten().dictionary_encode()
+            del column, split
         else:
-            odd = np.flatnonzero(pc.match_substring_regex(column, _ODD_BLANKS).to_numpy(zero_copy_only=False)).tolist()
-            found = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
-            whole = {i: np.array(e.ids, "<u4") for i, e in zip(odd, found)}
-            column = pc.replace_substring(column, "\n", " \n")
-        split = pc.split_pattern(column, " ")
-        bounds = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
+            named = [i for i, t in enumerate(texts) if any(name in t for name in self.special)]
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in named], add_special_tokens=False)
+            whole = {i: np.array(e.ids, "<u4") for i, e in zip(named, found)}
+            words, counts = split_words(texts, self.classes)
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            coded = words.dictionary_encode()
+            del words
         pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        del column, split, coded
-        if not self.words:  # a piece has its blank, but for the first of a text
-            which = which.copy()
-            first, at = np.unique(which[bounds[:-1]], return_inverse=True)
-            which[bounds[:-1]] = at + len(pieces)
-            pieces = [p if p[:1] == "\n" else " " + p for p in pieces] + [pieces[i] for i in first]
+        del coded
         data = self._look_up(pieces)
         sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
         flat = np.frombuffer(b"".join(data), "<u4")
