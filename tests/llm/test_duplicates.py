@@ -100,3 +100,34 @@ def test_remove_repeats(spark, note_rows, notes_df, no_notes):
     assert got.columns == ["event_id", "n_words", "n_removed", "kept_note"]
     assert Counter(map(tuple, got.collect())) == removed(note_rows, 13)
     assert repeats.remove_repeats(no_notes).count() == 0
+
+
+def test_missing_repeated_and_extreme_ids_are_rows_of_their_own(spark):
+    """Passages that most rows share, most of them without id: rows without id lose what a row with one has, not each other's."""
+    from pyspark.sql import functions as F
+    from touchline.llm.repeats import remove_repeats
+    from touchline.session import ship_package
+    ship_package(spark)
+    shared, other = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    rows = [(2**63 - 1, " ".join(shared)), (2**63 - 1, " ".join(["x", *shared, *other])), (-2**63, " ".join(other[:20]))]
+    rows += [(None, " ".join([f"n{i}", *shared[:20], f"m{i}", *other, "only in rows without id " * 5])) for i in range(150)]
+    rows += [(5, None), (None, "")]
+    df = spark.createDataFrame(rows, "event_id bigint, note string").withColumns({"k": F.lit(1), "o": F.lit(1), "key": F.lit(1)})
+    assert Counter(tuple(r) for r in remove_repeats(df).collect()) == removed(rows, 13)
+
+
+def test_ids_of_other_types(spark, tmp_path):
+    import public_tokenizers as tok
+    from touchline.llm.near_duplicates import near_duplicates
+    from touchline.llm.packing import pack_notes
+    from touchline.llm.repeats import remove_repeats
+    from touchline.llm.tokens import token_files
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([("b", words), ("a", words), (None, "a goal"), ("c", "another note")], "name string, text string")
+    near_ = {(r.name, r.component, r.kept) for r in near_duplicates(rows, key="name", text="text").collect()}
+    assert near_ == {("a", "a", True), ("b", "a", False), (None, None, True), ("c", "c", True)}
+    assert {(r.name, r.n_removed) for r in remove_repeats(rows, key="name", text="text").collect()} == {("a", 0), ("b", 30), (None, 0), ("c", 0)}
+    starts = sorted((r.start, r.n_tokens, r.name) for r in token_files(rows, tok.path("word_bpe_49k.json"), key="name", text="text").collect())
+    assert [s[2] for s in starts] == [None, "a", "b", "c"] and starts[1][0] == starts[0][1]
+    packed = pack_notes(rows, tok.path("byte_bpe_50k.json"), key="name", text="text").collect()
+    assert {r.name for r in packed} == {"a", "b", "c", None} and len({r.sequence_id for r in packed}) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SPACE = b" \t\n\x0b\x0c\r"  # what bytes.split() parts at: exactly x20 and x09 to x0D
 
 
@@ -21,6 +24,51 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def any_key(*columns: str):
+    """Let an operator whose ids are whole numbers take keys of any type that has an order.
+
+    Keys that are no whole numbers are numbered in their order (one shuffle of the distinct keys, none of the notes'
+    texts but the join that brings the numbers to them), and the numbers in the result's key and in ``columns`` go
+    back to keys. A null key stays null.
+    """
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(events: DataFrame, *args, key: str = "event_id", text: str = "note", **options) -> DataFrame:
+            kind = dict(events.dtypes)[key]
+            if kind in _WHOLE:
+                return operator(events, *args, key=key, text=text, **options)
+            own = events.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("note"))
+            numbers = cut(own.select("key").where("key is not null").distinct().orderBy("key").select(
+                "key", F.monotonically_increasing_id().alias("event_id")))
+            out = operator(own.join(numbers, "key", "left").select("event_id", "note"), *args, **options)
+            out = out.withColumnsRenamed({"kept_note": f"kept_{text}"} if text != "note" and "kept_note" in out.columns else {})
+            for column in ("event_id", *columns):
+                names = numbers.select(F.col("event_id").alias(column), F.col("key").alias("_name"))
+                at = out.columns
+                out = out.join(names, column, "left").select(*(F.col("_name").alias(c) if c == column else c for c in at))
+            return out.withColumnRenamed("event_id", key)
+
+        return run
+
+    return wrap
+
+
+def apart(events: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``k, o, text``: ``k`` is unique, ``o`` the row's key, which may be null or repeated; and ``k, key`` to go back where
+    ``k`` is not the key itself. Where all keys are there and unique, ``k`` is the key; else the rows are numbered and written
+    once, so that no key, however often it is repeated or missing, gathers its rows in one place."""
+    rows = records(events, key, text)
+    odd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key is null")
+    if odd.isEmpty():
+        return rows.select(F.col("key").cast("bigint").alias("k"), F.col("key").cast("bigint").alias("o"), "text"), None
+    numbered = cut(rows.withColumn("k", F.monotonically_increasing_id()))
+    return numbered.select("k", F.col("key").cast("bigint").alias("o"), "text"), numbered.select("k", "key")
+
+
 def give_back() -> None:
     """Return the memory that a task's arrays left free to the system: workers are kept, and the next stage of a job needs
     it elsewhere."""

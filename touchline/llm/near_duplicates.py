@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import mix, records, rows_of, shingle_hashes, signed, word_hashes
+from .common import any_key, mix, records, rows_of, shingle_hashes, signed, word_hashes
 from .graph import components
 
 SKETCH_BITS = 1024
@@ -138,6 +138,7 @@ def _block_pairs(percent: int):
     return run
 
 
+@any_key("component")
 def near_duplicates(events: DataFrame, *, key: str = "event_id", text: str = "note", shingle: int = 5, percent: int = 80,
                     bands: int = 24, rows: int = 4, rounds: int = 2, block: int = 256) -> DataFrame:
     """``key, n_shingles, component, kept``: notes linked where their shingle sets are alike by ``percent`` or more.

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import records, rows_of
+from .common import any_key, records, rows_of
 from .tokens import REMEMBERED, RUN_CHARS, encoder
 
 
@@ -143,6 +143,7 @@ def pack(pieces: DataFrame, *, key: str = "event_id", room: int = 2048, shards:
         place, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id bigint, offset bigint")
 
 
+@any_key()
 def pack_notes(events: DataFrame, vocabulary: str, *, key: str = "event_id", text: str = "note", end_id: int = 0,
                room: int = 2048, **memory) -> DataFrame:
     """Token pieces of all notes with their places in sequences of ``room`` ids; see ``token_pieces`` and ``pack``."""

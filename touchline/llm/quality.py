@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
 from .common import SPACE, records, rows_of, shingle_hashes, word_hashes
@@ -52,7 +53,7 @@ def note_statistics(events: DataFrame, *, key: str = "event_id", text: str = "no
             yield pa.RecordBatch.from_arrays([*kinds, *(pa.array(x, pa.int64()) for x in numbers)], names=names)
 
     kind = dict(events.dtypes)[key]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = to_arrow_type(events.schema[key].dataType)
     names = ["key", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     both = events.select(F.struct(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").cast("string").alias("s")).alias("_id"),
                          F.col(f"`{text}`").alias("_text"))

@@ -13,10 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import mix, records, rows_of, shingle_hashes, signed, sliding_least, word_hashes
+from .common import any_key, apart, mix, rows_of, shingle_hashes, signed, sliding_least, word_hashes
 
 SEED = 5  # words of a seed; a window of 13 words has nine of them
-_LAST = 2**63 - 1
 
 
 class _Words:
@@ -93,9 +92,10 @@ def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
-            shared, at = batch.column(2), 0
+            shared, order, at = batch.column(2), batch.column(3), 0
             for keys, texts in rows_of([batch]):
                 own = _Words(texts, window)
+                order_of = order.slice(at, len(keys))
                 there = np.unique(shared.slice(at, len(keys)).flatten().to_numpy())
                 at += len(keys)
                 seeds = signed(own.seeds())
@@ -105,14 +105,15 @@ def _window_rows(window: int):
                 starts = own.starts[hit]
                 first, second, which = own.full()[hit], own.second(starts), own.note[starts]
                 place = starts - (np.cumsum(own.counts) - own.counts)[which] + _tags(texts)[which]
-                note = np.array(keys, np.int64)[which]
-                order = np.lexsort((place, note, second, first))
-                first, second, note, place = first[order], second[order], note[order], place[order]
+                note, rank = np.array(keys, np.int64)[which], pc.rank(order_of, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()[which]
+                turn = np.lexsort((place, note, rank, second, first))
+                first, second, note, place, rank, which = first[turn], second[turn], note[turn], place[turn], rank[turn], which[turn]
                 new = _fresh(first, second)
-                least = note[np.flatnonzero(new)][np.cumsum(new) - 1]
+                least = rank[np.flatnonzero(new)][np.cumsum(new) - 1]
                 once = new | _fresh(note, place >> _PLACE)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(first)[once]), pa.array(second.view(np.int32)[once]), pa.array(note[once]),
-                                                  pa.array(place[once]), pa.array((note > least)[once])], names=["w1", "w2", "k", "place", "known"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(signed(first)[once]), pa.array(second.view(np.int32)[once]), pa.array(note[once]), order_of.take(pa.array(which[once])),
+                    pa.array(place[once]), pa.array((rank > least)[once])], names=["w1", "w2", "k", "o", "place", "known"])
 
     return run
 
@@ -147,7 +148,7 @@ def _keep(window: int):
                         covered = np.cumsum(cover[:-1]) > 0
                         gone = int(covered.sum())
                         words = [w for w, c in zip(words, covered.tolist()) if not c]
-                    out.append((None if keys[i] == _LAST else keys[i], int(own.counts[i]), gone, b" ".join(words).decode()))
+                    out.append((keys[i], int(own.counts[i]), gone, b" ".join(words).decode()))
                 at += len(keys)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
@@ -156,6 +157,7 @@ def _keep(window: int):
     return run
 
 
+@any_key()
 def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "note", window: int = 13) -> DataFrame:
     """``key, n_words, n_removed, kept_note``: each note without the passages that an earlier note has.
 
@@ -171,29 +173,34 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     the rewriting.
 
     One result row for each row of ``events``. Null and empty notes have no words; notes of fewer than ``window`` words
-    lose none; a null id counts as later than all others (as does 2**63 - 1, which is given back as null); rows of one id are one note here and never repeat each other;
-    other columns are not read; an empty table gives no rows.
+    lose none; a null id counts as later than all others; rows of one id, and rows without, never repeat each other. Such
+    rows are numbered (``apart``), so that none are gathered by their id. Keys may be of any type that has an order; other columns are not
+    read; an empty table gives no rows.
     """
-    base = records(events, key, text).select(F.coalesce("key", F.lit(_LAST)).alias("k"), "text")
-    texts = base.select("k", F.md5("text").alias("h"))
-    first = texts.groupBy("h").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most")
-    copies = cut(texts.join(first, "h").where("k > least").groupBy("k").agg(F.collect_set("h").alias("copy_of")))
-    is_copy = F.coalesce(F.array_contains("copy_of", F.md5("text")), F.lit(False))
+    base, names = apart(events, key, text)
+    # copies of one text may be very many: each of 16 parts of them meets the text's least id
+    texts = base.select("k", "o", F.md5("text").alias("h"), F.pmod(F.hash("k"), F.lit(16)).alias("_salt"))
+    later = lambda least: least.isNotNull() & (F.col("o").isNull() | (F.col("o") > least))
+    first = texts.groupBy("h").agg(F.min("o").alias("least"), F.max("o").alias("most"), F.count_if(F.col("o").isNull()).alias("none")).where(
+        "least < most or least is not null and none > 0").select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    copies = cut(texts.join(first, ["h", "_salt"]).where(later(F.col("least"))).select("k", F.lit(True).alias("copy")))
+    is_copy = F.coalesce("copy", F.lit(False))
     told = F.when(F.col("known"), F.col("k"))
 
-    # the joins with the notes are all by id alone and read one exchange of them
+    # the joins with the notes are all by row alone and read one exchange of them
     seeds = base.join(copies, "k", "left").where(~is_copy).select("k", "text").mapInArrow(
         _seed_rows(window), "seed bigint, k bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("seed", "_to")
     shared = seeds.select("seed", "k", (F.col("known") | (F.min("k").over(group) < F.max("k").over(group))).alias("_shared")).where(
         "_shared").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
 
-    windows = base.join(shared, "k", "left").select("k", "text", "seeds").mapInArrow(
-        _window_rows(window), "w1 bigint, w2 int, k bigint, place bigint, known boolean").withColumn("_to", told)
+    windows = base.join(shared, "k", "left").select("k", "text", "seeds", "o").mapInArrow(
+        _window_rows(window), "w1 bigint, w2 int, k bigint, o bigint, place bigint, known boolean").withColumn("_to", told)
     group = W.partitionBy("w1", "w2", "_to")
-    marks = windows.select("k", "place", (F.col("known") | (F.min("k").over(group) < F.col("k"))).alias("_gone")).where(
+    marks = windows.select("k", "place", (F.col("known") | later(F.min("o").over(group))).alias("_gone")).where(
         "_gone").groupBy("k").agg(F.collect_list("place").alias("marks"))
 
     kept = base.join(marks, "k", "left").join(copies, "k", "left").select("k", "text", "marks", is_copy.alias("copy"))
-    return kept.mapInArrow(_keep(window), "key bigint, n_words bigint, n_removed bigint, kept string").withColumnsRenamed(
-        {"key": key, "kept": "kept_note"})
+    kept = kept.mapInArrow(_keep(window), "k bigint, n_words bigint, n_removed bigint, kept string")
+    kept = kept.withColumn("key", F.col("k")) if names is None else kept.join(names, "k")
+    return kept.select(F.col("key").alias(key), "n_words", "n_removed", F.col("kept").alias("kept_note"))

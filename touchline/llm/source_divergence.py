@@ -215,7 +215,9 @@ def audit_sources(events: DataFrame, *, kind: str = "type", source: str = "sourc
     b = sources.select("kind", F.col("sid").alias("b"), F.col("none").alias("none_b"))
     base = a.join(b, "kind").where("a < b").select("kind", "a", "b", F.expr("coalesce(terms * abs(none_a - none_b), 0)").alias("value"))
     distinct = known.groupBy("kind", F.col("sid").alias("a"), "p", F.col("none").alias("none_a")).agg(F.count(F.lit(1)).alias("m"))
-    alone = distinct.join(b, "kind").where("a <> b").groupBy("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+    # a kind with most of all sources is dealt to several tasks
+    salted = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    alone = distinct.withColumn("_salt", F.pmod(F.hash("a", "p"), F.lit(16))).join(salted, ["kind", "_salt"]).where("a <> b").groupBy("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.sum(F.expr("m * (abs(p - none_b) - abs(none_a - none_b))")).alias("value"))
     both = pair_corrections(known.select("kind", "term", "sid", "p", "none"))
     sums = base.unionByName(alone).unionByName(both).groupBy("kind", "a", "b").agg(F.sum("value").alias("value"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import records, rows_of
+from .common import any_key, records, rows_of
 from .merge_replay import Classes, split_words
 
 # Texts are encoded piece by piece and pieces are remembered. A cut is safe where the vocabulary's own pre-tokenizer
@@ -318,6 +318,7 @@ def read_token_files(spark: SparkSession, path: str, *, key: str = "event_id") -
                                             "n_tokens", "ids_crc32")
 
 
+@any_key()
 def token_files(events: DataFrame, vocabulary: str, *, key: str = "event_id", text: str = "note", **options) -> DataFrame:
     """Write the notes' ids to a new place in the shared folder and read them back."""
     path = shared_path(events.sparkSession, "tokens")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import give_back, mix, records, rows_of, shingle_hashes
 
@@ -148,7 +149,7 @@ def _summary(marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return np.where(np.isneginf(x), 0.0, 1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
 def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None = None, ratio: float = 12.0,
@@ -159,13 +160,14 @@ def fit(notes: list[str], toxic: list[int], *, shares: tuple[int, int] | None =
     ``ratio`` times as large a share of the toxic notes as of the clean ones (near copies count once), with a likelihood
     ratio that few of all forms and beginnings would reach by chance; all other words are labelled clean. On these labelled words the field is fitted by gradient steps on its likelihood.
     The scorer is a logistic regression on ``_summary``; ``shares`` (clean, toxic notes in all) corrects for a sample
-    that doesn't have the classes in proportion. Without toxic or without clean notes the score is their share.
+    that doesn't have the classes in proportion. Without toxic or without clean notes among them nothing is learned: the score
+    is 0 for every note, as no note can then be told to be toxic.
     """
     shares = shares or (len(toxic) - sum(toxic), sum(toxic))
     base = float(np.log((shares[1] + 0.5) / (shares[0] + 0.5)))
     trans = np.array([[0.0, -4.0], [0.0, -2.0]])
     if not 0 < sum(toxic) < len(toxic):
-        return SpanModel({}, 0.0, trans, np.array([base, 0, 0, 0]))
+        return SpanModel({}, 0.0, trans, np.array([-np.inf, 0, 0, 0]))
     vocabulary: dict[str, int] = {}
     texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(n.lower())], np.int32) for n in notes]
     names: dict[str, int] = {}
@@ -311,6 +313,6 @@ def score_notes(events: DataFrame, model: SpanModel, *, key: str = "event_id", t
                                              names=["key", "score", "n_words", "spans"])
 
     kind = dict(events.dtypes)[key]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = to_arrow_type(events.schema[key].dataType)
     return records(events, key, text).mapInArrow(run, f"key {kind}, score double, n_words bigint, "
                                                  "spans array<struct<start: bigint, end: bigint, p: double>>").withColumnRenamed("key", key)
