@@ -44,44 +44,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model, text="text")
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Of ``rows`` with equal id (or none) and equal text one, with the digest ``_digest`` and a number ``_n`` that follows
-    id and digest."""
-    one = rows.withColumn("_digest", F.sha2("text", 256)).groupBy("doc_id", "_digest").agg(F.min(F.struct(*rows.columns)).alias("_row"))
-    return cut(one.select("_row.*", "_digest").orderBy("doc_id", "_digest").withColumn("_n", F.monotonically_increasing_id()))
-
-
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the least id stays.
+    """Of each group of near copies (five-word shingles alike by 80 % or more, and what they link) the first row stays: by
+    id, then by SHA-256 of the text; rows without id come after all others. Of rows that repeat an id and a text one is
+    left. Texts without words are copies of nothing, all of them stay.
 
-    Where rows repeat an id, equal texts are one row, the text of least digest goes by the id, and its other texts come
-    after all ids. Rows without id are compared among themselves; of their groups the text of least digest stays. Texts
-    without words are copies of nothing.
+    Where an id is missing or repeated the rows are numbered in that order, each with all its columns in one, so that
+    no column's name matters, and are compared by their numbers.
     """
-    def parted(rows: DataFrame, key: str) -> DataFrame:
-        return _without(rows, near_duplicates.near_duplicates(rows, key=key, text="text").where("not kept"), key)
-
-    own, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    again = cut(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("doc_id"))
-    repeats, missing = not again.isEmpty(), not nameless.isEmpty()
-    if not repeats and not missing:
-        return parted(docs, "doc_id")
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("doc_id").isNull() | (F.col("n") > 1))
+    if odd.isEmpty():
+        return _without(docs, near_duplicates.near_duplicates(docs, key="doc_id", text="text").where("not kept"))
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    if repeats:
-        top = own.agg(F.max("doc_id")).first()[0]
-        several = own.join(again, "doc_id", "left_semi").select(*docs.columns)
-        texts = _apart(several.where(worded))
-        named = texts.join(texts.groupBy("doc_id").agg(F.min("_n").alias("_first")), "doc_id")
-        named = named.withColumn("_key", F.when(F.col("_n") == F.col("_first"), F.col("doc_id")).otherwise(F.col("_n") + top + 1))
-        once = own.join(again, "doc_id", "left_anti").withColumn("_key", F.col("doc_id"))
-        kept = parted(once.select(*docs.columns, "_key").unionByName(named.select(*docs.columns, "_key")), "_key").drop("_key")
-        kept = kept.unionByName(several.where(~worded))
-    else:
-        kept = parted(own, "doc_id")
-    if missing:
-        kept = kept.unionByName(parted(_apart(nameless.where(worded)), "_n").select(*docs.columns)).unionByName(nameless.where(~worded))
-    return kept
+    whole = docs.where(worded).select(F.struct(*docs.columns).alias("row"))
+    one = whole.groupBy(F.col("row.doc_id").alias("id"), F.sha2("row.text", 256).alias("digest")).agg(F.min("row").alias("row"))
+    rows = cut(one.orderBy(F.asc_nulls_last("id"), "digest").select("row", F.monotonically_increasing_id().alias("n")))
+    texts = rows.select("n", F.col("row.text").alias("text"))
+    kept = _without(rows, near_duplicates.near_duplicates(texts, key="n", text="text").where("not kept"), "n")
+    return kept.select("row.*").unionByName(docs.where(~worded))
 
 
 @_stage
