@@ -1,22 +1,25 @@
 """Building people tracks from ground detections, and stitching the fragments a moving camera leaves.
 
-The tracker is sequential, so it is cut where every live track has expired (a silence longer than its memory) and
-folded in frame order; numbering is made continuous afterwards. Stitching is joins: a bucketed range join for the
+The tracker is sequential; blocks of a match are walked side by side from guessed states and again where the guess was
+wrong, and numbering is made continuous afterwards. Stitching is joins: a bucketed range join for the
 candidates, an exact matching by components and blocks (``matching``), pointer jumping for the chains.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ..session import cut, discard, stored
+from ..session import discard, stored
 from .assignment import match_gated
-from .blocks import Fold, fold_sorted, frames_for, gap_pieces, prefix, rescaled_gain
+from .blocks import BLOCK, Fold, fold_sorted, frames_for, rescaled_gain
 from .matching import components, match_fragments  # noqa: F401
+from .speculate import Walk, fold_blocks
 
 # Fixed values of the association rules (meters, seconds)
 SPRINT_MS, SIGMA_FACTOR, MAX_GATE_M, MIN_SIGMA_M = 7.0, 1.5, 3.0, 0.35
@@ -37,6 +40,22 @@ class PeopleTracker:
         self.live: dict[int, list] = {}  # id -> [xy, velocity, frame, kit or None]
         self.by_hint: dict[int, int] = {}
 
+    def told(self, at: int | None) -> list[tuple[list, int]]:
+        """The state of each track still alive at a frame, in one order, and its id: frame, place, velocity, color, hints."""
+        hints: dict[int, list[int]] = {}
+        for hint, track in self.by_hint.items():
+            hints.setdefault(track, []).append(hint)
+        live = [(k, s) for k, s in self.live.items() if at is None or at - s[2] <= self.memory]
+        states = [([int(s[2]), *map(float, s[0]), *map(float, s[1]), [] if s[3] is None else [float(v) for v in s[3]], sorted(hints.get(k, []))], k)
+                  for k, s in live]
+        return sorted(states)
+
+    def take_up(self, states: list) -> None:
+        self.next_id = len(states)
+        for k, (frame, x, y, vx, vy, kit, hints) in enumerate(states):
+            self.live[k] = [np.array([x, y]), np.array([vx, vy]), frame, np.array(kit) if kit else None]
+            self.by_hint.update(dict.fromkeys(hints, k))
+
     def _gate(self, sigma, age):
         near = np.minimum(self.step_m + SIGMA_FACTOR * np.maximum(sigma, MIN_SIGMA_M), MAX_GATE_M)
         return near * np.minimum(1.0 + self.age_slack * age, MAX_AGE_FACTOR)
@@ -52,6 +71,8 @@ class PeopleTracker:
     def frame(self, frame: int, xy: np.ndarray, sigma: np.ndarray, kits: list, hints: list) -> list[int]:
         """Track ids of one frame's detections. ``kits``: color or None; ``hints``: upstream id or None."""
         self.live = {k: s for k, s in self.live.items() if frame - s[2] <= self.memory}
+        if len(self.by_hint) > 2 * len(self.live) + 64:  # hints of tracks that are gone
+            self.by_hint = {h: k for h, k in self.by_hint.items() if k in self.live}
         given = [-1] * len(xy)
         ids = sorted(self.live)
         if ids:
@@ -61,9 +82,10 @@ class PeopleTracker:
             away = np.hypot(ahead[:, None, 0] - xy[None, :, 0], ahead[:, None, 1] - xy[None, :, 1])
             allowed = away <= self._gate(sigma[None, :], age[:, None])
             cost = away.copy()
-            for i, j in zip(*np.nonzero(allowed)):
-                if states[i][3] is not None and kits[j] is not None:
-                    cost[i, j] += KIT_WEIGHT * np.linalg.norm(kits[j] - states[i][3])
+            worn = [[i for i, s in enumerate(states) if s[3] is not None], [j for j, k in enumerate(kits) if k is not None]]
+            if worn[0] and worn[1]:
+                unlike = np.array([states[i][3] for i in worn[0]])[:, None] - np.array([kits[j] for j in worn[1]])[None]
+                cost[np.ix_(*worn)] += KIT_WEIGHT * np.sqrt((unlike * unlike).sum(axis=2))
             for i, j in match_gated(cost, allowed):
                 given[j] = ids[i]
                 self._follow(ids[i], frame, xy[j], kits[j])
@@ -89,50 +111,79 @@ class PeopleTracker:
         return given
 
 
-class _PeopleFold(Fold):
-    """Collects one frame at a time for the tracker."""
+class _PeopleWalk(Walk):
+    """Collects one frame at a time for the tracker. Tracks that live as it begins have the first numbers, in the order of
+    their state."""
 
-    def __init__(self, key, rate):
-        self.key, self.tracker, self.frame, self.rows = key, PeopleTracker(rate), None, []
+    def __init__(self, key, rate, body):
+        self.key, self.frame, self.rows = key, None, []
+        self.tracker = PeopleTracker(rate)
+        if body is not None:
+            self.tracker.take_up(json.loads(body))
 
     def _flush(self):
         if not self.rows:
             return []
-        xy = np.array([(r.x, r.y) for r in self.rows])
-        sigma = np.array([r.sigma_m for r in self.rows])
-        kits = [np.asarray(r.kit[1:6], dtype=float) if r.kit is not None and r.kit[0] > MIN_KIT else None
-                for r in self.rows]
-        hints = [None if pd.isna(r.hint) else int(r.hint) for r in self.rows]
+        rows, self.rows = self.rows, []
+        xy = np.array([(r.x, r.y) for r in rows])
+        sigma = np.array([r.sigma_m for r in rows])
+        kits = [np.asarray(r.kit[1:6], dtype=float) if r.kit is not None and r.kit[0] > MIN_KIT else None for r in rows]
+        hints = [None if pd.isna(r.hint) else int(r.hint) for r in rows]
         ids = self.tracker.frame(int(self.frame), xy, sigma, kits, hints)
-        return [(*self.key, r.frame, r.det_id, k) for r, k in zip(self.rows, ids)]
+        return [(*self.key, r.frame, r.det_id, k) for r, k in zip(rows, ids)]
 
     def step(self, row):
         out = []
         if row.frame != self.frame:
-            out, self.frame, self.rows = self._flush(), row.frame, []
+            out, self.frame = self._flush(), row.frame
         self.rows.append(row)
         return out
 
     def close(self):
         return self._flush()
 
+    def snapshot(self, at):
+        return json.dumps([state for state, _ in self.tracker.told(at)])
+
+    def remark(self):
+        return json.dumps([self.tracker.next_id, [k for _, k in self.tracker.told(None)]])
+
+
+class _Numbers(Fold):
+    """What a block's track numbers are in the match: its first ones are tracks of the block before, the others are new."""
+
+    def __init__(self, key, rate):
+        self.key, self.memory, self.next, self.held = key, frames_for(MEMORY_S, rate), 0, []
+
+    def step(self, row):
+        entry = [number for state, number in self.held if row.at - state[0] <= self.memory]
+        count, ids = json.loads(row.remark)
+        first, self.next = self.next, self.next + count - len(entry)
+        numbers = [entry[k] if k < len(entry) else first + k - len(entry) for k in ids]
+        self.held = list(zip(json.loads(row.exit), numbers))
+        return [(*self.key, row.blk, entry, first)]
+
+
+#: how long before its block a walk begins, in seconds: a shirt's color forgets slowest
+LEAD_S = 60.0
+
 
-def track_people(dets: DataFrame, rate: float) -> DataFrame:
+def track_people(dets: DataFrame, rate: float, *, block: int = BLOCK) -> DataFrame:
     """``track_id`` per on-pitch detection ``(match_id, frame, det_id, x, y, sigma_m, kit ARRAY, hint)``.
 
-    Ids count up through a match in order of first appearance, as one uninterrupted pass would give.
+    Ids count up through a match in order of first appearance, as one uninterrupted pass would give. Blocks of ``block``
+    frames are walked side by side (``speculate``); the numbers of their tracks are joined up by one row for each block.
     """
-    frames = dets.select("match_id", "frame").distinct()
-    pieces = gap_pieces(frames, ["match_id"], ["frame"], frames_for(MEMORY_S, rate), strict=True)
     rows = dets.select("match_id", "frame", "det_id", "x", "y", "sigma_m", "kit", F.col("hint").cast("long").alias("hint"))
-    rows = rows.join(pieces, ["match_id", "frame"])
-    schema = StructType([StructField(c, LongType()) for c in ("match_id", "piece", "frame", "det_id", "local")])
-    local = cut(fold_sorted(rows, ["match_id", "piece"], ["frame", "det_id"], lambda key: _PeopleFold(key, rate), schema))
-    counts = local.groupBy("match_id", "piece").agg((F.max("local") + 1).alias("n"))
-    offset = prefix(counts, ["match_id"], ["piece"], sums={"_to": F.col("n")})
-    offset = offset.select("match_id", "piece", (F.col("_to") - F.col("n")).alias("_before"))
-    return local.join(offset, ["match_id", "piece"]).select(
-        "match_id", "frame", "det_id", (F.col("local") + F.col("_before")).alias("track_id"))
+    schema = StructType([StructField(c, LongType()) for c in ("match_id", "frame", "det_id", "local")])
+    local, ends = fold_blocks(rows, ["match_id"], ["frame", "det_id"], lambda key, body: _PeopleWalk(key, rate, body), schema, block=block,
+                              lead=frames_for(LEAD_S, rate))
+    named = StructType([StructField("match_id", LongType()), StructField("blk", LongType()), StructField("entry", ArrayType(LongType())),
+                        StructField("first", LongType())])
+    numbers = fold_sorted(ends, ["match_id"], ["blk"], lambda key: _Numbers(key, rate), named)
+    at = F.col("local") - F.size("entry")
+    return local.join(numbers, ["match_id", "blk"]).select(
+        "match_id", "frame", "det_id", F.when(at >= 0, F.col("first") + at).otherwise(F.get("entry", F.col("local").cast("int"))).alias("track_id"))
 
 
 def fragments(obs: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 from math import hypot
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..operators.blocks import Fold, fold_sorted, frames_for, gap_pieces, prefix, rescaled_gain
+from ..operators.blocks import BLOCK, frames_for, rescaled_gain
+from ..operators.speculate import Walk, fold_blocks
 
 # Fixed values of the tracking rules (frame widths, seconds)
 MIN_SIZE, MAX_SIZE, GATE, COAST_S, ACQUIRE, LOOSE = 0.003, 0.06, 0.045, 2.4, 0.25, 0.5
@@ -97,26 +98,31 @@ def to_dict(b: Ball) -> dict:
     return asdict(b)
 
 
-class _BallFold(Fold):
-    def __init__(self, key, rules):
-        self.match, self.rules, self.ball = key[0], rules, Ball()
+class _BallWalk(Walk):
+    def __init__(self, key, rules, body):
+        self.match, self.rules = key[0], rules
+        self.ball = Ball() if body is None else Ball(**json.loads(body))
 
     def step(self, row):
         dets = [(d["conf"], d["u"], d["v"], d["w"], d["h"]) for d in (row.dets if row.dets is not None else ())]
         self.ball = self.rules.advance(self.ball, dets, row.step, bool(row.full_frame))
         return ((self.match, row.frame, *shown(self.ball)),)
 
+    def snapshot(self, at):
+        # how long a lost ball has been gone matters to nothing
+        return json.dumps(to_dict(Ball() if self.ball.x is None else self.ball))
 
-def track_ball(frames: DataFrame, rate: float, aspect: float) -> DataFrame:
+
+#: how long before its block a walk begins, in seconds
+LEAD_S = 30.0
+
+
+def track_ball(frames: DataFrame, rate: float, aspect: float, *, block: int = BLOCK) -> DataFrame:
     """Ball state per frame from ``match_id, frame, dets ARRAY<STRUCT<conf,u,v,w,h>>, step ARRAY(9), full_frame``.
 
-    After a silence longer than the coast the tracker has forgotten everything, so a match is cut there and its pieces
-    are walked side by side.
+    Equal to one walk over each match, in blocks of ``block`` frames side by side (``speculate``).
     """
     rules = BallRules(rate, aspect)
-    fits = F.exists("dets", lambda d: (F.least(d["w"], d["h"]) >= MIN_SIZE) & (F.greatest(d["w"], d["h"]) <= MAX_SIZE))
-    starts = gap_pieces(frames.where(fits).select("match_id", "frame"), ["match_id"], ["frame"], rules.coast + 2)
-    rows = prefix(frames.join(starts.where(F.col("piece") == F.col("frame")), ["match_id", "frame"], "left"), ["match_id"], ["frame"],
-                  fills={"part": F.col("piece")}).withColumn("part", F.coalesce("part", F.lit(-1)))
-    return fold_sorted(rows.select("match_id", "part", "frame", "dets", "step", "full_frame"), ["match_id", "part"], ["frame"],
-                       lambda key: _BallFold(key, rules), STATE)
+    rows = frames.select("match_id", "frame", "dets", "step", "full_frame")
+    return fold_blocks(rows, ["match_id"], ["frame"], lambda key, body: _BallWalk(key, rules, body), STATE, block=block,
+                       lead=frames_for(LEAD_S, rate))[0].drop("blk")
