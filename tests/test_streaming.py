@@ -90,6 +90,32 @@ def test_people_stream_is_the_batch(spark):
     assert all(batch[k] == v for k, v in live.items())
 
 
+def test_people_state_outlives_a_renamed_class(spark):
+    """The job stops, its processor class gets another name, and goes on from the state's columns: colors, hints, numbers."""
+    from touchline.streaming import ordered
+    rng = random.Random(6)
+    rows = [(0, f, f / 5.0, d, 10.0 * d + 0.2 * f + rng.random() * 0.1, 20.0, 0.3, [0.9, *[0.1 * d + rng.random() * 0.02] * 5] if d % 2 else None, 7 + d if d < 3 else None)
+            for f in range(160) for d in range(5) if rng.random() < 0.9 and not (d == 4 and 30 < f < 60)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, t double, det_id long, x double, y double, sigma_m double, "
+                                     "kit array<double>, hint long")
+    path, check, out = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(3))
+    first = ordered.PeopleInOrder
+    try:
+        for lo, hi, kind in ((0, 80, first), (80, 160, type("TrackerOfPeople", (first,), {}))):
+            ordered.PeopleInOrder = kind
+            df.where((F.col("frame") >= lo) & (F.col("frame") < hi)).coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema(df.schema).parquet(path)
+            q = people_stream(stream, 5.0).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(
+                availableNow=True).start()
+            q.awaitTermination(170)
+            assert q.exception() is None
+    finally:
+        ordered.PeopleInOrder = first
+    live = {(r.frame, r.det_id): r.track_id for r in spark.read.parquet(out).collect()}
+    batch = {(r.frame, r.det_id): r.track_id for r in TK.track_people(df, 5.0).collect()}
+    assert len([f for f, _ in live if f > 100]) > 150 and all(batch[k] == v for k, v in live.items())
+
+
 @pytest.fixture(scope="module")
 def obs(spark):
     rng = random.Random(7)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import base64
 import json
-import pickle
 
 import numpy as np
 import pandas as pd
@@ -14,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.tracking import MIN_KIT, PeopleTracker
-from .ball import STATE, Ball, BallRules, shown, to_dict
+from .ball import STATE, Ball, BallRules, shown
 
 
 ORIGIN_MS = 86_400_000  # match time zero: a row at the epoch itself would already be behind the first watermark
@@ -24,35 +22,35 @@ class InOrder(StatefulProcessor):
     """Holds frames until the watermark passes them, then steps through them in order.
 
     Frames at or before the last released one are late: they are dropped and counted in the state. The buffer holds the
-    watermark delay's worth of frames.
+    watermark delay's worth of frames. All state is typed columns, so that a restarted job may have other code: a class may
+    move or be renamed, only the columns are a contract.
     """
 
     names: tuple = ()
 
     def init(self, handle):
         self.handle = handle
-        self.carried = handle.getValueState("carried", "last long, late long, body string")
+        self.progress = handle.getValueState("progress", "last long, late long")
         self.waiting = handle.getMapState("waiting", "frame long, seq long", "ms long, payload string")
+        self.open(handle)
 
-    def fresh(self):
+    def open(self, handle):
+        """Declare the state that ``restore`` and ``keep`` read and write."""
         raise NotImplementedError
 
-    def load(self, body):
+    def restore(self):
         raise NotImplementedError
 
-    def dump(self, state):
+    def keep(self, state):
         raise NotImplementedError
 
     def advance(self, key, state, frame, payloads):
         raise NotImplementedError
 
-    def _carried(self):
-        if self.carried.exists():
-            last, late, body = self.carried.get()
-            return last, late, self.load(body)
-        return -1, 0, self.fresh()
+    def _progress(self):
+        return self.progress.get() if self.progress.exists() else (-1, 0)
 
-    def _release(self, key, watermark, last, late, state):
+    def _release(self, key, watermark, last, late):
         ready, later = {}, None
         for k, v in self.waiting.iterator():
             if v[0] <= watermark:
@@ -60,31 +58,34 @@ class InOrder(StatefulProcessor):
             else:
                 later = v[0] if later is None else min(later, v[0])
         out = []
-        for frame in sorted(ready):
-            rows = sorted(ready[frame])
-            state, made = self.advance(key, state, frame, [json.loads(p) for _, p in rows])
-            out += made
-            last = frame
-            for seq, _ in rows:
-                self.waiting.removeKey((frame, seq))
-        self.carried.update((last, late, self.dump(state)))
+        if ready:
+            state = self.restore()
+            for frame in sorted(ready):
+                rows = sorted(ready[frame])
+                state, made = self.advance(key, state, frame, [json.loads(p) for _, p in rows])
+                out += made
+                last = frame
+                for seq, _ in rows:
+                    self.waiting.removeKey((frame, seq))
+            self.keep(state)
+        self.progress.update((last, late))
         if later is not None:
             self.handle.registerTimer(later)
         if out:
             yield pd.DataFrame(out, columns=list(self.names))
 
     def handleInputRows(self, key, rows, timerValues):
-        last, late, state = self._carried()
+        last, late = self._progress()
         for pdf in rows:
             for frame, seq, ms, payload in zip(pdf["frame"], pdf["seq"], pdf["ms"], pdf["payload"]):
                 if frame <= last:
                     late += 1
                 else:
                     self.waiting.updateValue((int(frame), int(seq)), (int(ms), payload))
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), last, late, state)
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), last, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), *self._carried())
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), *self._progress())
 
     def close(self):
         pass
@@ -96,14 +97,14 @@ class BallInOrder(InOrder):
     def __init__(self, rate, aspect):
         self.rules = BallRules(rate, aspect)
 
-    def fresh(self):
-        return Ball()
+    def open(self, handle):
+        self.ball = handle.getValueState("ball", "status string, x double, y double, conf double, coasted long, vx double, vy double")
 
-    def load(self, body):
-        return Ball(**json.loads(body))
+    def restore(self):
+        return Ball(*self.ball.get()) if self.ball.exists() else Ball()
 
-    def dump(self, state):
-        return json.dumps(to_dict(state))
+    def keep(self, state):
+        self.ball.update((state.status, state.x, state.y, float(state.conf), int(state.coasted), float(state.vx), float(state.vy)))
 
     def advance(self, key, state, frame, payloads):
         p = payloads[0]
@@ -116,21 +117,43 @@ PEOPLE = StructType([StructField(c, LongType()) for c in ("match_id", "frame", "
 
 
 class PeopleInOrder(InOrder):
+    """Live tracks are a list, upstream ids a map of their own: of both only what changed since the last release is written, and
+    what an expired track left goes (state that ends by event time has no other expiry)."""
+
     names = tuple(PEOPLE.names)
 
     def __init__(self, rate):
         self.rate = rate
 
-    def fresh(self):
-        return PeopleTracker(self.rate)
-
-    def load(self, body):
-        return pickle.loads(base64.b64decode(body))
-
-    def dump(self, state):
-        # an expired track is never continued, so its hints can go
-        state.by_hint = {h: k for h, k in state.by_hint.items() if k in state.live}
-        return base64.b64encode(pickle.dumps(state)).decode()
+    def open(self, handle):
+        self.count = handle.getValueState("tracks", "next_id long")
+        self.live = handle.getListState("live", "track long, frame long, x double, y double, vx double, vy double, kit array<double>")
+        self.hints = handle.getMapState("hints", "hint long", "track long")
+
+    def restore(self):
+        tracker = PeopleTracker(self.rate)
+        if self.count.exists():
+            tracker.next_id = self.count.get()[0]
+            for track, frame, x, y, vx, vy, kit in self.live.get():
+                tracker.live[track] = [np.array([x, y]), np.array([vx, vy]), frame, np.array(kit) if kit else None]
+            tracker.by_hint = {k[0]: v[0] for k, v in self.hints.iterator()}
+        self.known = dict(tracker.by_hint)
+        return tracker
+
+    def keep(self, state):
+        self.count.update((int(state.next_id),))
+        rows = [(int(k), int(frame), *map(float, xy), *map(float, speed), [] if kit is None else [float(c) for c in kit])
+                for k, (xy, speed, frame, kit) in state.live.items()]
+        if rows:
+            self.live.put(rows)
+        else:
+            self.live.clear()
+        hints = {h: k for h, k in state.by_hint.items() if k in state.live}  # an expired track is never continued
+        for hint, track in hints.items():
+            if self.known.get(hint) != track:
+                self.hints.updateValue((int(hint),), (int(track),))
+        for hint in self.known.keys() - hints.keys():
+            self.hints.removeKey((int(hint),))
 
     def advance(self, key, state, frame, payloads):
         xy = np.array([(p["x"], p["y"]) for p in payloads])
