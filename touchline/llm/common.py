@@ -58,15 +58,15 @@ def any_key(*columns: str):
 
 
 def apart(events: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """``k, o, text``: ``k`` is unique, ``o`` the row's key, which may be null or repeated; and ``k, key`` to go back where
+    """``k, text`` with a unique ``k``; and ``k, key`` with the rows' own keys, which may be null or repeated, where
     ``k`` is not the key itself. Where all keys are there and unique, ``k`` is the key; else the rows are numbered and written
     once, so that no key, however often it is repeated or missing, gathers its rows in one place."""
     rows = records(events, key, text)
     odd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key is null")
     if odd.isEmpty():
-        return rows.select(F.col("key").cast("bigint").alias("k"), F.col("key").cast("bigint").alias("o"), "text"), None
+        return rows.select(F.col("key").cast("bigint").alias("k"), "text"), None
     numbered = cut(rows.withColumn("k", F.monotonically_increasing_id()))
-    return numbered.select("k", F.col("key").cast("bigint").alias("o"), "text"), numbered.select("k", "key")
+    return numbered.select("k", "text"), numbered.select("k", F.col("key").cast("bigint").alias("key"))
 
 
 def give_back() -> None:

@@ -85,14 +85,14 @@ def _tags(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) >> 44 for t in texts], np.int64) << _PLACE
 
 
-def _window_rows(window: int):
+def _window_rows(window: int, repeated: bool):
     """The windows around shared seeds, each once for a note. Within this run of notes all but the least id are known
     to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(2)))
-            shared, order, at = batch.column(2), batch.column(3), 0
+            shared, order, at = batch.column(2), batch.column(3 if repeated else 0), 0
             for keys, texts in rows_of([batch]):
                 own = _Words(texts, window)
                 order_of = order.slice(at, len(keys))
@@ -111,9 +111,10 @@ def _window_rows(window: int):
                 new = _fresh(first, second)
                 least = rank[np.flatnonzero(new)][np.cumsum(new) - 1]
                 once = new | _fresh(note, place >> _PLACE)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(signed(first)[once]), pa.array(second.view(np.int32)[once]), pa.array(note[once]), order_of.take(pa.array(which[once])),
-                    pa.array(place[once]), pa.array((rank > least)[once])], names=["w1", "w2", "k", "o", "place", "known"])
+                own_key = {"o": order_of.take(pa.array(which[once]))} if repeated else {}
+                yield pa.RecordBatch.from_pydict({
+                    "w1": pa.array(signed(first)[once]), "w2": pa.array(second.view(np.int32)[once]), "k": pa.array(note[once]),
+                    "place": pa.array(place[once]), "known": pa.array((rank > least)[once]), **own_key})
 
     return run
 
@@ -179,9 +180,13 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     """
     base, names = apart(events, key, text)
     # copies of one text may be very many: each of 16 parts of them meets the text's least id
-    texts = base.select("k", "o", F.md5("text").alias("h"), F.pmod(F.hash("k"), F.lit(16)).alias("_salt"))
-    later = lambda least: least.isNotNull() & (F.col("o").isNull() | (F.col("o") > least))
-    first = texts.groupBy("h").agg(F.min("o").alias("least"), F.max("o").alias("most"), F.count_if(F.col("o").isNull()).alias("none")).where(
+    # in what order rows come: by their key, which is k itself but where keys are missing or repeated
+    keys = None if names is None else names.withColumnRenamed("key", "o")
+    own = F.col("k" if keys is None else "o")
+    texts = base.select("k", F.unhex(F.md5("text")).alias("h"), F.pmod(F.hash("k"), F.lit(16)).alias("_salt"))
+    texts = texts if keys is None else texts.join(keys, "k")
+    later = lambda least: least.isNotNull() & (own.isNull() | (own > least))
+    first = texts.groupBy("h").agg(F.min(own).alias("least"), F.max(own).alias("most"), F.count_if(own.isNull()).alias("none")).where(
         "least < most or least is not null and none > 0").select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
     copies = cut(texts.join(first, ["h", "_salt"]).where(later(F.col("least"))).select("k", F.lit(True).alias("copy")))
     is_copy = F.coalesce("copy", F.lit(False))
@@ -194,10 +199,13 @@ def remove_repeats(events: DataFrame, *, key: str = "event_id", text: str = "not
     shared = seeds.select("seed", "k", (F.col("known") | (F.min("k").over(group) < F.max("k").over(group))).alias("_shared")).where(
         "_shared").groupBy("k").agg(F.collect_set("seed").alias("seeds"))
 
-    windows = base.join(shared, "k", "left").select("k", "text", "seeds", "o").mapInArrow(
-        _window_rows(window), "w1 bigint, w2 int, k bigint, o bigint, place bigint, known boolean").withColumn("_to", told)
+    carried = [] if keys is None else ["o"]
+    shared = shared if keys is None else shared.join(keys, "k")
+    windows = base.join(shared, "k", "left").select("k", "text", "seeds", *carried).mapInArrow(
+        _window_rows(window, bool(carried)), "w1 bigint, w2 int, k bigint, place bigint, known boolean" + (", o bigint" if carried else "")
+    ).withColumn("_to", told)
     group = W.partitionBy("w1", "w2", "_to")
-    marks = windows.select("k", "place", (F.col("known") | later(F.min("o").over(group))).alias("_gone")).where(
+    marks = windows.select("k", "place", (F.col("known") | later(F.min(own).over(group))).alias("_gone")).where(
         "_gone").groupBy("k").agg(F.collect_list("place").alias("marks"))
 
     kept = base.join(marks, "k", "left").join(copies, "k", "left").select("k", "text", "marks", is_copy.alias("copy"))
