@@ -202,6 +202,19 @@ def rescaled_gain(gain: float, rate: float, reference: float = 5.0) -> float:
     return 1.0 - (1.0 - gain) ** (reference / rate)
 
 
+def rated(df: DataFrame, rate: float | DataFrame) -> DataFrame:
+    """``df`` with its sampling ``rate`` in frames per second: one number for all matches, or a table ``match_id, rate`` (5
+    where that has none)."""
+    if isinstance(rate, DataFrame):
+        return df.join(rate.select("match_id", F.col("rate").cast("double").alias("rate")), "match_id", "left").na.fill({"rate": 5.0})
+    return df.withColumn("rate", F.lit(float(rate)))
+
+
+def frames_in(seconds: float, rate: Column) -> Column:
+    """:func:`frames_for` over a column of rates."""
+    return F.greatest(F.lit(1), F.bround(F.lit(float(seconds)) * rate)).cast("long")
+
+
 def frames_for(seconds: float, rate: float) -> int:
     """A duration in whole frames, at least one."""
     return max(1, int(round(seconds * rate)))

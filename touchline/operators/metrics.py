@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .blocks import clip, exact_percentiles, halo
+from .blocks import clip, exact_percentiles, halo, rated
 
 # Fixed values of the measurement rules
 MAX_GAP_S = 1.0
@@ -186,10 +186,10 @@ def touches(obs: DataFrame, aim: DataFrame, radius: float = POSSESSION_RADIUS_M)
     return best.groupBy("match_id", (-F.col("b.k")).alias("track_id")).agg(F.count(F.lit(1)).alias("touches"))
 
 
-def player_stats(fast: DataFrame, aim: DataFrame, fps: float, roles: DataFrame | None = None) -> DataFrame:
+def player_stats(fast: DataFrame, aim: DataFrame, fps: float | DataFrame, roles: DataFrame | None = None) -> DataFrame:
     """Per field player (bystanders out): the replay's numbers, rounded to a tenth."""
     tracks = build_tracks(fast)
-    field = tracks.join(bystanders(tracks, roles).select(*TRACK), list(TRACK), "left_anti")
+    field = rated(tracks.join(bystanders(tracks, roles).select(*TRACK), list(TRACK), "left_anti"), fps)
     hits = touches(fast.join(field.select(*TRACK), list(TRACK), "left_semi"), aim)
 
     def tenth(c):
@@ -197,7 +197,7 @@ def player_stats(fast: DataFrame, aim: DataFrame, fps: float, roles: DataFrame |
 
     n = F.col("observations")
     return field.join(hits, list(TRACK), "left").select(
-        *TRACK, F.col("team").cast("long").alias("team"), "observations", tenth(n / fps).alias("time_s"),
+        *TRACK, F.col("team").cast("long").alias("team"), "observations", tenth(n / F.col("rate")).alias("time_s"),
         tenth("first_t").alias("first_t"), tenth("last_t").alias("last_t"), tenth("distance_m").alias("distance_m"),
         tenth("top_speed_kmh").alias("top_speed_kmh"),
         tenth(F.coalesce(F.col("moving_sum") / F.nullif("moving_n", F.lit(0)), F.lit(0.0))).alias("mean_speed_kmh"),

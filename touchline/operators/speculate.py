@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -50,12 +50,12 @@ class _Chain(Fold):
 
 
 def fold_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[tuple, str | None], Walk], schema: StructType, *,
-                block: int, lead: int) -> tuple[DataFrame, DataFrame]:
+                block: int, lead: int | Column) -> tuple[DataFrame, DataFrame]:
     """Walk each key's rows in ``order`` (its first column a whole position): results with their ``blk``, and for each block
     ``keys, blk, at, entry, exit, remark``.
 
     ``make(key, snapshot)`` gives a walk from a state, or a fresh one. ``schema`` begins with ``keys``. Blocks have ``block`` positions
-    and see ``lead`` positions before. Each round of walking again settles at least the first block that was wrong of each key.
+    and see ``lead`` positions before (a number, or a column of the key's). Each round of walking again settles at least the first block that was wrong of each key.
     """
     keys, order = list(keys), list(order)
     told = StructType([*schema.fields, StructField("blk", LongType()), StructField("at", LongType()), *(

@@ -158,8 +158,13 @@ def team_colors(labeled: DataFrame, evidence: DataFrame) -> DataFrame:
     return labels.with_kit_rgb(wide, F.col("kit_l"), F.col("kit_a"), F.col("kit_b"))
 
 
+def is_weak() -> Column:
+    """A team label whose kit lies nearly as close to the other team's."""
+    return (F.col("team") >= 0) & (F.col("quality") < WEAK)
+
+
 def weak_labels(labeled: DataFrame) -> DataFrame:
-    return labeled.where((F.col("team") >= 0) & (F.col("quality") < WEAK))
+    return labeled.where(is_weak())
 
 
 def histogram_teams(samples: DataFrame, bins: int, min_tracks: int = 10, same: float = 0.95) -> DataFrame:

@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..session import discard, stored
 from .assignment import match_gated
-from .blocks import BLOCK, Fold, fold_sorted, frames_for, rescaled_gain
+from .blocks import BLOCK, Fold, fold_sorted, frames_for, frames_in, rated, rescaled_gain
 from .matching import components, match_fragments  # noqa: F401
 from .speculate import Walk, fold_blocks
 
@@ -115,9 +115,9 @@ class _PeopleWalk(Walk):
     """Collects one frame at a time for the tracker. Tracks that live as it begins have the first numbers, in the order of
     their state."""
 
-    def __init__(self, key, rate, body):
+    def __init__(self, key, body):
         self.key, self.frame, self.rows = key, None, []
-        self.tracker = PeopleTracker(rate)
+        self.tracker = PeopleTracker(key[1])
         if body is not None:
             self.tracker.take_up(json.loads(body))
 
@@ -152,8 +152,8 @@ class _PeopleWalk(Walk):
 class _Numbers(Fold):
     """What a block's track numbers are in the match: its first ones are tracks of the block before, the others are new."""
 
-    def __init__(self, key, rate):
-        self.key, self.memory, self.next, self.held = key, frames_for(MEMORY_S, rate), 0, []
+    def __init__(self, key):
+        self.key, self.memory, self.next, self.held = key, frames_for(MEMORY_S, key[1]), 0, []
 
     def step(self, row):
         entry = [number for state, number in self.held if row.at - state[0] <= self.memory]
@@ -168,21 +168,22 @@ class _Numbers(Fold):
 LEAD_S = 60.0
 
 
-def track_people(dets: DataFrame, rate: float, *, block: int = BLOCK) -> DataFrame:
+def track_people(dets: DataFrame, rate: float | DataFrame, *, block: int = BLOCK) -> DataFrame:
     """``track_id`` per on-pitch detection ``(match_id, frame, det_id, x, y, sigma_m, kit ARRAY, hint)``.
 
-    Ids count up through a match in order of first appearance, as one uninterrupted pass would give. Blocks of ``block``
+    ``rate``: one for all, or ``match_id, rate``; gates, memory and gains follow each match's own. Ids count up through a match in order of first appearance, as one uninterrupted pass would give. Blocks of ``block``
     frames are walked side by side (``speculate``); the numbers of their tracks are joined up by one row for each block.
     """
     rows = dets.select("match_id", "frame", "det_id", "x", "y", "sigma_m", "kit", F.col("hint").cast("long").alias("hint"))
-    schema = StructType([StructField(c, LongType()) for c in ("match_id", "frame", "det_id", "local")])
-    local, ends = fold_blocks(rows, ["match_id"], ["frame", "det_id"], lambda key, body: _PeopleWalk(key, rate, body), schema, block=block,
-                              lead=frames_for(LEAD_S, rate))
-    named = StructType([StructField("match_id", LongType()), StructField("blk", LongType()), StructField("entry", ArrayType(LongType())),
+    key = [StructField("match_id", LongType()), StructField("rate", DoubleType())]
+    schema = StructType([*key, *(StructField(c, LongType()) for c in ("frame", "det_id", "local"))])
+    local, ends = fold_blocks(rated(rows, rate), ["match_id", "rate"], ["frame", "det_id"], _PeopleWalk, schema, block=block,
+                              lead=frames_in(LEAD_S, F.col("rate")))
+    named = StructType([*key, StructField("blk", LongType()), StructField("entry", ArrayType(LongType())),
                         StructField("first", LongType())])
-    numbers = fold_sorted(ends, ["match_id"], ["blk"], lambda key: _Numbers(key, rate), named)
+    numbers = fold_sorted(ends, ["match_id", "rate"], ["blk"], _Numbers, named)
     at = F.col("local") - F.size("entry")
-    return local.join(numbers, ["match_id", "blk"]).select(
+    return local.join(numbers.drop("rate"), ["match_id", "blk"]).select(
         "match_id", "frame", "det_id", F.when(at >= 0, F.col("first") + at).otherwise(F.get("entry", F.col("local").cast("int"))).alias("track_id"))
 
 
@@ -196,44 +197,46 @@ def fragments(obs: DataFrame) -> DataFrame:
                       F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
 
 
-def _pairs(frags: DataFrame, max_gap: int) -> DataFrame:
-    """Fragment pairs with ``0 < gap <= max_gap`` by two adjacent time buckets."""
+def _pairs(frags: DataFrame, most_s: float) -> DataFrame:
+    """Fragment pairs (``rate`` among their columns) at most ``most_s`` seconds apart, by two adjacent time buckets."""
+    max_gap = frames_in(most_s, F.col("rate"))
     bucket = F.floor(F.col("f1") / max_gap)
-    before = frags.select("match_id", F.col("track_id").alias("before"), "f1", "x1", "y1", F.col("kit").alias("kit_b"),
+    before = frags.select("match_id", "rate", F.col("track_id").alias("before"), "f1", "x1", "y1", F.col("kit").alias("kit_b"),
                           F.explode(F.array(bucket, bucket + 1)).alias("_t"))
     after = frags.select("match_id", F.col("track_id").alias("after"), "f0", "x0", "y0", F.col("kit").alias("kit_a"),
                          F.floor(F.col("f0") / max_gap).alias("_t"))
     gap = F.col("f0") - F.col("f1")
     pairs = before.join(after, ["match_id", "_t"]).where((gap > 0) & (gap <= max_gap) & (F.col("before") != F.col("after")))
     kit = F.sqrt(F.aggregate(F.zip_with("kit_b", "kit_a", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    return pairs.select("match_id", "before", "after", gap.alias("gap"),
+    return pairs.select("match_id", "rate", "before", "after", gap.alias("gap"),
                         F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")).alias("distance"),
                         F.when(F.col("kit_b").isNotNull() & F.col("kit_a").isNotNull(), kit).alias("kit_distance"))
 
 
-def stitch_candidates(frags: DataFrame, rate: float) -> DataFrame:
+def stitch_candidates(frags: DataFrame, rate: float | DataFrame) -> DataFrame:
     """Pairs that may be one player: ``match_id, before, after, cost``. ``frags`` carry ``kit ARRAY(5)`` or NULL."""
-    pairs = _pairs(frags, frames_for(STITCH_GAP_S, rate))
-    sprint = SPRINT_MS / rate
+    pairs = _pairs(rated(frags, rate), STITCH_GAP_S)
+    sprint = F.lit(SPRINT_MS) / F.col("rate")
     known = F.col("kit_distance").isNotNull()
     fits = F.when(known, (F.col("kit_distance") <= STITCH_KIT) & (F.col("distance") <= F.col("gap") * sprint + STITCH_BASE_M)
-                  ).otherwise(F.col("distance") <= F.col("gap") * (NO_KIT_FACTOR * sprint) + STITCH_BASE_M)
+                  ).otherwise(F.col("distance") <= F.col("gap") * (F.lit(NO_KIT_FACTOR) * sprint) + STITCH_BASE_M)
     cost = F.col("distance") / F.col("gap") + F.when(known, F.col("kit_distance") * 2.0).otherwise(0.5)
     return pairs.where(fits).select("match_id", "before", "after", cost.alias("cost"))
 
 
-def stitch_report(frags: DataFrame, rate: float) -> DataFrame:
+def stitch_report(frags: DataFrame, rate: float | DataFrame) -> DataFrame:
     """Every pair inside a loose window with the reason it is refused (or ``pass``)."""
-    pairs = _pairs(frags, frames_for(LOOSE_GAP_S, rate))
-    sprint = SPRINT_MS / rate
+    pairs = _pairs(rated(frags, rate), LOOSE_GAP_S)
+    sprint = F.lit(SPRINT_MS) / F.col("rate")
+    near = frames_in(STITCH_GAP_S, F.col("rate"))
     envelope = F.col("gap") * sprint + STITCH_BASE_M
-    bare = F.col("gap") * (NO_KIT_FACTOR * sprint) + STITCH_BASE_M
+    bare = F.col("gap") * (F.lit(NO_KIT_FACTOR) * sprint) + STITCH_BASE_M
     known = F.col("kit_distance").isNotNull()
-    reason = (F.when(F.col("gap") > frames_for(STITCH_GAP_S, rate), "gap")
+    reason = (F.when(F.col("gap") > near, "gap")
               .when(known & (F.col("kit_distance") > STITCH_KIT), "kit")
               .when(known & (F.col("distance") > envelope), "distance")
               .when(~known & (F.col("distance") > bare), "distance-no-kit").otherwise("pass"))
-    gap_s = F.col("gap") / rate
+    gap_s = F.col("gap") / F.col("rate")
     spread = (F.when((gap_s >= 6) & (gap_s < 8), "6-8").when((gap_s >= 8) & (gap_s < 10), "8-10")
               .when((gap_s >= 10) & (gap_s < 15), "10-15").when((gap_s >= 15) & (gap_s < 20), "15-20")
               .when((gap_s >= 20) & (gap_s < 31), "20-31"))
@@ -241,7 +244,7 @@ def stitch_report(frags: DataFrame, rate: float) -> DataFrame:
     ratio = F.col("distance") / F.when(known, envelope).otherwise(bare)
     return out.select("match_id", "before", "after", "gap", "distance", reason.alias("reason"),
                       (F.col("distance") <= envelope).alias("reachable"), ratio.alias("ratio"),
-                      F.when(F.col("gap") > frames_for(STITCH_GAP_S, rate), spread).alias("spread"))
+                      F.when(F.col("gap") > near, spread).alias("spread"))
 
 
 def stitch_samples(report: DataFrame, best: int = 6) -> DataFrame:
@@ -268,7 +271,7 @@ def resolve_chains(joins: DataFrame, limit: int = 40) -> DataFrame:
     raise RuntimeError("joins go round in a ring")
 
 
-def stitch_tracks(obs: DataFrame, kits: DataFrame, rate: float) -> DataFrame:
+def stitch_tracks(obs: DataFrame, kits: DataFrame, rate: float | DataFrame) -> DataFrame:
     """Observations with fragments of one player under one id. ``kits``: ``match_id, track_id, kit ARRAY(5)``."""
     frags = fragments(obs).join(kits.select("match_id", "track_id", "kit"), ["match_id", "track_id"], "left")
     heads = resolve_chains(match_fragments(stitch_candidates(frags, rate)))

@@ -478,3 +478,21 @@ def q_tag(T):
         "type": F.when(F.col("event_id") % 8 == 0, "wink").otherwise(F.col("type")),
         "time_s": F.col("time_s") - 20.0})
     return E.event_from_tag(tags, F.lit(90.0), F.lit(1000.0)).select("event_id", "rejected", "time_s", "note")
+
+
+@query("orientation_by_half", """WITH sides AS (SELECT match_id, half, CASE WHEN m0 <= m1 THEN 1 ELSE -1 END AS a0, CASE WHEN m0 <= m1 THEN -1 ELSE 1 END AS a1
+  FROM (SELECT match_id, half, avg(CASE WHEN team = 0 THEN x END) AS m0, avg(CASE WHEN team = 1 THEN x END) AS m1 FROM (
+    SELECT o.match_id, o.team, CASE WHEN t >= half_s THEN 100e0 - x ELSE x END AS x, CASE WHEN start_s IS NULL OR half_s IS NULL OR end_s IS NULL THEN 0
+      WHEN t >= start_s AND t < half_s THEN 1 WHEN t >= half_s AND t < end_s THEN 2 END AS half
+    FROM obs o LEFT JOIN marks m ON m.match_id = o.match_id WHERE team IN (0, 1)) a WHERE half IS NOT NULL GROUP BY 1, 2) b),
+first AS (SELECT match_id, arg_min(a0, half) AS f0, arg_min(a1, half) AS f1 FROM sides GROUP BY 1),
+po AS (SELECT e.match_id, event_id, CASE WHEN m.match_id IS NULL OR start_s IS NULL OR end_s IS NULL OR half_s IS NULL THEN 0 WHEN time_s < half_s THEN 1 ELSE 2 END AS half
+  FROM event_log e LEFT JOIN marks m ON m.match_id = e.match_id)
+SELECT po.match_id, event_id, CAST(coalesce(a0, f0) AS BIGINT) AS attack_0, CAST(coalesce(a1, f1) AS BIGINT) AS attack_1 FROM po
+LEFT JOIN sides ON sides.match_id = po.match_id AND sides.half = po.half LEFT JOIN first ON first.match_id = po.match_id""")
+def q_orientation_by_half(T):
+    # teams change ends at half-time
+    half = T["marks"].select("match_id", "half_s")
+    turned = T["obs"].join(half, "match_id", "left").withColumn("x", F.when(F.col("t") >= F.col("half_s"), 100.0 - F.col("x")).otherwise(F.col("x"))).drop("half_s")
+    out = E.orientation_at(T["event_log"], M.orientations(turned, T["marks"]), T["marks"], "time_s")
+    return out.select("match_id", "event_id", F.col("attack_0").cast("long").alias("attack_0"), F.col("attack_1").cast("long").alias("attack_1"))

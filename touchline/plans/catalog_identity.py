@@ -332,6 +332,31 @@ def q_candidates(T):
     return TK.stitch_candidates(_frags(T), 5.0).withColumn("cost", F.bround("cost", 6))
 
 
+KITTED = """kp AS (SELECT *, CASE WHEN before % 5 <> 0 AND after % 5 <> 0 THEN sqrt(2 * ((before % 3 - after % 3) * 0.2e0) ** 2) END AS kd FROM pr)"""
+
+
+def _kit_frags(T):
+    """Tracks in three kits; every fifth shows none."""
+    part = (F.col("track_id") % 3) * 0.2
+    return TK.fragments(T["obs"]).withColumn("kit", F.when(F.col("track_id") % 5 != 0, F.array(part, F.lit(0.4), part, F.lit(0.1), F.lit(0.2))))
+
+
+@query("stitch_candidates_kit", f"""WITH {FRAG}, {KITTED}
+SELECT match_id, before, after, round_even(distance / gap + CASE WHEN kd IS NULL THEN 0.5e0 ELSE 2e0 * kd END, 6) AS cost FROM kp WHERE gap <= 30
+  AND CASE WHEN kd IS NULL THEN distance <= gap * (0.6e0 * (7e0 / 5e0)) + 2e0 ELSE kd <= 0.45e0 AND distance <= gap * (7e0 / 5e0) + 2e0 END""")
+def q_candidates_kit(T):
+    return TK.stitch_candidates(_kit_frags(T), 5.0).withColumn("cost", F.bround("cost", 6))
+
+
+@query("stitch_report_kit", f"""WITH {FRAG}, {KITTED} SELECT match_id, reason, count(*) AS n, count(CASE WHEN reachable THEN 1 END) AS reachable
+FROM (SELECT match_id, CASE WHEN gap > 30 THEN 'gap' WHEN kd > 0.45e0 THEN 'kit' WHEN kd IS NOT NULL AND distance > gap * (7e0 / 5e0) + 2e0 THEN 'distance'
+    WHEN kd IS NULL AND distance > gap * (0.6e0 * (7e0 / 5e0)) + 2e0 THEN 'distance-no-kit' ELSE 'pass' END AS reason,
+    distance <= gap * (7e0 / 5e0) + 2e0 AS reachable FROM kp WHERE distance <= 2e0 * (gap * (7e0 / 5e0) + 2e0)) a GROUP BY 1, 2""")
+def q_report_kit(T):
+    return TK.stitch_report(_kit_frags(T), 5.0).groupBy("match_id", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("reachable"), 1)).alias("reachable"))
+
+
 @query("stitch_report", f"""WITH {FRAG} SELECT match_id, reason, spread, count(*) AS n, count(CASE WHEN reachable THEN 1 END) AS reachable
 FROM (SELECT match_id, CASE WHEN gap > 30 THEN 'gap' WHEN distance > gap * (0.6e0 * (7e0 / 5e0)) + 2e0 THEN 'distance-no-kit'
     ELSE 'pass' END AS reason, CASE WHEN gap > 30 THEN CASE WHEN gap < 40 THEN '6-8' WHEN gap < 50 THEN '8-10'

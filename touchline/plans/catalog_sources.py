@@ -8,6 +8,7 @@ from ..functions import labels as N
 from ..operators import events as E
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import teams as TM
 from ..session import shared_path
 from ..sources import clips as C
 from ..sources import reports as R
@@ -261,6 +262,62 @@ def q_report(T):
     return R.momentum_of_report(docs).select("match_id", "minute", "team_0", "contested_frames")
 
 
+LABELED = """lb AS (SELECT c_custkey % 50 AS track_id, CAST(floor(c_custkey / 50e0) AS BIGINT) AS match_id,
+  CASE WHEN floor(c_custkey / 50e0) = 4 THEN -1 ELSE c_custkey % 3 - 1 END AS team, (c_custkey * 37 % 100) / 100e0 AS quality FROM customer
+  WHERE floor(c_custkey / 50e0) <> 7 OR c_custkey * 37 % 100 >= 35)"""
+
+
+def _team_labels(T):
+    match = F.floor(F.col("c_custkey") / 50).cast("long")
+    rows = T["customer"].select(match.alias("match_id"), (F.col("c_custkey") % 50).alias("track_id"),
+                                F.when(match == 4, -1).otherwise(F.col("c_custkey") % 3 - 1).alias("team"), (F.col("c_custkey") * 37 % 100 / 100.0).alias("quality"))
+    return rows.where("match_id <> 7 or quality >= 0.35")
+
+
+@query("weak_team_labels", f"""WITH {LABELED} SELECT match_id, track_id, CAST(team AS BIGINT) AS team, quality FROM lb WHERE team >= 0 AND quality < 0.35e0""")
+def q_weak_team_labels(T):
+    return TM.weak_labels(_team_labels(T)).select("match_id", "track_id", F.col("team").cast("long").alias("team"), "quality")
+
+
+@query("report_notes", f"""WITH {LABELED}, c AS (SELECT match_id, count(CASE WHEN team >= 0 THEN 1 END) AS known,
+  count(CASE WHEN team >= 0 AND quality < 0.35e0 THEN 1 END) AS weak FROM lb GROUP BY 1)
+SELECT match_id, CASE WHEN known = 0 THEN '{R.NOTE_NO_TEAMS}|' ELSE '' END || CASE WHEN weak > 0 THEN weak || '{R.NOTE_WEAK.replace("'", "''")}|' ELSE '' END
+  || '{R.NOTE_EVENTS}|{R.NOTE_VIEW}' AS notes FROM c""")
+def q_report_notes(T):
+    return R.report_notes(_team_labels(T)).select("match_id", F.array_join("notes", "|").alias("notes"))
+
+
+@query("report_facts", f"""WITH {LABELED}, seen AS (SELECT match_id, max(frame) + 1 AS frames_analyzed FROM ball GROUP BY 1),
+used AS (SELECT match_id, count(*) AS n FROM obs GROUP BY 1),
+c AS (SELECT match_id, count(CASE WHEN team >= 0 THEN 1 END) AS known, count(CASE WHEN team >= 0 AND quality < 0.35e0 THEN 1 END) AS weak FROM lb GROUP BY 1)
+SELECT s.match_id, CAST(2 + CASE WHEN coalesce(known, 0) = 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(weak, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_notes,
+  100e0 AS length, 64e0 AS width, coalesce(u.n, 0) AS detections_used, frames_analyzed
+FROM seen s LEFT JOIN used u ON u.match_id = s.match_id LEFT JOIN c ON c.match_id = s.match_id""")
+def q_report_facts(T):
+    facts = R.report_facts(_team_labels(T), T["obs"], T["ball"], 100.0, 64.0)
+    m = M.momentum(T["obs"], T["aim"])
+    docs = R.report_documents(M.team_metrics(M.build_tracks(M.speeds(T["obs"])), m, L), m, None, facts)
+    back = R.facts_of_report(docs)
+    return back.select("match_id", F.size("notes").cast("long").alias("n_notes"), F.col("pitch")[0].alias("length"), F.col("pitch")[1].alias("width"),
+                       "detections_used", "frames_analyzed")
+
+
+@query("report_players", """WITH mv AS (SELECT match_id, track_id, team, count(*) AS observations FROM obs GROUP BY 1, 2, 3)
+SELECT match_id, track_id, CAST(min(team) AS BIGINT) AS team, CAST(sum(observations) AS BIGINT) AS observations FROM mv GROUP BY 1, 2 HAVING sum(observations) >= 12""")
+def q_report_players(T):
+    tracks = M.build_tracks(M.speeds(T["obs"]))
+    m = M.momentum(T["obs"], T["aim"])
+    docs = R.report_documents(M.team_metrics(tracks, m, L), m, R.report_players(tracks))
+    return R.players_of_report(docs).select("match_id", "track_id", "team", "observations")
+
+
+@query("report_paths", """SELECT match_id, track_id, CAST(floor(frame / 4096e0) AS BIGINT) AS part, count(*) AS n,
+  round_even(sum(round_even(x, 1)), 3) AS sum_x, round_even(sum(round_even(y, 1)), 3) AS sum_y FROM obs GROUP BY 1, 2, 3""")
+def q_report_paths(T):
+    total = lambda i: F.bround(F.aggregate("xy", F.lit(0.0), lambda s, p: s + p[i]), 3)
+    return R.report_paths(T["obs"]).select("match_id", "track_id", "part", F.size("xy").cast("long").alias("n"), total(0).alias("sum_x"), total(1).alias("sum_y"))
+
+
 @query("replay_documents")
 def q_replay(T):
     fast = M.speeds(T["obs"])
@@ -297,6 +354,28 @@ def q_ready(T):
     return C.ready_matches(m, segs, m.where("match_id % 3 <> 0"), m.where("match_id % 5 <> 0"))
 
 
+@query("listed_matches", """WITH w AS (SELECT match_id, min((duration_s, width, fps)) AS m, max(duration_s) AS b FROM clips GROUP BY 1),
+r AS (SELECT s_suppkey AS match_id, m, b, CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN 'no calibration or replay yet'
+  WHEN m IS NULL THEN 'segment not found' END AS reason FROM supplier LEFT JOIN w ON w.match_id = s_suppkey)
+SELECT match_id, reason IS NULL AS streamable, reason, CASE WHEN reason IS NULL THEN m[1] END AS start_s, CASE WHEN reason IS NULL THEN b END AS end_s,
+  CASE WHEN reason IS NULL THEN 'home ' || match_id || '|away' END AS names,
+  CASE WHEN reason IS NULL THEN CASE WHEN match_id % 2 = 1 THEN (match_id % 200) || ',7,9' ELSE '-' END || '|' || '1,2,' || (match_id % 100) END AS colors,
+  CASE WHEN reason IS NULL THEN CAST(m[2] AS BIGINT) END AS frame_count, CASE WHEN reason IS NULL THEN m[3] END AS fps FROM r""")
+def q_listed(T):
+    m = T["marks"].select("match_id", (F.col("match_id") % 4).alias("listed_segments"),
+                          F.array(F.concat(F.lit("home "), F.col("match_id").cast("string")), F.lit("away")).alias("team_names"))
+    first = F.struct("duration_s", "width", "fps")
+    one = T["clips"].groupBy("match_id").agg(F.min(first).alias("a"), F.max("duration_s").alias("b"))
+    segs = one.select("match_id", F.col("a.duration_s").alias("start_s"), F.col("b").alias("end_s"), F.col("a.width").cast("long").alias("frame_count"), F.col("a.fps").alias("fps"))
+    team = lambda k, r, g, b: m.select("match_id", F.lit(k).alias("team"), *(c.cast("int").alias(n) for n, c in zip(("kit_r", "kit_g", "kit_b"), (r, g, b))))
+    teams = team(0, F.col("match_id") % 200, F.lit(7), F.lit(9)).where("match_id % 2 = 1").unionByName(
+        team(1, F.lit(1), F.lit(2), F.col("match_id") % 100)).unionByName(team(-1, F.lit(0), F.lit(0), F.lit(0)))
+    out = C.listed_matches(m, segs, m.where("match_id % 3 <> 0"), m.where("match_id % 5 <> 0"), teams)
+    color = F.transform("team_colors", lambda c: F.coalesce(F.array_join(F.transform(c, lambda v: v.cast("string")), ","), F.lit("-")))
+    return out.select("match_id", "streamable", "reason", "start_s", "end_s", F.when(F.col("streamable"), F.array_join("team_names", "|")).alias("names"),
+                      F.when(F.col("streamable"), F.array_join(color, "|")).alias("colors"), "frame_count", "fps")
+
+
 @query("event_log_files", """SELECT match_id, event_id, round_even(time_s, 3) AS time_s, type, CASE WHEN event_id % 11 = 0 THEN 'manual' ELSE source END AS source,
   CASE WHEN event_id % 13 = 0 THEN '' ELSE verdict END AS verdict FROM event_log""")
 def q_log_files(T):

@@ -17,7 +17,9 @@ from ..operators import metrics as M
 from ..operators import projection as P
 from ..operators import teams as TM
 from ..operators import tracking as TK
+from ..operators.blocks import rated
 from ..session import cut
+from ..sources import reports as R
 
 
 @dataclass
@@ -33,11 +35,13 @@ class Report:
     roles: DataFrame
     sides: DataFrame
     players: DataFrame
+    facts: DataFrame
 
 
-def report_from_ground(ground: DataFrame, aim: DataFrame, length: float, width: float, rate: float,
+def report_from_ground(ground: DataFrame, aim: DataFrame, length: float, width: float, rate: float | DataFrame | None = None,
                        marks: DataFrame | None = None) -> Report:
-    """``ground``: ``match_id, frame, t, det_id, x, y, sigma_m, height_px, kit ARRAY(12), hint`` (unknown positions NULL)."""
+    """``rate``: one for all matches, ``match_id, rate``, or measured by match from the frames' times. ``ground``: ``match_id, frame, t, det_id, x, y, sigma_m, height_px, kit ARRAY(12), hint`` (unknown positions NULL)."""
+    rate = cut(M.sampling_rate(ground)) if rate is None else rate
     kept = cut(M.on_pitch(ground, length, width).select("match_id", "frame", "t", "det_id", "x", "y", "sigma_m", "height_px",
                                                         "kit", "hint"))
     tracked = kept.join(TK.track_people(kept, rate), ["match_id", "frame", "det_id"])
@@ -48,8 +52,8 @@ def report_from_ground(ground: DataFrame, aim: DataFrame, length: float, width:
     near = cut(TM.kit_evidence(rows))
     far = TM.kit_evidence(rows, TM.LABEL_HEIGHT)
     # the evidence floor counts every detection of the match, on the pitch or not
-    floors = ground.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "match_id", TM.evidence_floor(F.col("n"), F.lit(float(rate))).alias("floor"))
+    floors = rated(ground.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")), rate).select(
+        "match_id", TM.evidence_floor(F.col("n"), F.col("rate")).alias("floor"))
     voters, model = TM.assign_teams(near, floors)
     labels = cut(TM.propagate_labels(voters, model, near, far))
     labeled = rows.drop("kit").join(labels.select("match_id", "track_id", "team"), ["match_id", "track_id"], "left").na.fill(
@@ -60,11 +64,12 @@ def report_from_ground(ground: DataFrame, aim: DataFrame, length: float, width:
     moments = cut(M.momentum(fast, aim))
     roles = cut(M.classify_roles(long_enough, length, near))
     return Report(fast, tracks, labels, TM.team_colors(labels, near), moments, M.team_metrics(tracks, moments, length), roles,
-                  M.orientations(long_enough, marks), M.player_stats(fast, aim, rate, roles))
+                  M.orientations(long_enough, marks), M.player_stats(fast, aim, rate, roles),
+                  R.report_facts(labels, kept, ground, length, width))
 
 
 def build_report(detections: DataFrame, frames: DataFrame, calibrations: DataFrame, length: float, width: float,
-                 rate: float, anchors: DataFrame | None = None, marks: DataFrame | None = None) -> Report:
+                 rate: float | DataFrame | None = None, anchors: DataFrame | None = None, marks: DataFrame | None = None) -> Report:
     """From image detections and camera poses (corrected for drift where anchors are given) to the report."""
     poses = frames if anchors is None else cut(P.apply_drift(frames, anchors))
     ground = P.project_detections(detections, poses, calibrations).join(

@@ -71,6 +71,24 @@ def match_summaries(matches: DataFrame, segments: DataFrame, calibrations: DataF
                       "n_events", "n_highlights")
 
 
+def listed_matches(matches: DataFrame, segments: DataFrame, calibrations: DataFrame, replays: DataFrame, teams: DataFrame) -> DataFrame:
+    """``ready_matches`` with what a listing shows of those that can be shown: ``team_names``, ``team_colors`` (of teams 0 and 1,
+    each an RGB triple or null), ``frame_count`` and ``fps``.
+
+    ``matches`` also has ``team_names``; ``segments`` ``frame_count, fps`` (of several windows those of the first one);
+    ``teams`` ``match_id, team, kit_r, kit_g, kit_b`` of the reports, where there are any.
+    """
+    triple = F.when(F.col("kit_r").isNotNull(), F.array("kit_r", "kit_g", "kit_b"))
+    colors = teams.where(F.col("team").isin(0, 1)).groupBy("match_id").agg(F.array(*[F.max(F.when(F.col("team") == k, triple)) for k in (0, 1)]).alias("team_colors"))
+    window = segments.groupBy("match_id").agg(F.min_by(F.struct("frame_count", "fps"), F.struct("start_s", "end_s")).alias("_w"))
+    rows = ready_matches(matches, segments, calibrations, replays).join(matches.select("match_id", "team_names"), "match_id").join(
+        colors, "match_id", "left").join(window, "match_id", "left")
+    none = F.array(F.lit(None), F.lit(None)).cast("array<array<int>>")
+    shown = {"team_names": F.col("team_names"), "team_colors": F.coalesce(F.col("team_colors").cast("array<array<int>>"), none),
+             "frame_count": F.col("_w.frame_count"), "fps": F.col("_w.fps")}
+    return rows.select("match_id", "streamable", "reason", "start_s", "end_s", *(F.when(F.col("streamable"), c).alias(n) for n, c in shown.items()))
+
+
 def ready_matches(matches: DataFrame, segments: DataFrame, calibrations: DataFrame, replays: DataFrame) -> DataFrame:
     """Which matches can be shown, and why not the others. ``segments``: one usable window per match or none."""
     def has(df, name):

@@ -11,17 +11,62 @@ MOMENTUM = "map<string,struct<team_0:double,team_1:double,action_x:double,contes
 EVENT_DEFAULTS = {"type": "other", "team": -1, "note": "", "source": "manual", "confidence": 1.0, "video": "", "verdict": ""}
 
 
-def report_documents(teams: DataFrame, momentum: DataFrame) -> DataFrame:
-    """One JSON report per match: team rows and the minute map."""
+NOTE_NO_TEAMS = "no two kits could be told apart: this match has no team figures"
+NOTE_WEAK = " track(s) wear a kit close to both teams': their team is a guess"
+NOTE_EVENTS = "events found from ball and tracks are goals, shots, corners, penalties, clearances and tackles; saves and blocks are tagged by hand"
+NOTE_VIEW = "the camera sees a part of the pitch at a time: there is no formation of whole teams"
+
+
+def report_notes(labels: DataFrame) -> DataFrame:
+    """``match_id, notes``: what a reader of the report has to know. ``labels``: ``match_id, track_id, team, quality``."""
+    from ..operators.teams import is_weak
+    counts = labels.groupBy("match_id").agg(F.count_if(F.col("team") >= 0).alias("known"), F.count_if(is_weak()).alias("weak"))
+    notes = F.array(F.when(F.col("known") == 0, NOTE_NO_TEAMS), F.when(F.col("weak") > 0, F.concat(F.col("weak").cast("string"), F.lit(NOTE_WEAK))),
+                    F.lit(NOTE_EVENTS), F.lit(NOTE_VIEW))
+    return counts.select("match_id", F.array_compact(notes).alias("notes"))
+
+
+def report_facts(labels: DataFrame, kept: DataFrame, frames: DataFrame, length: float, width: float) -> DataFrame:
+    """One row for each match that has frames: notes, pitch, how many detections were used (``kept`` on the pitch) and how
+    many frames analyzed."""
+    used = kept.groupBy("match_id").agg(F.count(F.lit(1)).alias("detections_used"))
+    seen = frames.groupBy("match_id").agg((F.max("frame") + 1).alias("frames_analyzed"))
+    rows = seen.join(used, "match_id", "left").join(report_notes(labels), "match_id", "left")
+    bare = F.array(F.lit(NOTE_NO_TEAMS), F.lit(NOTE_EVENTS), F.lit(NOTE_VIEW))
+    return rows.select("match_id", F.coalesce("notes", bare).alias("notes"), F.array(F.lit(float(length)), F.lit(float(width))).alias("pitch"),
+                       F.coalesce("detections_used", F.lit(0)).alias("detections_used"), "frames_analyzed")
+
+
+def report_players(tracks: DataFrame) -> DataFrame:
+    """``match_id, players``: track, team, observations, distance and top speed of each track of ``build_tracks``."""
+    one = F.struct("track_id", F.col("team").cast("long").alias("team"), "observations", F.bround("distance_m", 1).alias("distance_m"),
+                   F.bround("top_speed_kmh", 1).alias("top_speed_kmh"))
+    return tracks.groupBy("match_id").agg(F.sort_array(F.collect_list(one)).alias("players"))
+
+
+def report_paths(obs: DataFrame) -> DataFrame:
+    """Places of each track in parts of ``BLOCK`` frames, to a tenth of a meter: a match's document stays small."""
+    at = F.struct("frame", F.array(F.bround("x", 1), F.bround("y", 1)).alias("xy"))
+    parts = obs.groupBy("match_id", "track_id", block_of("frame", BLOCK).alias("part")).agg(F.sort_array(F.collect_list(at)).alias("_at"))
+    return parts.select("match_id", "track_id", "part", F.transform("_at", lambda a: a["xy"]).alias("xy"))
+
+
+def report_documents(teams: DataFrame, momentum: DataFrame, players: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """One JSON report per match: team rows and the minute map, and the players and facts where given."""
     t = teams.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("team", *[c for c in teams.columns if c not in (
         "match_id", "team")]))).alias("teams"))
     pair = F.struct(F.col("minute").cast("string"), F.struct("team_0", "team_1", "action_x", "contested_frames", "uncontested_frames"))
     m = momentum.groupBy("match_id").agg(F.map_from_entries(F.collect_list(pair)).alias("momentum"))
-    return t.join(m, "match_id", "left").select("match_id", F.to_json(F.struct("teams", "momentum")).alias("report"))
+    out, parts = t.join(m, "match_id", "full"), ["teams", "momentum"]
+    for more in (players, facts):
+        if more is not None:  # a match without teams has facts
+            out = out.join(more, "match_id", "full")
+            parts += [c for c in more.columns if c != "match_id"]
+    return out.select("match_id", F.to_json(F.struct(*parts)).alias("report"))
 
 
-def write_report(teams: DataFrame, momentum: DataFrame, path: str) -> None:
-    report_documents(teams, momentum).write.mode("overwrite").parquet(f"{path}/report")
+def write_report(teams: DataFrame, momentum: DataFrame, path: str, players: DataFrame | None = None, facts: DataFrame | None = None) -> None:
+    report_documents(teams, momentum, players, facts).write.mode("overwrite").parquet(f"{path}/report")
 
 
 def momentum_of_report(documents: DataFrame) -> DataFrame:
@@ -30,6 +75,20 @@ def momentum_of_report(documents: DataFrame) -> DataFrame:
     return rows.select("match_id", F.expr("try_cast(k AS BIGINT)").alias("minute"), "v.*").where(F.col("minute").isNotNull())
 
 
+PLAYERS = "array<struct<track_id:bigint,team:bigint,observations:bigint,distance_m:double,top_speed_kmh:double>>"
+FACTS = "notes:array<string>,pitch:array<double>,detections_used:bigint,frames_analyzed:bigint"
+
+
+def players_of_report(documents: DataFrame) -> DataFrame:
+    rows = documents.select("match_id", F.explode(F.from_json("report", f"struct<players:{PLAYERS}>")["players"]).alias("p"))
+    return rows.select("match_id", "p.*")
+
+
+def facts_of_report(documents: DataFrame) -> DataFrame:
+    """The match's facts back from documents; what an older report lacks is null."""
+    return documents.select("match_id", F.from_json("report", f"struct<{FACTS}>").alias("f")).select("match_id", "f.*")
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return momentum_of_report(spark.read.parquet(f"{path}/report"))
 

@@ -7,9 +7,10 @@ from dataclasses import asdict, dataclass
 from math import hypot
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..operators.blocks import BLOCK, frames_for, rescaled_gain
+from ..operators.blocks import BLOCK, frames_for, frames_in, rated, rescaled_gain
 from ..operators.speculate import Walk, fold_blocks
 
 # Fixed values of the tracking rules (frame widths, seconds)
@@ -99,14 +100,14 @@ def to_dict(b: Ball) -> dict:
 
 
 class _BallWalk(Walk):
-    def __init__(self, key, rules, body):
-        self.match, self.rules = key[0], rules
+    def __init__(self, key, aspect, body):
+        self.key, self.rules = key, BallRules(key[1], aspect)
         self.ball = Ball() if body is None else Ball(**json.loads(body))
 
     def step(self, row):
         dets = [(d["conf"], d["u"], d["v"], d["w"], d["h"]) for d in (row.dets if row.dets is not None else ())]
         self.ball = self.rules.advance(self.ball, dets, row.step, bool(row.full_frame))
-        return ((self.match, row.frame, *shown(self.ball)),)
+        return ((*self.key, row.frame, *shown(self.ball)),)
 
     def snapshot(self, at):
         # how long a lost ball has been gone matters to nothing
@@ -117,12 +118,12 @@ class _BallWalk(Walk):
 LEAD_S = 30.0
 
 
-def track_ball(frames: DataFrame, rate: float, aspect: float, *, block: int = BLOCK) -> DataFrame:
+def track_ball(frames: DataFrame, rate: float | DataFrame, aspect: float, *, block: int = BLOCK) -> DataFrame:
     """Ball state per frame from ``match_id, frame, dets ARRAY<STRUCT<conf,u,v,w,h>>, step ARRAY(9), full_frame``.
 
-    Equal to one walk over each match, in blocks of ``block`` frames side by side (``speculate``).
+    ``rate``: one for all, or ``match_id, rate``. Equal to one walk over each match, in blocks of ``block`` frames side by side (``speculate``).
     """
-    rules = BallRules(rate, aspect)
-    rows = frames.select("match_id", "frame", "dets", "step", "full_frame")
-    return fold_blocks(rows, ["match_id"], ["frame"], lambda key, body: _BallWalk(key, rules, body), STATE, block=block,
-                       lead=frames_for(LEAD_S, rate))[0].drop("blk")
+    rows = rated(frames.select("match_id", "frame", "dets", "step", "full_frame"), rate)
+    schema = StructType([STATE["match_id"], StructField("rate", DoubleType()), *STATE.fields[1:]])
+    return fold_blocks(rows, ["match_id", "rate"], ["frame"], lambda key, body: _BallWalk(key, aspect, body), schema, block=block,
+                       lead=frames_in(LEAD_S, F.col("rate")))[0].drop("blk", "rate")
