@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, stored
 
 
 FINISH = 200_000
@@ -39,10 +39,10 @@ def components(edges: DataFrame, finish: int = FINISH, most_rounds: int = 100) -
     Each round sends every id to the least of itself and its neighbors and joins the edges' ends to where they went;
     edges within one id go, and the rest gets fewer by a factor each round, also for chains, whose ids are compared
     after a scramble that changes each round. As soon as at most ``finish`` edges are left, one task joins them up; the
-    result is the same with any ``finish``. A run that has not ended after ``most_rounds`` raises. Repeated edges are
+    result is the same with any ``finish``. What a round leaves is stored, so that the planner's estimates don't multiply. A run that has not ended after ``most_rounds`` raises. Repeated edges are
     allowed; no edges give no rows.
     """
-    ends = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    ends = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().withColumn("at", F.col("id"))
     for turn in range(most_rounds):
         small = ends.count() <= finish
@@ -51,13 +51,16 @@ def components(edges: DataFrame, finish: int = FINISH, most_rounds: int = 100) -
         else:
             both = ends.union(ends.select("b", "a"))
             rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("id"))
-            went = cut(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).withColumnRenamed("a", "at"))
-        labels = cut(labels.join(went, "at", "left").select("id", F.coalesce("to", "at").alias("at")))
+            went = stored(both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a")))["id"].alias("to")).withColumnRenamed("a", "at"))
+        before, labels = labels, stored(labels.join(went, "at", "left").select("id", F.coalesce("to", "at").alias("at")))
+        discard(before)
         if small:
             # all ids that ended at one place are one component: name it by its least id
             names = labels.groupBy("at").agg(F.min("id").alias("component"))
+            discard(ends)
             return labels.join(names, "at").select("id", "component")
         moved = ends.join(went.select(F.col("at").alias("a"), F.col("to").alias("ta")), "a").join(
             went.select(F.col("at").alias("b"), F.col("to").alias("tb")), "b")
-        ends = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct())
+        old, ends = ends, stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct())
+        discard(old, went)
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
