@@ -8,7 +8,8 @@ from ..operators import ball as B
 from ..operators import events as E
 from ..operators import joins as J
 from ..operators import metrics as M
-from ..session import cut
+from ..session import cut, shared_path
+from ..sources.event_store import EventStore
 from .catalog_metrics import SPEED_CTE
 from .registry import query
 from .views import PITCH
@@ -439,6 +440,21 @@ def q_recon(T):
     return E.reconcile(log, T["fresh"], "ball")[0].select("match_id", "event_id", "time_s", "source")
 
 
+@query("event_store", f"WITH RECURSIVE {RECON} SELECT match_id, CAST(sum(CASE WHEN stay THEN 1 ELSE 0 END) AS BIGINT) AS events, round_even(sum(CASE WHEN stay THEN time_s ELSE 0 END), 3) AS time_sum FROM ju GROUP BY match_id")
+def q_event_store(T):
+    """The log as a store, and a scan that comes in three batches, the last with its end."""
+    log = T["event_log"].where("event_id % 4 = 0 OR source = 'manual' OR time_s < 100e0")
+    store = EventStore.create(log, shared_path(T.spark, "store"))
+    scan = cut(T["fresh"].withColumns({"event_id": F.col("event_id") + 10_000_000, "scan_id": F.lit(1), "last": F.lit(False)}))
+    ends = cut(T["event_log"].select("match_id").distinct())
+    for part in range(3):
+        rows = scan.where(F.col("event_id") % 3 == part)
+        if part == 2:
+            rows = rows.unionByName(ends.withColumns({"scan_id": F.lit(1), "last": F.lit(True)}), allowMissingColumns=True)
+        store.apply(rows, part, "ball")
+    return store.log().groupBy("match_id").agg(F.count(F.lit(1)).alias("events"), F.bround(F.sum("time_s"), 3).alias("time_sum"))
+
+
 @query("reconcile_dropped", f"WITH RECURSIVE {RECON} SELECT match_id, event_id, time_s, source FROM ju WHERE NOT stay")
 def q_recon_dropped(T):
     log = T["event_log"].where("event_id % 4 = 0 OR source = 'manual' OR time_s < 100e0")
