@@ -12,9 +12,10 @@ def plan_clips(clips: DataFrame) -> DataFrame:
     """Clips of each match in name order, each once, with where they start on the game clock.
 
     Names are compared whole. The window is over a match's clip files, one row each: a recording has a handful, and
-    their number doesn't grow with the footage of other matches. Of a file listed twice the greater values count.
+    their number doesn't grow with the footage of other matches. Of a file listed twice one listing counts whole: the greatest, column by column.
     """
-    once = clips.groupBy("match_id", "path").agg(*[F.max(c).alias(c) for c in clips.columns if c not in ("match_id", "path")])
+    own = [c for c in clips.columns if c not in ("match_id", "path")]
+    once = clips.groupBy("match_id", "path").agg(F.max(F.struct(*own)).alias("_one")).select("match_id", "path", *(F.col(f"_one.{c}").alias(c) for c in own))
     order = Window.partitionBy("match_id").orderBy(F.regexp_extract("path", r"([^/]*)$", 1), "path")
     to = F.sum("duration_s").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return once.select(*clips.columns, (to - F.col("duration_s")).alias("start_s"),
