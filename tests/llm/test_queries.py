@@ -76,3 +76,31 @@ def test_conversations(spark, run):
     for r in damaged(rows):
         by[r[0]].append(r)
     assert {tuple(r) for r in run("op13").collect()} == {(c, *verdict(by[c])) for c in {r[0] for r in rows}}
+
+
+def test_token_files_and_packing(run, docs):
+    """op6 and op10 over the whole table, against the tokenizers library a text at a time."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as tok
+    from tokenizers import Tokenizer
+    words, pieces = (Tokenizer.from_file(tok.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    start, want = 0, set()
+    for key, text in sorted(docs):
+        ids = np.array([*words.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.add((key, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert {tuple(r) for r in run("op6").select("doc_id", "start", "n_tokens", "ids_crc32").collect()} == want
+    packed = run("op10").collect()
+    want = set()
+    for key, text in docs:
+        ids = np.array([*pieces.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want |= {(key, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(edges, edges[1:]))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == want and len(packed) == len(want)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:])) and sum(n for _, n in p) <= 2048 for p in places.values())
+    assert len(places) <= 1 + -(-sum(r.length for r in packed) // 2048)
