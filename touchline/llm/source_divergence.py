@@ -158,13 +158,14 @@ def pair_corrections(cells: DataFrame, *, most_held: int = 4_000_000) -> DataFra
 
     ``cells`` (``kind, term, sid, p, none``) are the sources' shares ``p`` of the terms that they have, and their share
     ``none`` of any they lack. A term's cells in the order of their sources are a row; equal rows are one with a
-    multiplicity. Rows are ranged by kind and path and read in that order by the tree. A node that a border between
+    multiplicity. Rows are ranged by kind and the beginning of their path and read in order by the tree. A node that a border between
     partitions divides is two nodes with a part of the rows each, so that any number of rows may share a path. A task
     holds one path and at most about ``most_held`` sums of pairs.
     """
     rows = cells.groupBy("kind", "term").agg(F.sort_array(F.collect_list(F.struct("sid", "p", "none"))).alias("path"))
     rows = rows.groupBy("kind", "path").agg(F.count(F.lit(1)).alias("rows"))
-    ordered = rows.repartitionByRange("kind", "path").sortWithinPartitions("kind", "path")
+    # ranges by the path's first nodes, so that the samples they are cut by stay small, then by hash, so that no range is too large
+    ordered = rows.repartitionByRange("kind", F.slice("path", 1, 3), F.xxhash64("path")).sortWithinPartitions("kind", "path")
     parts = ordered.select("kind", "path", "rows").mapInArrow(_corrections(most_held), "kind string, a int, b int, value bigint")
     return parts.groupBy("kind", "a", "b").agg(F.sum("value").alias("value"))
 
