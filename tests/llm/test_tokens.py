@@ -112,3 +112,18 @@ def test_plan_stays_small_for_many_runs():
     counts = {n: 10_000_000 + n * 37 for n in range(1, 2049)}
     plan = packing.plan_best_two_fit(counts, 2048)
     assert sum(often * len(own) for often, own in plan) == sum(counts.values()) and len(plan) < 3 * 2048
+
+
+def test_a_range_reads_only_its_blocks():
+    from touchline.llm.tokens import BLOCK, decode_segment, encode_segment
+    ids = np.random.default_rng(2).integers(0, 3000, 3 * BLOCK + 777).astype(np.uint32)
+    data = encode_segment(ids)
+    for start, stop in ((0, 10), (BLOCK - 3, BLOCK + 3), (2 * BLOCK + 5, 3 * BLOCK + 100), (3 * BLOCK, None), (5, 5), (10**9, None), (0, None)):
+        assert (decode_segment(data, start, stop) == ids[start:stop]).all()
+    at = data.index(np.uint64(BLOCK).astype("<u8").tobytes(), 24)  # the second block's head
+    broken = bytearray(data)
+    broken[at + 20 + 8 * 256 + 40] ^= 255  # in its words
+    with pytest.raises(ValueError):
+        decode_segment(bytes(broken))
+    assert (decode_segment(bytes(broken), 0, BLOCK) == ids[:BLOCK]).all() and (decode_segment(bytes(broken), 2 * BLOCK) == ids[2 * BLOCK:]).all()
+    assert not len(decode_segment(encode_segment(ids[:0])))

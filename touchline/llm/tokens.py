@@ -213,11 +213,16 @@ def encode_segment(ids: np.ndarray) -> bytes:
     return b"".join([_MAGIC, struct.pack("<QIII", len(ids), len(symbols), len(table), len(parts)), table, *parts])
 
 
-def decode_segment(data: bytes) -> np.ndarray:
-    """All ids of a segment. Raises ``ValueError`` where a block's checksum or the layout is wrong."""
+def decode_segment(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids of a segment from place ``start`` to ``stop``, all unless given. Only blocks that hold some of them are decoded: a
+    block's checkpoint says where it begins and from which states. Raises ``ValueError`` where one of their checksums or the
+    layout is wrong.
+    """
     if data[:4] != _MAGIC:
         raise ValueError("not a token segment")
     total, count, packed, blocks = struct.unpack_from("<QIII", data, 4)
+    start = min(max(0, start), total)
+    stop = total if stop is None else max(start, min(stop, total))
     at = 24 + packed
     table = np.frombuffer(zlib.decompress(data[24:at]), "<u4")
     symbols, freqs = np.cumsum(table[:count], dtype=np.uint32), table[count:].astype(np.uint64)
@@ -227,18 +232,19 @@ def decode_segment(data: bytes) -> np.ndarray:
     for _ in range(blocks):
         first, length, words, check = struct.unpack_from("<QIII", data, at)
         at += 20
-        states = np.frombuffer(data, "<u8", LANES, at)
-        at += 8 * LANES
-        groups.setdefault(-(-length // LANES), []).append((first, length, check, states, np.frombuffer(data, "<u4", words, at)))
-        at += 4 * words
-    out = np.empty(total, np.uint32)
-    for steps, members in groups.items():  # blocks of one length advance together; any block could be read alone
+        if first < stop and first + length > start:
+            states = np.frombuffer(data, "<u8", LANES, at)
+            groups.setdefault(-(-length // LANES), []).append((first, length, check, states, np.frombuffer(data, "<u4", words, at + 8 * LANES)))
+        at += 8 * LANES + 4 * words
+    out = np.empty(stop - start, np.uint32)
+    for steps, members in groups.items():  # blocks of one length advance together
         ranks = _decode(np.stack([m[3] for m in members]), [m[4] for m in members], steps, slots, freqs, starts)
         for (first, length, check, *_), own in zip(members, ranks):
             ids = symbols[own.ravel()[:length]]
             if zlib.crc32(ids.astype("<u4").tobytes()) != check:
                 raise ValueError(f"checksum of the block at id {first} differs")
-            out[first:first + length] = ids
+            lo, hi = max(first, start), min(first + length, stop)
+            out[lo - start:hi - start] = ids[lo - first:hi - first]
     return out
 
 
