@@ -25,14 +25,32 @@ def test_find_items(spark, notes_df, no_notes, note_rows):
     for key, note in rows:
         n, hit, found = items_in(note, items, 10)
         want[key, n, tuple(sorted(hit)), tuple(found)] += 1
-    for most in (100_000, 7):  # one pass, and many
-        got = decontamination.find_items(events, table, max_windows=most).collect()
+    for limits in ({}, {"max_windows": 25}, {"max_bytes": 1500}):  # one pass, and many
+        got = decontamination.find_items(events, table, **limits).collect()
         assert want == Counter((r.event_id, r.n_words, tuple(i for s in r.spans for i in range(s.first, s.last)), tuple(r["items"])) for r in got)
     assert decontamination.find_items(no_notes, table).count() == 0
     nothing = decontamination.find_items(notes_df, table.limit(0)).collect()
     assert len(nothing) == len(note_rows) and all(not r.spans and not r["items"] for r in nothing)
 
 
+def test_a_passage_of_very_many_items_is_parted(spark, monkeypatch):
+    """No broadcast holds more than its share of the items of one passage, and none is lost."""
+    sizes, build = [], decontamination.WordPatterns.__init__
+
+    def counted(self, m, patterns):
+        sizes.append(sum(map(len, patterns.values())))
+        build(self, m, patterns)
+
+    monkeypatch.setattr(decontamination.WordPatterns, "__init__", counted)
+    passage = " ".join(f"w{i}" for i in range(10))
+    items = spark.range(4000).selectExpr("concat('item', id) AS item_id", f"'{passage}' AS text")
+    events = spark.createDataFrame([(1, "so " + passage), (2, "w1 w2"), (2, passage + " " + passage)], NOTE)
+    got = sorted((r.event_id, r.n_words, len(r["items"])) for r in
+                 decontamination.find_items(events, items, max_windows=1000).collect())
+    assert got == [(1, 11, 4000), (2, 2, 0), (2, 20, 4000)]
+    assert sum(sizes) == 4000 and max(sizes) < 1200
+
+
 def plain_stats(text):
     words, lines = split(text), [x for x in (text or "").encode().split(b"\n") if x.split()]
     runs = Counter(zip(words, words[1:], words[2:]))

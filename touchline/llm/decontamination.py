@@ -70,13 +70,14 @@ def item_windows(items: DataFrame, *, item_key: str = "item_id", item_text: str
 
 
 def find_items(events: DataFrame, items: DataFrame, *, key: str = "event_id", text: str = "note", item_key: str = "item_id",
-               item_text: str = "text", window: int = 10, max_windows: int = 100_000) -> DataFrame:
+               item_text: str = "text", window: int = 10, max_windows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
     """``key, n_words, spans, items``: where a note holds passages of the items.
 
     A passage is any run of ``window`` consecutive words of an item, or a whole item that has fewer. ``spans`` has the
     merged runs of hit words (``first``, and ``last`` exclusive), ``items`` the ids found as strings in string order.
-    One result row for each row of ``events``, nothing is shuffled: the windows are handed to every task in broadcasts
-    of at most about ``max_windows`` windows (parted evenly by hash, counted before). Where they are more, the notes
+    One result row for each row of ``events``, no note is shuffled: the pairs of a window and an item are handed to every
+    task in broadcasts of at most about ``max_windows`` pairs and ``max_bytes`` bytes of words and ids (counted before,
+    parted evenly by a hash of both, so that the items of one passage are parted too). Where there are more, the notes
     pass through one search for each part, and each pass is written before the next.
 
     Null and empty notes have no words; items without words match nothing; an item without id counts as "None";
@@ -84,16 +85,18 @@ def find_items(events: DataFrame, items: DataFrame, *, key: str = "event_id", te
     """
     spark = events.sparkSession
     windows = cut(item_windows(items, item_key=item_key, item_text=item_text, window=window))
-    parts = max(1, -(-windows.count() // max_windows))
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(
+        F.octet_length("window") + F.octet_length("item")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // max_windows), -(-size["bytes"] // max_bytes))
     state = records(events, key, text).withColumns({
         "n_words": F.lit(0).cast("bigint"), "marks": F.array().cast("array<array<bigint>>"), "items": F.array().cast("array<string>")})
     kind = dict(events.dtypes)[key]
     for part in range(parts):
-        own = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+        own = windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(parts)) == part)
         by_length: dict[int, dict] = {}
-        for found, item in own.collect():
+        for found, names in own.groupBy("window").agg(F.collect_list("item")).collect():
             words = tuple(found.encode().split(b" "))
-            by_length.setdefault(len(words), {}).setdefault(words, []).append(item)
+            by_length.setdefault(len(words), {})[words] = names
         tables = spark.sparkContext.broadcast([WordPatterns(m, p) for m, p in sorted(by_length.items())])
         last = part == parts - 1
         state = state.mapInArrow(_search(tables, last), f"key {kind}, text string, n_words bigint, "
