@@ -1,5 +1,6 @@
 import gzip
 import os
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def test_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_files_are_bounded_by_bytes_and_any_gzip_reader_reads_them(spark, tmp_path):
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", rng.randbytes(rng.choice([10, 900, 4000])).hex()) for i in range(300)],
+                                  "page_id bigint, url string, html string").repartition(2)
+    path = str(tmp_path / "archive")
+    warc.write_warc(pages, path, file_bytes=20_000)
+    files = [os.path.join(path, name) for name in os.listdir(path) if name.startswith("part-")]
+    assert len(files) > 20 and max(map(os.path.getsize, files)) < 20_000 + 8_000
+    plain = b"".join(gzip.open(name).read() for name in files)
+    assert plain.count(b"WARC/1.1\r\n") == 300
+    got = warc.read_warc(spark, path)
+    assert got.where("reason is null").select("page_id").distinct().count() == 300 == got.count()
+
+
 def test_salvage():
     parts = [record(i) for i in range(4)]
     whole = b"".join(p for p, _ in parts)

@@ -63,8 +63,10 @@ def page_roles(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html",
-               date: str = "1970-01-01T00:00:00Z") -> None:
-    """A record for each page, each its own gzip member, in files of at most 20,000 records under ``path``.
+               date: str = "1970-01-01T00:00:00Z", file_bytes: int = 32 << 20) -> None:
+    """A record for each page, each its own gzip member, in files of about ``file_bytes`` bytes under ``path``.
+
+    A file ends with the record that reaches the size, so only a single record can make it much longer.
 
     Of pages with equal payloads that of the smallest id is a response and the others are revisits of it, without
     payload. A null payload is empty. Pages without id are revisits where a page with an id has their payload, else
@@ -81,16 +83,26 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
                        F.octet_length(raw).cast("bigint").alias("size"), "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, held = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([_record(
-                    r["page_id"], r["url"], r["payload"] or b"", r["size"], base64.b32encode(bytes.fromhex(r["digest"])).decode(),
-                    r["refers_to"], date)[:-1] for r in some], pa.binary())], names=["value"])
-
-    # the text writer adds each member's last byte, a zero, as its line end
+            for start in range(0, batch.num_rows, 100):
+                for r in batch.slice(start, 100).to_pylist():
+                    members.append(_record(r["page_id"], r["url"], r["payload"] or b"", r["size"],
+                                           base64.b32encode(bytes.fromhex(r["digest"])).decode(), r["refers_to"], date))
+                    held += len(members[-1])
+                    if held >= file_bytes:
+                        yield _file(members)
+                        members, held = [], 0
+        if members:
+            yield _file(members)
+
+    # a row is a file; the text writer adds its last byte, the zero that ends its last member, as the line end
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option(
-        "maxRecordsPerFile", 20_000).text(path)
+        "maxRecordsPerFile", 1).text(path)
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])
 
 
 @dataclass
@@ -289,7 +301,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for piece in salvage(content.as_buffer().to_pybytes()):
+                for piece in salvage(content.as_py()):
                     rows.append(_row(file, piece))
                     if len(rows) == 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
