@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .blocks import exact_percentiles
 from .topk import top_k
 
@@ -37,25 +36,18 @@ def box_overlaps(a: DataFrame, b: DataFrame, min_iou: float = 0.5) -> DataFrame:
 
 
 def iou_match(a: DataFrame, b: DataFrame, min_iou: float = 0.5) -> DataFrame:
-    """One-to-one pairs, best overlap first.
+    """One-to-one pairs, best overlap first, then lower ids.
 
-    Each round takes the pairs that are best for both of their boxes; with a fixed order of pairs that gives the same
-    pairs as walking a frame's list from the top, and all frames advance together.
+    A frame's pairs are few, as boxes of one frame; they are sorted and walked in one expression, after one exchange by
+    frame. Nothing runs while the plan is built.
     """
-    left = cut(box_overlaps(a, b, min_iou))
-    done = None
-    order = F.struct("iou", (-F.col("a_id")).alias("i"), (-F.col("b_id")).alias("j"))
-    while True:
-        top_a = left.groupBy(*FRAME, "a_id").agg(F.max(order).alias("_a"))
-        top_b = left.groupBy(*FRAME, "b_id").agg(F.max(order).alias("_b"))
-        both = left.join(top_a, [*FRAME, "a_id"]).join(top_b, [*FRAME, "b_id"]).where(
-            (F.col("_a") == order) & (F.col("_b") == order))
-        taken = cut(both.select(*FRAME, "a_id", "b_id", "iou"))
-        done = taken if done is None else done.unionByName(taken)
-        left = cut(left.join(taken.select(*FRAME, "a_id"), [*FRAME, "a_id"], "left_anti").join(
-            taken.select(*FRAME, "b_id"), [*FRAME, "b_id"], "left_anti"))
-        if not left.limit(1).count():
-            return done
+    pairs = box_overlaps(a, b, min_iou).groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("iou")).alias("rank"), "a_id", "b_id"))).alias("_pairs"))
+    none = F.filter("_pairs", lambda p: F.lit(False))
+    free = lambda taken, p: ~F.exists(taken, lambda q: (q["a_id"] == p["a_id"]) | (q["b_id"] == p["b_id"]))
+    taken = F.aggregate("_pairs", none, lambda taken, p: F.when(free(taken, p), F.array_append(taken, p)).otherwise(taken))
+    return pairs.select(*FRAME, F.explode(taken).alias("_p")).select(
+        *FRAME, "_p.a_id", "_p.b_id", (-F.col("_p.rank")).alias("iou"))
 
 
 def pair_totals(a: DataFrame, b: DataFrame, min_iou: float = 0.5) -> DataFrame:

@@ -6,11 +6,12 @@ last eleven. Centers are one small row per match; tracks stay distributed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..session import cut
 from .blocks import clip, exact_percentiles
 
 TRACK = ["match_id", "track_id"]
@@ -54,57 +55,53 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
 
-def lloyd(points: DataFrame, centers: DataFrame, dim: int, max_rounds: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Weighted Lloyd for every match at once. ``points``: ``TRACK, z, weight``; ``centers``: ``match_id, centers``.
+def lloyd(z: np.ndarray, weight: np.ndarray, centers: np.ndarray, max_rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted Lloyd for one match: the label of each row of ``z``, and the centers.
 
-    An empty cluster keeps its center. Stops when no label changes anywhere; raises after ``max_rounds``.
+    An empty cluster keeps its center, and of equally near centers the first is taken. Raises after ``max_rounds``.
     """
-    labeled = points.withColumn("label", F.lit(-1).cast("long"))
+    labels = np.full(len(z), -1)
     for _ in range(max_rounds):
-        near = F.array_min(F.transform("centers", lambda c, i: F.struct(_distance(F.col("z"), c).alias("d"), i.alias("i"))))
-        moved = cut(labeled.join(centers, "match_id").withColumn("_new", near["i"].cast("long")).select(
-            *TRACK, "z", "weight", "_new", (F.col("_new") != F.col("label")).alias("_changed")))
-        labeled = moved.select(*TRACK, "z", "weight", F.col("_new").alias("label"))
-        if not moved.where("_changed").limit(1).count():
-            break
-        w = F.sum("weight")
-        means = labeled.groupBy("match_id", "label").agg(
-            F.array(*[F.sum(F.col("z")[i] * F.col("weight")) / w for i in range(dim)]).alias("m"))
-        table = means.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("_m"))
-        centers = cut(centers.join(table, "match_id").select("match_id", F.transform(
-            "centers", lambda c, i: F.coalesce(F.try_element_at("_m", i.cast("long")), c)).alias("centers")))
-    else:
-        raise RuntimeError(f"team colors not settled after {max_rounds} rounds")
-    return labeled, centers
+        near = np.sqrt(((z[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)).argmin(axis=1)
+        if (near == labels).all():
+            return labels, centers
+        labels = near
+        centers = np.stack([(z[labels == i] * weight[labels == i, None]).sum(axis=0) / weight[labels == i].sum()
+                            if (labels == i).any() else c for i, c in enumerate(centers)])
+    raise RuntimeError(f"team colors not settled after {max_rounds} rounds")
+
+
+def _seeded(tracks: pd.DataFrame) -> pd.DataFrame:
+    """The voters of one match with their clusters: greenest and reddest track first, then the dullest of six or more."""
+    tracks = tracks.sort_values("track_id", ignore_index=True)
+    points = np.stack(tracks["descriptor"].to_numpy()).astype(float)
+    mean, spread = points.mean(axis=0), points.std(axis=0) + 1e-6
+    z = (points - mean) / spread
+    first = [z[:, A].argmax(), z[:, A].argmin()] + ([z[:, SAT].argmin()] if len(z) >= 6 else [])
+    labels, centers = lloyd(z, tracks["weight"].to_numpy(), z[first])
+    own = [labels == i for i in range(len(centers))]
+    out = tracks[TRACK].assign(label=labels)
+    for name, value in (("mean", mean), ("spread", spread), ("centers", centers), ("sizes", np.array([o.sum() for o in own])),
+                        ("sats", np.array([z[o, SAT].mean() if o.any() else -1.0 for o in own]))):
+        out[name] = [value.tolist()] * len(out)
+    out["within"] = float(np.sqrt(((z - centers[labels]) ** 2).sum(axis=1)).mean())
+    return out
 
 
 def assign_teams(evidence: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cluster the voters. Returns ``(voters with team and quality, per-match model)``.
 
-    ``floors``: ``match_id, floor``. The model row has mean, spread, centers and the cluster index of each team.
+    ``floors``: ``match_id, floor``. The model row has mean, spread, centers and the cluster index of each team. Matches
+    of fewer than four voters have none. A match's voters are its tracks with much evidence, a small table of one row
+    a track: they are clustered in one group, and nothing runs while the plan is built.
     """
     strong = evidence.join(floors, "match_id").where((F.col("kit_share") >= MIN_SHARE) & (F.col("weight") >= F.col("floor")))
-    d = F.col("descriptor")
-    stats = strong.groupBy("match_id").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(d[i]) for i in range(DIM)]).alias("mean"),
-        F.array(*[F.stddev_pop(d[i]) + 1e-6 for i in range(DIM)]).alias("spread")).where(F.col("n") >= 4)
-    z = F.zip_with(F.zip_with("descriptor", "mean", lambda p, q: p - q), "spread", lambda p, q: p / q)
-    points = cut(strong.join(stats, "match_id").withColumn("z", z).select(*TRACK, "z", "weight", "n"))
-    first = -F.col("track_id")
-    seeds = points.groupBy("match_id").agg(
-        F.max_by("z", F.struct(F.col("z")[A], first)).alias("hi"),
-        F.max_by("z", F.struct(-F.col("z")[A], first)).alias("lo"),
-        F.max_by("z", F.struct(-F.col("z")[SAT], first)).alias("dull"), F.max("n").alias("n"))
-    seeds = seeds.select("match_id", F.when(F.col("n") >= 6, F.array("hi", "lo", "dull")).otherwise(F.array("hi", "lo"))
-                         .alias("centers"))
-    labeled, centers = lloyd(points.drop("n"), cut(seeds), DIM)
-    per = labeled.groupBy("match_id", "label").agg(F.count(F.lit(1)).alias("size"), F.avg(F.col("z")[SAT]).alias("sat"))
-    table = per.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("size", "sat")))).alias("t"))
-    m = centers.join(table, "match_id").withColumn("k", F.size("centers"))
+    enough = strong.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4).select("match_id")
+    m = strong.select(*TRACK, "descriptor", "weight").join(enough, "match_id").groupBy("match_id").applyInPandas(
+        _seeded, "match_id long, track_id long, label long, mean array<double>, spread array<double>, "
+        "centers array<array<double>>, sizes array<long>, sats array<double>, within double")
+    m = m.withColumn("k", F.size("centers"))
     idx = F.sequence(F.lit(0), F.col("k") - 1)
-    m = m.withColumns({
-        "sizes": F.transform(idx, lambda i: F.coalesce(F.try_element_at("t", i.cast("long"))["size"], F.lit(0))),
-        "sats": F.transform(idx, lambda i: F.coalesce(F.try_element_at("t", i.cast("long"))["sat"], F.lit(-1.0)))})
     middle = F.sort_array("sizes")[1]
     all_n = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, v: s + v)
     odd = F.filter(idx, lambda i: ((F.get("sizes", i) < F.greatest(middle, F.lit(1)) * 0.4) | (F.get("sats", i) <= 0.0))
@@ -116,16 +113,14 @@ def assign_teams(evidence: DataFrame, floors: DataFrame) -> tuple[DataFrame, Dat
     m = m.withColumn("kept", kept)
     ordered = F.sort_array(F.transform("kept", lambda i: F.struct((-F.get("centers", i)[A]).alias("a"), i.alias("i"))))
     m = m.withColumn("teams", F.transform(ordered, lambda s: s["i"].cast("long")))
-    within = labeled.join(centers, "match_id").groupBy("match_id").agg(
-        F.avg(_distance(F.col("z"), F.get("centers", F.col("label").cast("int")))).alias("within"))
-    m = m.join(within, "match_id").withColumn("between", _distance(
+    m = m.withColumn("between", _distance(
         F.get("centers", F.get("teams", F.lit(0)).cast("int")), F.get("centers", F.get("teams", F.lit(1)).cast("int"))))
     m = m.withColumn("separation", clip((F.col("between") - F.col("within")) / (F.col("between") + F.col("within") + 1e-9),
                                         0.0, 1.0))
-    model = cut(m.join(stats, "match_id").select("match_id", "mean", "spread", "centers", "teams", "separation"))
-    voters = labeled.join(model, "match_id").select(
-        *TRACK, (F.array_position("teams", F.col("label")) - 1).cast("long").alias("team"),
-        F.col("separation").alias("quality"))
+    names = ["mean", "spread", "centers", "teams", "separation"]
+    model = m.groupBy("match_id").agg(F.first(F.struct(*names)).alias("_m")).select("match_id", "_m.*")
+    voters = m.select(*TRACK, (F.array_position("teams", F.col("label")) - 1).cast("long").alias("team"),
+                      F.col("separation").alias("quality"))
     return voters, model
 
 
@@ -168,27 +163,25 @@ def weak_labels(labeled: DataFrame) -> DataFrame:
 
 
 def histogram_teams(samples: DataFrame, bins: int, min_tracks: int = 10, same: float = 0.95) -> DataFrame:
-    """Two teams from color histograms ``(match_id, track_id, hist ARRAY)``: the lower-norm center is team 0.
+    """Two teams from color histograms ``(match_id, track_id, hist ARRAY)``: the center of the higher norm is team 0.
 
     Seeded with the lowest track and the track farthest from it (a fixed choice instead of random restarts). All get
-    team 0 when the centers point the same way; matches with fewer than ``min_tracks`` tracks give no rows.
+    team 0 when the centers point the same way; matches with fewer than ``min_tracks`` tracks give no rows. A match's
+    tracks, one mean histogram each, are clustered in one group.
     """
-    mean = samples.groupBy(*TRACK, ).agg(F.array(*[F.avg(F.col("hist")[i]) for i in range(bins)]).alias("h"))
-    size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda s, v: s + v * v))
-    unit = mean.withColumn("_n", F.greatest(size, F.lit(1e-12))).select(
-        *TRACK, F.transform("h", lambda v: v / F.col("_n")).alias("z"), F.lit(1.0).alias("weight"))
-    enough = unit.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("z", "track_id").alias("one")).where(
-        F.col("n") >= min_tracks)
-    pts = cut(unit.join(enough.select("match_id", "one"), "match_id"))
-    seeds = pts.groupBy("match_id").agg(F.first("one").alias("one"), F.max_by(
-        "z", F.struct(_distance(F.col("z"), F.col("one")), -F.col("track_id"))).alias("two"))
-    labeled, centers = lloyd(pts.select(*TRACK, "z", "weight"), cut(seeds.select("match_id", F.array("one", "two").alias("centers"))), bins)
-    a, b = F.col("centers")[0], F.col("centers")[1]
-
-    def norm(v):
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    alike = dot / (norm(a) * norm(b) + 1e-12) > same
-    team = F.when(alike, 0).when(norm(a) <= norm(b), 1 - F.col("label")).otherwise(F.col("label"))
-    return labeled.join(centers, "match_id").select(*TRACK, team.cast("long").alias("team"))
+    mean = samples.groupBy(*TRACK).agg(F.array(*[F.avg(F.col("hist")[i]) for i in range(bins)]).alias("h"))
+
+    def split(tracks: pd.DataFrame) -> pd.DataFrame:
+        tracks = tracks.sort_values("track_id", ignore_index=True)
+        if len(tracks) < min_tracks:
+            return tracks[TRACK].head(0).assign(team=0)
+        z = np.stack(tracks["h"].to_numpy()).astype(float)
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        far = np.linalg.norm(z - z[0], axis=1).argmax()
+        labels, centers = lloyd(z, np.ones(len(z)), z[[0, far]])
+        low, high = np.linalg.norm(centers, axis=1)
+        if centers[0] @ centers[1] / (low * high + 1e-12) > same:
+            return tracks[TRACK].assign(team=0)
+        return tracks[TRACK].assign(team=labels if low > high else 1 - labels)
+
+    return mean.groupBy("match_id").applyInPandas(split, "match_id long, track_id long, team long")

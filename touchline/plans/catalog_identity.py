@@ -268,7 +268,23 @@ def q_iou(T):
     return D.box_overlaps(T["boxes_a"], T["boxes_b"]).withColumn("iou", F.bround("iou", 6))
 
 
-@query("detector_agreement")
+@query("detector_agreement", """WITH RECURSIVE i AS (SELECT a.match_id, a.frame, a.det_id AS a_id, b.det_id AS b_id,
+    greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+    (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS area
+  FROM boxes_a a JOIN boxes_b b ON b.match_id = a.match_id AND b.frame = a.frame),
+p AS (SELECT match_id, frame, a_id, b_id, row_number() OVER (PARTITION BY match_id, frame ORDER BY i / (area - i) DESC, a_id, b_id) AS rn
+  FROM i WHERE i / (area - i) >= 0.5e0),
+w AS (SELECT match_id, frame, rn, [a_id] AS las, [b_id] AS lbs FROM p WHERE rn = 1
+  UNION ALL SELECT p.match_id, p.frame, p.rn,
+    CASE WHEN list_contains(las, a_id) OR list_contains(lbs, b_id) THEN las ELSE list_append(las, a_id) END,
+    CASE WHEN list_contains(las, a_id) OR list_contains(lbs, b_id) THEN lbs ELSE list_append(lbs, b_id) END
+  FROM w JOIN p ON p.match_id = w.match_id AND p.frame = w.frame AND p.rn = w.rn + 1),
+f AS (SELECT match_id, frame, max(len(las)) AS m FROM w GROUP BY 1, 2),
+t AS (SELECT match_id, CAST(sum(m) AS BIGINT) AS m FROM f GROUP BY 1),
+na AS (SELECT match_id, count(*) AS n FROM boxes_a GROUP BY 1), nb AS (SELECT match_id, count(*) AS n FROM boxes_b GROUP BY 1)
+SELECT coalesce(na.match_id, nb.match_id) AS match_id, coalesce(m, 0) AS matched, coalesce(na.n, 0) - coalesce(m, 0) AS only_a,
+  coalesce(nb.n, 0) - coalesce(m, 0) AS only_b
+FROM na FULL JOIN nb ON nb.match_id = na.match_id LEFT JOIN t ON t.match_id = coalesce(na.match_id, nb.match_id)""")
 def q_agree(T):
     return D.pair_totals(T["boxes_a"], T["boxes_b"])
 
