@@ -216,15 +216,34 @@ def _log_lines(T):
         "path", (F.col("n") * 10 + F.col("i")).alias("pos"), "line")
 
 
-@query("parse_telemetry", """SELECT match_id || '/' || clip AS path, n AS frame, round_even((n * 210 - f * 210) / 1000e0, 6) AS time_s,
+PARSED = """SELECT match_id || '/' || clip AS path, n AS frame, round_even((n * 210 - f * 210) / 1000e0, 6) AS time_s,
   yaw AS yaw_deg, CASE WHEN yaw IS NOT NULL THEN 7 END AS zoom_sz, CAST(n % 9 AS INTEGER) AS fin_zoom_sz, CAST(n % 20 AS INTEGER) AS ball_sz,
-  ball_x, ball_ym, locked FROM (SELECT *, min(n) OVER (PARTITION BY match_id, clip) AS f FROM telemetry) a""")
+  ball_x, ball_ym, locked FROM (SELECT *, min(n) OVER (PARTITION BY match_id, clip) AS f FROM telemetry) a"""
+
+
+@query("parse_telemetry", PARSED)
 def q_parse(T):
-    frames, _ = TL.parse_lines(_log_lines(T))
+    return _frames(TL.parse_lines(_log_lines(T))[0])
+
+
+def _frames(frames):
     return frames.select("path", "frame", F.bround("time_s", 6).alias("time_s"), "yaw_deg", "zoom_sz", "fin_zoom_sz", "ball_sz", "ball_x",
                          "ball_ym", "locked")
 
 
+@query("telemetry_files", PARSED)
+def q_telemetry_files(T):
+    """The log text in files, one for each clip as its controller writes it, read back by byte range."""
+    folder = shared_path(T.spark, "logs")
+    names = F.split("path", "/")
+    lines = _log_lines(T).select(names[0].alias("match"), names[1].alias("clip"), "pos", "line")
+    lines.repartition("match", "clip").sortWithinPartitions("match", "clip", "pos").select("match", "clip", "line").write.partitionBy(
+        "match", "clip").text(folder)
+    frames, _ = TL.read_telemetry(T.spark, folder, 1 << 18)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return _frames(frames.withColumn("path", F.concat_ws("/", part("match"), part("clip"))))
+
+
 @query("unknown_lines", """SELECT match_id || '/' || clip AS path, count(CASE WHEN n % 50 = 9 THEN 1 END) AS unknown_lines FROM telemetry GROUP BY 1""")
 def q_unknown(T):
     return TL.parse_lines(_log_lines(T))[1]

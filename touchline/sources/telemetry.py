@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.blocks import prefix, runs
+from .log_lines import PARTITION_BYTES, read_lines
 
 # The line formats of the log
 STAMP = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)$"
@@ -32,11 +33,11 @@ KEY_FIELDS = ("yaw_deg", "pitch_deg", "zoom_sz", "fin_zoom_sz", "lock_a", "ball_
 LONGEST = 200
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of text logs as ``path, pos, line``; ``pos`` grows along each file.
+def read_split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of text logs as ``path, pos, line``, from stores that only Spark's own readers open.
 
     A split's rows keep their order, and a line takes at least one byte, so split start plus row number in the split is
-    an order over the file without reading it in one task.
+    an order over the file without reading it in one task. Elsewhere ``log_lines.read_lines`` gives true positions.
     """
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"),
@@ -148,8 +149,9 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames.withColumn("locked", F.coalesce(F.col("lock_a") > 0, F.lit(False))), unknown
 
 
-def read_telemetry(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return parse_lines(read_lines(spark, paths))
+def read_telemetry(spark: SparkSession, paths: str | Sequence[str], partition_bytes: int = PARTITION_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Frames and unknown-line counts of log files, read by byte range (see ``log_lines``)."""
+    return parse_lines(read_lines(spark, paths, partition_bytes))
 
 
 def merge_telemetry(frames: DataFrame, keys: Sequence[str], file_no: str = "file_no") -> DataFrame:
